@@ -6,16 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .binary_records import record_digest
 from .common import table
 from .exact_dedup import duplicate_groups
+from .packing import pack
+
+#: Tokens in a packed sequence.
+SEQUENCE = 2048
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary file's place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary(), SEQUENCE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_exact_dedup": op6_exact_dedup}
+    return {f.__name__: f for f in (op3_binary_records, op6_exact_dedup, op7_best_fit_packing)}
 
 
 ORACLES = {
