@@ -1,14 +1,14 @@
 """Token ids as length-delimited binary records, with an offset index for shuffled reads.
 
 A record is: u64 length of the payload, u32 masked CRC-32 of those eight bytes, the payload,
-u32 masked CRC-32 of the payload; all little-endian. The payload holds a document's ids as
-u32. Masking turns the checksum by 15 bits and adds a constant, so that a checksum over
+u32 masked CRC-32 of the payload; all little-endian. The payload holds a document's ids, as u16
+where the vocabulary allows, else as u32. Masking turns the checksum by 15 bits and adds a constant, so that a checksum over
 data that holds checksums keeps its worth.
 
 `write_records` deals the documents by ranges of doc_id, sorts each range, and lets each task
 write one file under a name of its own attempt, which it renames once complete: a task that is
 run again, on any executor, leaves the same file. The index is a Parquet table of (file, place
-in it, doc_id, byte offset, payload bytes). `read_records` reads any rows of it, in any order.
+in it, doc_id, byte offset, number of ids). `read_records` reads any rows of it, in any order.
 
 A null text counts as empty: its record holds the end id alone. A null doc_id sorts first; rows
 with equal ids follow each other by their text, so that repeated rows are each written. An
@@ -32,8 +32,8 @@ from .common import shared_dir, width
 from .token_ids import encoder
 
 MASK_ADD = 0xA282EAD8  # fixed value of the record format
-INDEX = "file int, place long, doc_id long, offset long, bytes long"
-#: Ids held back before they are written.
+INDEX = "file int, place long, doc_id long, offset long, n_tokens long"
+#: Ids that are read before a batch goes on.
 FLUSH = 1 << 20
 
 
@@ -55,6 +55,11 @@ def unframed(record: bytes) -> bytes:
     return payload
 
 
+def id_type(tokenizer: str) -> np.dtype:
+    """The narrowest unsigned type for the vocabulary's ids."""
+    return np.dtype("<u2" if encoder(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+
+
 def _name(file: int) -> str:
     return f"part-{file:06d}.rec"
 
@@ -72,8 +77,9 @@ def write_records(docs: DataFrame, to: str, tokenizer: str, end_id: int = 0, doc
         out = None
         for batch in batches:
             ids, at = encoder(tokenizer).encode(batch.column("text"))
-            raw, end = ids.tobytes(), struct.pack("<I", end_id)
-            records = [framed(raw[4 * at[i] : 4 * at[i + 1]] + end) for i in range(batch.num_rows)]
+            kind = id_type(tokenizer)
+            raw, end, size = ids.astype(kind).tobytes(), np.array([end_id], kind).tobytes(), kind.itemsize
+            records = [framed(raw[size * at[i] : size * at[i + 1]] + end) for i in range(batch.num_rows)]
             out = out or store.open_output_stream(temporary)
             out.write(b"".join(records))
             sizes = np.array([len(r) for r in records], np.int64)
@@ -83,9 +89,9 @@ def write_records(docs: DataFrame, to: str, tokenizer: str, end_id: int = 0, doc
                     pa.array(np.arange(place, place + len(records))),
                     batch.column("doc_id").cast(pa.int64()),
                     pa.array(offset + np.cumsum(sizes) - sizes),
-                    pa.array(sizes - 16),
+                    pa.array((sizes - 16) // size),
                 ],
-                names=["file", "place", "doc_id", "offset", "bytes"],
+                names=["file", "place", "doc_id", "offset", "n_tokens"],
             )
             place, offset = place + len(records), offset + int(sizes.sum())
         if out:
@@ -99,7 +105,11 @@ def write_records(docs: DataFrame, to: str, tokenizer: str, end_id: int = 0, doc
 
 
 def read_records(index: DataFrame, to: str) -> DataFrame:
-    """The rows of `index` (any subset, in any order) with `ids`, the payload read at their offsets."""
+    """The rows of `index` (any subset, in any order) with `ids`: what is read at their offsets, as u32."""
+
+    def ids(record: bytes, n: int) -> bytes:
+        payload = unframed(record)
+        return payload if len(payload) == 4 * n else np.frombuffer(payload, "<u2").astype("<u4").tobytes()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(f"{to}/files")
@@ -107,23 +117,24 @@ def read_records(index: DataFrame, to: str) -> DataFrame:
         for batch in batches:
             payloads: list[bytes] = []
             done = 0
-            where = zip(batch.column("file").to_pylist(), batch.column("offset").to_pylist(), batch.column("bytes").to_pylist(), strict=True)
+            where = zip(batch.column("file").to_pylist(), batch.column("offset").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True)
             held = 0
-            for i, (number, offset, size) in enumerate(where):
+            for i, (number, offset, n) in enumerate(where):
                 if number != file:
                     if source:
                         source.close()
                     file, source = number, store.open_input_file(f"{path}/{_name(number)}")
-                payloads.append(unframed(source.read_at(size + 16, offset)))
-                held += size
-                if held > 4 * FLUSH or i == batch.num_rows - 1:
+                (size,) = struct.unpack("<Q", source.read_at(8, offset))
+                payloads.append(ids(source.read_at(size + 16, offset), n))
+                held += n
+                if held > FLUSH or i == batch.num_rows - 1:
                     part = batch.slice(done, i + 1 - done)
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(payloads, pa.binary())], names=[*part.schema.names, "ids"])
                     payloads, done, held = [], i + 1, 0
         if source:
             source.close()
 
-    return index.select("file", "place", "doc_id", "offset", "bytes").mapInArrow(read, f"{INDEX}, ids binary")
+    return index.select("file", "place", "doc_id", "offset", "n_tokens").mapInArrow(read, f"{INDEX}, ids binary")
 
 
 def record_digest(docs: DataFrame, tokenizer: str, end_id: int = 0, to: str | None = None) -> DataFrame:
@@ -132,7 +143,7 @@ def record_digest(docs: DataFrame, tokenizer: str, end_id: int = 0, to: str | No
     index = write_records(docs, to, tokenizer, end_id)
     read = read_records(index, to).select("file", "place", "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
     # What lies before each file: one row for each file, which are as few as the writing tasks.
-    files = index.groupBy("file").agg(F.sum("bytes").alias("bytes"))
-    before = files.select("file", F.coalesce(F.sum(F.col("bytes") / 4).over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("before"))
+    files = index.groupBy("file").agg(F.sum("n_tokens").alias("ids"))
+    before = files.select("file", F.coalesce(F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("place")) - F.col("n_tokens")
     return read.join(F.broadcast(before), "file").select("doc_id", (F.col("before") + inside).alias("start"), "n_tokens", "ids_crc32")

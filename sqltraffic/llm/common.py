@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the contracts, as a character class body: space and U+0009 to U+000D.
 BLANKS = r"\x20\x09-\x0D"
@@ -46,3 +49,26 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def smallest_by_hash(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """The n rows of each group whose key's hash comes first: a sample that reruns repeat.
+
+    Give it keys, not texts: Spark keeps n rows of a group in each task before it shuffles.
+    """
+    by_hash = Window.partitionBy(group).orderBy(F.xxhash64(key), key)
+    return rows.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= n).drop("rank")
+
+
+def scored(docs: DataFrame, text: str, score: Callable[[pa.Array], list[pa.Array]], fields: T.StructType) -> DataFrame:
+    """Each row, packed whole as `row`, and what `score` gives for the batch's texts."""
+    at = docs.columns.index(text)
+    schema = T.StructType([T.StructField("row", docs.schema), *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                row = batch.column(0)
+                yield pa.RecordBatch.from_arrays([row, *score(row.field(at))], names=schema.names)
+
+    return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema)

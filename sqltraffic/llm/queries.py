@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .binary_records import record_digest
-from .common import table
+from .common import crc_mod, table
 from .exact_dedup import duplicate_groups
+from .language_id import identify, learn
 from .packing import pack
 
 #: Tokens in a packed sequence.
@@ -22,6 +24,13 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    judged = identify(docs.select("doc_id", "text"), learn(docs, ~held_out))
+    return judged.select("row.doc_id", (crc_mod(F.col("row.doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_digest(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -35,7 +44,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_binary_records, op6_exact_dedup, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op1_language_id, op3_binary_records, op6_exact_dedup, op7_best_fit_packing)}
 
 
 ORACLES = {
