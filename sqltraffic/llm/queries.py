@@ -11,6 +11,7 @@ from .binary_records import record_digest
 from .common import crc_mod, table
 from .exact_dedup import duplicate_groups
 from .language_id import identify, learn
+from .mixing import taken_words
 from .packing import pack
 
 #: Tokens in a packed sequence.
@@ -35,6 +36,10 @@ def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -44,10 +49,33 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_binary_records, op6_exact_dedup, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op1_language_id, op3_binary_records, op5_mixing, op6_exact_dedup, op7_best_fit_packing)}
 
 
 ORACLES = {
+    "op5_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM d GROUP BY source),
+w AS (SELECT *, (number % 3 + 1)::DOUBLE AS weight FROM s),
+l AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shared,
+         row_number() OVER r AS room
+  FROM w WINDOW r AS (ORDER BY source_size / weight, number)),
+level AS (SELECT arg_min(shared, room) AS unit FROM l WHERE shared * weight <= 3 * source_size),
+t AS (SELECT source, source_size, least(unit * weight, (3 * source_size)::DOUBLE) AS target FROM l, level),
+p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS goal,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(size, goal - pos)) + greatest(0, least(size, goal - source_size - pos))
+        + greatest(0, least(size, goal - 2 * source_size - pos)))::BIGINT AS taken
+FROM p
+""",
     "op6_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
