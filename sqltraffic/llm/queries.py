@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality_classifier, toxicity
 from .binary_records import record_digest
 from .common import crc_mod, table
 from .exact_dedup import duplicate_groups
@@ -48,8 +49,28 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary(), SEQUENCE)
 
 
+def _labelled(spark: SparkSession, sf_dir: str, label: str, chars: int, n: int) -> tuple:
+    learnable = crc_mod(F.col("doc_id"), 5) != 0
+    return quality_classifier.labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label, learnable, n, chars)
+
+
+def _predicted(rows: DataFrame, threshold: float) -> DataFrame:
+    held_out = (crc_mod(F.col("row.doc_id"), 5) == 0).alias("held_out")
+    return rows.select("row.doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = quality_classifier.train(*_labelled(spark, sf_dir, "quality", quality_classifier.TRAIN_CHARS, quality_classifier.TRAIN_DOCS))
+    return _predicted(quality_classifier.quality(table(spark, sf_dir, "documents").select("doc_id", "text"), net), 0.3)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    machine = toxicity.train(*_labelled(spark, sf_dir, "toxic", toxicity.TRAIN_CHARS, toxicity.TRAIN_DOCS))
+    return _predicted(toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), machine), 0.5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_binary_records, op5_mixing, op6_exact_dedup, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op1_language_id, op3_binary_records, op5_mixing, op6_exact_dedup, op7_best_fit_packing, op9_quality, op10_toxicity)}
 
 
 ORACLES = {
