@@ -1,6 +1,6 @@
 """Toxicity by a support vector machine over a gapped-subsequence string kernel.
 
-The kernel of two strings counts the subsequences of three letters that they share, each weighed
+The kernel of two strings counts the subsequences of four letters that they share, each weighed
 by DECAY for every place it spans in either (REACH places at most), and is normed by the strings'
 lengths. A string's edge counts as a letter. So an insult keeps most of its likeness with letters inserted, and signs between letters
 are not counted at all; letters that stand alone, spaced out, are read as one string.
@@ -8,12 +8,12 @@ are not counted at all; letters that stand alone, spaced out, are read as one st
 Landmarks (words that set toxic training documents apart, and common clean ones) give the kernel a
 Nyström map, in which a linear machine with hinge loss is trained: on words of toxic documents that
 hardly occur elsewhere against words of clean ones, with the worst mistakes added in each round. Since
-its decision is linear in the kernel, it folds into one weight for each triple of letters: a word's
-value is a sum over its triples. A sentence is as toxic as its worst word; a logistic fit turns the WORST
+its decision is linear in the kernel, it folds into one weight for each subsequence: a word's
+value is a sum over those it holds. A sentence is as toxic as its worst word; a logistic fit turns the WORST
 largest values of a whole document into a probability.
 
 The training sample is bounded and repeatable: TRAIN_DOCS of each label, texts cut at TRAIN_CHARS.
-Scored texts are never cut. A null or empty text, or one without three letters in a row, gets the score of
+Scored texts are never cut. A null or empty text, or one whose strings all are shorter than two letters, gets the score of
 no match. Without both labels the score is the share of label 1 (0 if there is none). Repeated rows get
 equal scores; other columns are carried along.
 """
@@ -33,16 +33,23 @@ from pyspark.sql import types as T
 
 from .common import scored
 
-TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
+TRAIN_DOCS, TRAIN_CHARS = 1200, 8_000
 LETTERS, DECAY, REACH = 28, 0.7, 5
-TRIPLES = LETTERS**3
+SEQUENCES = LETTERS**4
 #: Letters of a string at most; longer ones are read in pieces of that many, overlapping by half.
 LONGEST = 24
-LANDMARKS, NEGATIVES, ROUNDS, WORST = 128, 6000, 3, 4
+LANDMARKS, NEGATIVES, ROUNDS, WORST = 192, 5000, 5, 3
+#: Disguised forms of each mark in training, and what each counts against the mark itself.
+DISGUISES, DISGUISE_WEIGHT = 3, 0.1
+#: How far from chance (as a G statistic, halved) a word's share of toxic documents has to be.
+EVIDENCE = 10.0
 FIELDS = T.StructType([T.StructField("score", T.DoubleType())])
-STEPS = [(d, e) for e in range(2, REACH + 1) for d in range(1, e)]
+#: Where the second, third and fourth letter of a subsequence stand after the first.
+STEPS = [(d, e, f) for f in range(3, REACH + 1) for e in range(2, f) for d in range(1, e)]
 #: Signs that are read as letters: fixed values.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+#: Letters of their own, not marked forms of others: fixed values.
+OWN_LETTERS = "ñçß"
 BLANK = 255
 #: Characters that are worked on together.
 AT_ONCE = 1 << 18
@@ -50,7 +57,7 @@ AT_ONCE = 1 << 18
 
 @dataclass
 class KernelMachine:
-    triples: np.ndarray  # weight of each triple
+    sequences: np.ndarray  # weight of each subsequence
     offset: float
     slopes: np.ndarray  # of the logistic fit, for the WORST largest values
     height: float
@@ -63,7 +70,7 @@ def _codes() -> np.ndarray:
     for c in range(0x110000):
         ch = chr(c)
         if ch.isalpha():
-            base = unicodedata.normalize("NFD", ch)[0].lower()
+            base = ch if ch.lower() in OWN_LETTERS else unicodedata.normalize("NFD", ch)[0].lower()
             codes[c] = ord(base) - 96 if "a" <= base <= "z" else LETTERS - 1
         elif ch.isspace():
             codes[c] = BLANK
@@ -75,7 +82,7 @@ def _codes() -> np.ndarray:
 def _norms() -> np.ndarray:
     """Root of the kernel of a string of n different letters with itself."""
     n = np.arange(LONGEST + 3)
-    return np.sqrt(np.maximum(sum(np.maximum(n - e, 0) * DECAY ** (2 * e) for _, e in STEPS), DECAY**4))
+    return np.sqrt(np.maximum(sum(np.maximum(n - f, 0) * DECAY ** (2 * f) for *_, f in STEPS), DECAY**6))
 
 
 def _strings(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,13 +122,15 @@ def _edged(letters: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(letters, at[order], 0), np.insert(unit, at[order], numbers[order])
 
 
-def _triples(letters: np.ndarray, unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """For each step: places where a triple begins, its index, its weight."""
-    out, c = [], letters.astype(np.int64)
-    for d, e in STEPS:
-        if len(c) > e:
-            at = np.flatnonzero(unit[:-e] == unit[e:])
-            out.append((at, (c[at] * LETTERS + c[at + d]) * LETTERS + c[at + e], DECAY**e))
+def _sequences(letters: np.ndarray, unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each step: places where a subsequence begins, its index, its weight."""
+    out, c = [], letters.astype(np.int32)
+    pairs = {d: c[:-d] * LETTERS + c[d:] for d in range(1, REACH)}
+    for reach in range(3, REACH + 1):
+        at = np.flatnonzero(unit[:-reach] == unit[reach:])
+        for d, e, f in STEPS:
+            if f == reach and len(at):
+                out.append((at, pairs[d][at] * LETTERS**2 + pairs[f - e][at + e], DECAY**f))
     return out
 
 
@@ -131,8 +140,8 @@ def values(machine: KernelMachine, letters: np.ndarray, unit: np.ndarray) -> tup
         return np.empty(0), np.empty(0, np.int64)
     letters, unit = _edged(letters, unit)
     at_letter = np.zeros(len(letters))
-    for at, index, weight in _triples(letters, unit):
-        at_letter[at] += weight * machine.triples[index]
+    for at, index, weight in _sequences(letters, unit):
+        at_letter[at] += weight * machine.sequences[index]
     first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
     size = np.diff(np.append(first, len(unit)))
     return np.add.reduceat(at_letter, first) / _norms()[np.minimum(size, LONGEST + 2)] + machine.offset, unit[first]
@@ -145,40 +154,54 @@ def _word_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _edged(np.concatenate([*own, np.empty(0, np.uint8)]), np.repeat(np.arange(len(own)), [len(c) for c in own]))
 
 
-def _kernel(words: list[str], features: np.ndarray) -> np.ndarray:
-    """Kernel of words with landmarks; features: triples by landmark, normed."""
-    out = np.zeros((len(words), features.shape[1]), np.float32)
-    for k in range(0, len(words), 512):
-        letters, unit = _word_codes(words[k : k + 512])
-        for at, index, weight in _triples(letters, unit):
-            np.add.at(out[k : k + 512], unit[at], np.float32(weight) * features[index])
-        size = np.bincount(unit, minlength=len(words[k : k + 512]))
-        out[k : k + 512] /= _norms()[np.minimum(size, LONGEST + 2)][:, None]
-    return out
+@dataclass
+class _Landmarks:
+    """The subsequences that landmarks hold, and how much of each is in which."""
+
+    place: np.ndarray  # row of a subsequence below; the last row for those in no landmark
+    share: np.ndarray  # subsequence by landmark, normed
+
+    @classmethod
+    def of(cls, words: list[str]) -> _Landmarks:
+        letters, unit = _word_codes(words)
+        steps = _sequences(letters, unit)
+        held = np.unique(np.concatenate([index for _, index, _ in steps]))
+        place = np.full(SEQUENCES, len(held), np.int32)
+        place[held] = np.arange(len(held))
+        share = np.zeros((len(held) + 1, len(words)), np.float32)
+        for at, index, weight in steps:
+            np.add.at(share, (place[index], unit[at]), np.float32(weight))
+        return cls(place, share / _norms()[np.minimum(np.bincount(unit, minlength=len(words)), LONGEST + 2)].astype(np.float32))
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), self.share.shape[1]), np.float32)
+        for k in range(0, len(words), 1024):
+            letters, unit = _word_codes(words[k : k + 1024])
+            at_letter = np.zeros((len(letters), out.shape[1]), np.float32)
+            for at, index, weight in _sequences(letters, unit):
+                row = self.place[index]
+                some = row < len(self.share) - 1
+                at_letter[at[some]] += np.float32(weight) * self.share[row[some]]
+            first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            size = np.diff(np.append(first, len(unit)))
+            out[k + unit[first]] = np.add.reduceat(at_letter, first) / _norms()[np.minimum(size, LONGEST + 2)].astype(np.float32)[:, None]
+        return out
 
+    def fold(self, alpha: np.ndarray) -> np.ndarray:
+        return (self.share @ alpha)[self.place].astype(np.float32)
 
-def _features(words: list[str]) -> np.ndarray:
-    letters, unit = _word_codes(words)
-    out = np.zeros((TRIPLES, len(words)), np.float32)
-    for at, index, weight in _triples(letters, unit):
-        np.add.at(out, (index, unit[at]), np.float32(weight))
-    return out / _norms()[np.minimum(np.bincount(unit, minlength=len(words)), LONGEST + 2)]
-
-
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 1e-4, turns: int = 400) -> tuple[np.ndarray, float]:
-    """Linear machine by squared hinge loss, accelerated gradient descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = ahead = np.zeros(x.shape[1])
-    weight = weight / weight.sum()
-    # A bound of the largest curvature, by power iteration.
-    v = np.ones(x.shape[1])
-    for _ in range(20):
-        v = x.T @ (weight * (x @ (v / np.linalg.norm(v))))
-    rate = 1 / (2 * np.linalg.norm(v) + strength)
-    for t in range(turns):
-        short = np.maximum(0, 1 - y * (x @ ahead))
-        new = ahead - rate * (strength * ahead - 2 * x.T @ (weight * y * short))
-        ahead, w = new + t / (t + 3) * (new - w), new
+
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Linear machine by squared hinge loss: Newton steps on the rows that fall short."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    weight, w = weight / weight.sum(), np.zeros(x.shape[1])
+    for _ in range(30):
+        short = y * (x @ w) < 1
+        own = x[short] * weight[short, None]
+        new = np.linalg.solve(own.T @ x[short] + strength * np.eye(x.shape[1]), own.T @ y[short])
+        if np.allclose(new, w, atol=1e-6):
+            break
+        w = w + 0.7 * (new - w)
     return w[:-1], float(w[-1])
 
 
@@ -193,41 +216,49 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
+def _evidence(n: int, others: int, share: float) -> float:
+    """How much likelier n of n + others are at their own share than at `share`, as a log; 0 if theirs is less."""
+    own = n / (n + others)
+    return 0.0 if own <= share else n * np.log(own / share) + (others * np.log((1 - own) / (1 - share)) if others else 0.0)
+
+
 def train(texts: list[str], y: np.ndarray, weights: np.ndarray) -> KernelMachine:
-    nothing = KernelMachine(np.zeros(TRIPLES), 0.0, np.zeros(WORST), -500.0)
+    nothing = KernelMachine(np.zeros(SEQUENCES), 0.0, np.zeros(WORST), -500.0)
     if len(set(y.tolist())) < 2:
-        return nothing if not len(y) or y[0] == 0 else KernelMachine(np.zeros(TRIPLES), 0.0, np.zeros(WORST), 500.0)
+        return nothing if not len(y) or y[0] == 0 else KernelMachine(np.zeros(SEQUENCES), 0.0, np.zeros(WORST), 500.0)
     words = [{w for w in t.lower().split() if sum(c.isalpha() for c in w) >= 3} for t in texts]
     words = [{"".join(c for c in w if c.isalpha() or c in LOOKALIKES) for w in ws} for ws in words]
     toxic, clean = Counter(), Counter()
     for ws, label in zip(words, y, strict=True):
         (toxic if label else clean).update(ws)
     n1, n0 = int(y.sum()), int((1 - y).sum())
-    least = max(3, n1 // 250)
-    marks = [w for w, n in toxic.items() if n >= least and n / n1 > 10 * (clean[w] + 0.5) / n0]
-    marks = sorted(marks, key=lambda w: (-toxic[w], w))[: 4 * LANDMARKS]
+    marks = sorted((w for w, n in toxic.items() if n >= 3 and _evidence(n, clean[w], n1 / (n0 + n1)) > EVIDENCE), key=lambda w: (-toxic[w], w))[: 4 * LANDMARKS]
     usual = sorted(clean, key=lambda w: (-clean[w], w))
     if not marks or not usual:
         return nothing
     landmarks = [*marks[:LANDMARKS], *usual[:LANDMARKS]]
-    features = _features(landmarks)
-    gram = _kernel(landmarks, features).astype(np.float64)
+    held = _Landmarks.of(landmarks)
+    gram = held.kernel(landmarks).astype(np.float64)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     root = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
+    # Disguised forms, one letter doubled or put in, count a little in training.
+    rng = np.random.default_rng(11)
+    disguised = [m[:i] + chr(97 + int(rng.integers(26))) + m[i:] for m in marks for i in rng.integers(1, len(m), DISGUISES).tolist()]
+    common = np.array([*(toxic[m] for m in marks), *(DISGUISE_WEIGHT * toxic[m] for m in marks for _ in range(DISGUISES))], np.float64)
     stride = max(1, len(usual) // NEGATIVES)
     negatives = usual[::stride][:NEGATIVES]
     letters, unit = _word_codes(usual)
     letters, unit = letters[letters > 0], unit[letters > 0]
     for _ in range(ROUNDS):
-        both = [*marks, *negatives]
-        side = np.where(np.arange(len(both)) < len(marks), 1.0, -1.0)
-        weight = np.where(side > 0, 0.5 / len(marks), 0.5 / len(negatives))
-        w, offset = _svm((_kernel(both, features) @ root).astype(np.float32), side, weight)
-        machine = KernelMachine(features @ (root @ w), offset, np.zeros(WORST), 0.0)
+        both = [*marks, *disguised, *negatives]
+        side = np.where(np.arange(len(both)) < len(common), 1.0, -1.0)
+        weight = np.append(common, [min(clean[w], 50) for w in negatives])
+        w, offset = _svm(held.kernel(both) @ root, side, weight)
+        machine = KernelMachine(held.fold(root @ w), offset, np.zeros(WORST), 0.0)
         got, number = values(machine, letters, unit)
         worst = number[np.argsort(-got, kind="stable")[: NEGATIVES // 6]]
         negatives = list(dict.fromkeys([*negatives, *[usual[i] for i in worst]]))
-    machine.slopes, machine.height = _logistic(worst_values(machine, texts), y, weights)
+    machine.slopes, machine.height = _logistic(_clipped(machine, texts), y, weights)
     return machine
 
 
@@ -257,13 +288,18 @@ def worst_values(machine: KernelMachine, texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def _clipped(machine: KernelMachine, texts: list[str | None]) -> np.ndarray:
+    """Beyond the margin all values count alike."""
+    return np.clip(worst_values(machine, texts), -1, 1)
+
+
 def toxicity(docs: DataFrame, machine: KernelMachine, text: str = "text") -> DataFrame:
     """Each document packed as `row`, with its score."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def score(texts: pa.Array) -> list[pa.Array]:
         model = shared.value
-        z = worst_values(model, texts.to_pylist()) @ model.slopes + model.height
+        z = _clipped(model, texts.to_pylist()) @ model.slopes + model.height
         return [pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))]
 
     return scored(docs, text, score, FIELDS)
