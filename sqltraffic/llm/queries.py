@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_classifier, toxicity
+from . import license_scan, quality_classifier, toxicity
 from .binary_records import record_digest
 from .common import crc_mod, table
 from .exact_dedup import duplicate_groups
@@ -37,6 +37,11 @@ def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents"))
 
@@ -70,10 +75,34 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_binary_records, op5_mixing, op6_exact_dedup, op7_best_fit_packing, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op3_binary_records, op4_license_scan, op5_mixing, op6_exact_dedup, op7_best_fit_packing, op9_quality, op10_toxicity)}
+
+
+def _license_sql() -> str:
+    """One subquery for each rule, since what a rule matched is gone for the next."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"{text(k)}: {text(v)}" for k, v in {**license_scan.SENTENCES, **license_scan.TAGS}.items())
+    clean = "x"
+    for sign in (license_scan.SIGNS, license_scan.DOTS_BEFORE, license_scan.DOTS_AFTER):
+        clean = f"regexp_replace({clean}, {text(sign)}, ' ', 'g')"
+    sql = f"""
+      SELECT doc_id, ids, list_aggregate(list_transform(ids, lambda x: coalesce('<' || x || '>', '.')), 'string_agg', '') AS rest, []::VARCHAR[] AS found
+      FROM (SELECT doc_id, list_transform(list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), {text(license_scan.SENTENCE_END)}),
+              lambda x: trim({clean})), lambda x: x <> ''), lambda x: map {{{known}}}[x]) AS ids FROM documents)"""
+    for name, needs in license_scan.RULES:
+        rule = text(license_scan.pattern(needs))
+        sql = f"""
+      SELECT doc_id, ids, regexp_replace(rest, {rule}, '.', 'g') AS rest,
+             CASE WHEN regexp_matches(rest, {rule}) AND NOT list_contains(found, {text(name)}) THEN list_append(found, {text(name)}) ELSE found END AS found
+      FROM ({sql})"""
+    return f"""
+      SELECT doc_id, count(x) AS n_sentences, coalesce(string_agg(x, ',' ORDER BY i), '') AS sentence_ids, any_value(licenses) AS licenses
+      FROM (SELECT doc_id, unnest(list_append(ids, NULL)) AS x, generate_subscripts(list_append(ids, NULL), 1) AS i, array_to_string(found, ',') AS licenses FROM ({sql}))
+      GROUP BY doc_id"""
 
 
 ORACLES = {
+    "op4_license_scan": _license_sql(),
     "op5_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
