@@ -13,6 +13,7 @@ from .common import crc_mod, table
 from .exact_dedup import duplicate_groups
 from .language_id import identify, learn
 from .mixing import taken_words
+from .ngram_join import jaccard_components
 from .packing import pack
 
 #: Tokens in a packed sequence.
@@ -54,6 +55,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary(), SEQUENCE)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def _labelled(spark: SparkSession, sf_dir: str, label: str, chars: int, n: int) -> tuple:
     learnable = crc_mod(F.col("doc_id"), 5) != 0
     return quality_classifier.labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label, learnable, n, chars)
@@ -75,7 +80,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_binary_records, op4_license_scan, op5_mixing, op6_exact_dedup, op7_best_fit_packing, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op3_binary_records, op4_license_scan, op5_mixing, op6_exact_dedup, op7_best_fit_packing, op8_ngram_jaccard, op9_quality, op10_toxicity)}
 
 
 def _license_sql() -> str:
@@ -125,6 +130,21 @@ SELECT doc_id, size, source_size, target,
        (greatest(0, least(size, goal - pos)) + greatest(0, least(size, goal - source_size - pos))
         + greatest(0, least(size, goal - 2 * source_size - pos)))::BIGINT AS taken
 FROM p
+""",
+    "op8_ngram_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + least(5, len(words)) - 1], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - least(5, len(words)) + 2)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS reached FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached),
+c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """,
     "op6_exact_dedup": r"""
 WITH d AS (
