@@ -95,15 +95,19 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     return slots.withColumn("own", own).join(runs, ["number", "run"]).select("turn", "number", (F.col("base") + F.col("own")).alias("rank"))
 
 
+def _turns(sizes: DataFrame, sources: DataFrame) -> DataFrame:
+    """A row for each document and epoch: `from` and `to`, the tokens of its source's stream that it gives."""
+    few = sources.select(F.col("source").alias("s"), "number", "source_size", F.round("target").cast("long").alias("goal"))
+    # Sources are few against documents, but their number is not bounded: Spark picks the join by size.
+    placed = _starts(sizes.where("size > 0").join(few, F.col("source").eqNullSafe(F.col("s"))).drop("s", "source"))
+    each = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))))
+    return each.withColumn("from", F.col("epoch") * F.col("source_size") + F.col("at")).withColumn("to", F.least(F.col("from") + F.col("size"), F.col("goal")))
+
+
 def mix(sizes: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix in parts: turn of the slot, n (row of the document), doc_id, epoch, skip and take (its words
     from where, how many)."""
-    few = sources.select("source", "number", "source_size", F.round("target").cast("long").alias("goal"))
-    # Sources are few against documents, but their number is not bounded: Spark picks the join by size.
-    rows = sizes.where("size > 0").join(few.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
-    placed = _starts(rows)
-    each = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))))
-    each = each.withColumn("from", F.col("epoch") * F.col("source_size") + F.col("at")).withColumn("to", F.least(F.col("from") + F.col("size"), F.col("goal")))
+    each = _turns(sizes, sources)
     parts = each.where("from < to").withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
     low, high = F.greatest("from", F.col("rank") * block), F.least("to", (F.col("rank") + 1) * block)
     parts = parts.select("n", "doc_id", "number", "rank", "epoch", (low - F.col("from")).alias("skip"), (high - low).alias("take"))
@@ -118,3 +122,19 @@ def taken_words(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     few = sources.select(F.col("source").alias("s"), "source_size", "target")
     rows = sizes.join(few, F.col("source").eqNullSafe(F.col("s"))).join(taken, "n", "left")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix as documents, with all their columns: a row for each time that one is gone through.
+
+    Where a source's target ends inside a document, the text of that turn ends there too (n_chars, if there is
+    such a column, follows). Documents that are not taken, and those of size 0, are left out.
+    """
+    sources = settled(targets(sized(docs, doc_id, text, source)), "targets")
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.monotonically_increasing_id().alias("n"))
+    each = _turns(rows, sources).where("from < to").withColumn("take", F.col("to") - F.col("from"))
+    whole = F.col("take") == F.col("size")
+    words = F.array_join(F.slice(F.regexp_extract_all(F.col("row")[text], F.lit(WORD), F.lit(0)), F.lit(1), F.col("take").cast("int")), " ")
+    cut = F.when(whole, F.col("row")[text]).otherwise(words)
+    columns = [cut.alias(c) if c == text else (F.when(whole, F.col("row")[c]).otherwise(F.length(words)).alias(c) if c == "n_chars" else F.col("row")[c].alias(c)) for c in docs.columns]
+    return each.select(*columns)

@@ -279,3 +279,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = settled(rows.select("doc_id", "n", "component"), "rows")
     first = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(first, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that stay, with all columns: of each component the one of the smallest doc_id.
+
+    Rows that share an id are judged together; rows with a null id stay.
+    """
+    dropped = jaccard_components(docs, doc_id, text).where("doc_id != component_id").select(F.col("doc_id").alias("_dropped")).distinct()
+    return docs.join(dropped, F.col(doc_id) == F.col("_dropped"), "left_anti")

@@ -12,6 +12,7 @@ from .binary_records import record_digest
 from .common import crc_mod, table
 from .exact_dedup import duplicate_groups
 from .language_id import identify, learn
+from .embedding_dedup import near_duplicates
 from .mixing import taken_words
 from .ngram_join import jaccard_components
 from .packing import pack
@@ -34,6 +35,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", (crc_mod(F.col("row.doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_digest(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -80,7 +85,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_binary_records, op4_license_scan, op5_mixing, op6_exact_dedup, op7_best_fit_packing, op8_ngram_jaccard, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_binary_records, op4_license_scan, op5_mixing, op6_exact_dedup, op7_best_fit_packing, op8_ngram_jaccard, op9_quality, op10_toxicity)}
 
 
 def _license_sql() -> str:
@@ -107,6 +112,19 @@ def _license_sql() -> str:
 
 
 ORACLES = {
+    "op2_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x, list_aggregate(list_transform(embedding, lambda c: c::DOUBLE * c), 'sum') AS norm FROM embeddings),
+f AS (SELECT vec_id, label, x, sqrt(norm) AS norm FROM v WHERE label IS NOT NULL AND norm > 0 AND isfinite(norm) AND len(list_filter(x, lambda c: c IS NULL)) = 0),
+e AS MATERIALIZED (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM f p JOIN f q ON p.label = q.label AND p.vec_id <> q.vec_id
+  WHERE list_dot_product(p.x, q.x) / (p.norm * q.norm) >= 0.93),
+r AS (SELECT a AS vec_id, a AS reached FROM e UNION SELECT r.vec_id, e.b FROM r JOIN e ON e.a = r.reached),
+c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM e GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+""",
     "op4_license_scan": _license_sql(),
     "op5_mixing": r"""
 WITH d AS (
