@@ -6,7 +6,8 @@
    then by hash. Two sets of similarity s share a shingle among the first n - ceil(s n) + 1 of
    each, so classes meet in runs, one for each shingle that two or more have among those. Passages
    that very many documents share come last in the order and make no runs.
-3. Neighbours in a run, ordered by size, are verified first; links make components.
+3. Neighbours in a run, ordered by size, come first: those whose signatures allow it are verified
+   on whole sets, and links make components.
 4. What is left are pairs of different components in a run. A tree over the run's classes has at
    its nodes the OR of their token bitmaps and their range of sizes; two nodes are gone through
    together only if a pair below them may overlap enough, and if they are not of one component.
@@ -36,7 +37,7 @@ NEED, OF = 4, 5
 #: Counters for the order of shingles, and in how many parts they are summed.
 CELLS, SLICES = 1 << 18, 64
 #: 64-bit words of a signature; classes in a leaf; children of a node; rows of a run in one block.
-SIGNATURE, LEAF, FAN, BLOCK = 32, 32, 8, 8192
+SIGNATURE, LEAF, FAN, BLOCK = 16, 32, 8, 8192
 #: Bits of the filter that tells which classes' sets are needed.
 FILTER_BITS = 1 << 25
 
@@ -72,24 +73,25 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
 
 
 def classes(docs: DataFrame, counts: np.ndarray, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n, class and prefix (its first shingles in the global order) of each document."""
+    """doc_id, n, class, prefix (its first shingles in the global order) and signature of each document."""
     order = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, prefixes = [], []
+            names, prefixes, marks = [], [], []
             sets = shingle_sets(batch.column("text"))
             for s in sets:
                 names.append(fingerprint(s) if len(s) else None)
                 size = len(s) - -(-NEED * len(s) // OF) + 1 if len(s) else 0
                 by = np.argsort(order.value[s & np.uint64(CELLS - 1)], kind="stable")  # a set is in order of hash
                 prefixes.append(s[by[:size]])
+                marks.append(signature(s).tobytes())
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate([*prefixes, np.empty(0, np.uint64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), lists], names=["doc_id", "n", "class", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), lists, pa.array(marks, pa.binary())], names=["doc_id", "n", "class", "prefix", "signature"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, class long, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, class long, prefix array<long>, signature binary")
 
 
 def runs(known: DataFrame) -> DataFrame:
@@ -125,10 +127,11 @@ def runs(known: DataFrame) -> DataFrame:
     return ordered.mapInArrow(shared, "h long, n int, class long, pos int, before long")
 
 
-def class_sets(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(class, n, shingles) of the classes in runs, shingles as bytes in order of hash, with a signature."""
+def class_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(class, shingles) of the classes in the pairs, shingles as bytes in order of hash."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("class"))
     bit = F.pmod(F.col("class"), F.lit(FILTER_BITS))
-    bitmaps = shared.select("class").distinct().groupBy((bit / 32768).cast("int").alias("at")).agg(F.expr(f"bitmap_construct_agg(cast(pmod(class, {FILTER_BITS}) % 32768 as int))").alias("bits"))
+    bitmaps = needed.groupBy((bit / 32768).cast("int").alias("at")).agg(F.expr(f"bitmap_construct_agg(cast(pmod(class, {FILTER_BITS}) % 32768 as int))").alias("bits"))
     wanted = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
     for row in bitmaps.collect():  # FILTER_BITS bits at most
         wanted[row["at"]] = np.frombuffer(row["bits"], np.uint8)
@@ -145,10 +148,28 @@ def class_sets(docs: DataFrame, shared: DataFrame) -> DataFrame:
                         names.append(name)
                         sets.append(s)
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], names=["class", "shingles", "signature"])
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "shingles"])
 
-    found = docs.select("text").mapInArrow(run, "class long, shingles binary, signature binary")
-    return found.groupBy("class").agg(F.first("shingles").alias("shingles"), F.first("signature").alias("signature"))
+    return docs.select("text").mapInArrow(run, "class long, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles"))
+
+
+def possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sizes and signatures let them be similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SIGNATURE) for c in ("x", "y"))
+            more = np.minimum(n - np.bitwise_count(x).sum(1, dtype=np.int64), m - np.bitwise_count(y).sum(1, dtype=np.int64))
+            overlap = np.bitwise_count(x & y).sum(1, dtype=np.int64) + more
+            keep = (OF * np.minimum(n, m) >= NEED * np.maximum(n, m)) & ((NEED + OF) * overlap >= NEED * (n + m))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    left = marks.select(F.col("class").alias("a"), "n", F.col("signature").alias("x"))
+    right = marks.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("signature").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -157,8 +178,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose sets are similar enough."""
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose whole sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,10 +190,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(OF * both >= NEED * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    pairs = settled(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+    sets = settled(class_sets(docs, pairs), "sets")
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return settled(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
 class _Tree:
@@ -234,18 +258,21 @@ def run_pairs(n: np.ndarray, pos: np.ndarray, name: np.ndarray, comp: np.ndarray
     return np.concatenate([*left, np.empty(0, np.int64)]), np.concatenate([*right, np.empty(0, np.int64)])
 
 
-def tree_pairs(shared: DataFrame, sets: DataFrame, of: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that the trees of all runs let through."""
+def tree_pairs(shared: DataFrame, marks: DataFrame, of: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that the trees of all runs let through.
+
+    A run of two is its two neighbours, which have been compared.
+    """
     rows = shared.select("h", "n", "class", "pos").join(of, "class", "left").withColumn("component", F.coalesce("component", "class"))
     rows = settled(rows, "run-rows")
-    mixed_runs = rows.groupBy("h").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    mixed_runs = rows.groupBy("h").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high and rows > 2")
     mixed_runs = mixed_runs.select("h", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(mixed_runs, "h")
     # A run of more than BLOCK rows is dealt as pairs of blocks; each row stands in as many as there are blocks.
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    rows = rows.join(sets.select("class", "signature"), "class")
+    rows = rows.join(marks.select("class", "signature"), "class")
 
     def run(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(tables))
@@ -262,17 +289,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     known = settled(classes(docs, shingle_counts(docs)), "classes")
     shared = settled(runs(known), "runs")
-    sets = settled(class_sets(docs, shared), "sets")
+    marks = settled(known.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("signature").alias("signature")), "signatures")
 
-    links = settled(verified(shared.where("before is not null and pos = 0").select(F.col("before").alias("a"), F.col("class").alias("b")), sets), "links")
-    of = components(links).withColumnRenamed("node", "class")
-    # Neighbours in any run that are not yet of one component.
-    near = shared.where("before is not null").select(F.col("before").alias("a"), F.col("class").alias("b")).distinct()
-    of_a, of_b = of.select(F.col("class").alias("a"), F.col("component").alias("ca")), of.select(F.col("class").alias("b"), F.col("component").alias("cb"))
-    near = near.join(of_a, "a", "left").join(of_b, "b", "left").where("coalesce(ca, a) != coalesce(cb, b)")
-    links = settled(links.unionByName(verified(near.select("a", "b"), sets)), "links")
+    near = shared.where("before is not null").select(F.least("before", "class").alias("a"), F.greatest("before", "class").alias("b")).distinct()
+    links = verified(possible(near, marks), docs)
     of = components(links).withColumnRenamed("node", "class")
-    links = settled(links.unionByName(verified(tree_pairs(shared, sets, of), sets)), "links")
+    more = tree_pairs(shared, marks, of).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = links.unionByName(verified(more.join(near, ["a", "b"], "left_anti"), docs))
     of = components(links).withColumnRenamed("node", "class")
 
     rows = known.select("doc_id", "n", "class").join(of, "class", "left").withColumn("component", F.coalesce("component", "class"))
