@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # Times without a zone become instants, for the functions that need them.
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
 def _pick(n: str, *choices: object):
@@ -113,9 +115,9 @@ def cluster_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative counts of events per hour and cluster, and a gauge of the hour's distinct users."""
     e = table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").alias("ts"), (F.col("user_id") % 2).cast("string").alias("cluster"), "user_id")
     hours = e.groupBy("ts", "cluster").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
-    running = F.sum("n").over(Window.partitionBy("cluster").orderBy("ts"))
+    hours = hours.withColumn("running", F.sum("n").over(Window.partitionBy("cluster").orderBy("ts")))
     return hours.select("ts", "cluster", F.explode(F.array(
-        F.struct(F.lit("queries_total").alias("name"), F.lit("counter").alias("kind"), running.cast("double").alias("value")),
+        F.struct(F.lit("queries_total").alias("name"), F.lit("counter").alias("kind"), F.col("running").cast("double").alias("value")),
         F.struct(F.lit("sessions_active").alias("name"), F.lit("gauge").alias("kind"), F.col("users").cast("double").alias("value")),
     )).alias("m")).select("ts", "cluster", "m.*")
 
