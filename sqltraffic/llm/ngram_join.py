@@ -7,7 +7,8 @@
    each, so classes meet in runs, one for each shingle that two or more have among those. Passages
    that very many documents share come last in the order and make no runs.
 3. Neighbours in a run, ordered by size, come first: those whose signatures allow it are verified
-   on whole sets, and links make components.
+   on whole sets, and links make components; of these first each class with the one it neighbours
+   in most runs, then those that are not of one component yet.
 4. What is left are pairs of different components in a run. A tree over the run's classes has at
    its nodes the OR of their token bitmaps and their range of sizes; two nodes are gone through
    together only if a pair below them may overlap enough, and if they are not of one component.
@@ -154,7 +155,7 @@ def class_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sizes and signatures let them be similar enough."""
+    """Those of the pairs (a, b, times) whose sizes and signatures let them be similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,11 +166,11 @@ def possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
             more = np.minimum(n - np.bitwise_count(x).sum(1, dtype=np.int64), m - np.bitwise_count(y).sum(1, dtype=np.int64))
             overlap = np.bitwise_count(x & y).sum(1, dtype=np.int64) + more
             keep = (OF * np.minimum(n, m) >= NEED * np.maximum(n, m)) & ((NEED + OF) * overlap >= NEED * (n + m))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b", "times"]).filter(pa.array(keep))
 
     left = marks.select(F.col("class").alias("a"), "n", F.col("signature").alias("x"))
     right = marks.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("signature").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "times", "n", "m", "x", "y").mapInArrow(run, "a long, b long, times long")
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -178,7 +179,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of classes whose whole sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,10 +191,6 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(OF * both >= NEED * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = settled(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs
-    sets = settled(class_sets(docs, pairs), "sets")
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
     return settled(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
@@ -284,6 +281,12 @@ def tree_pairs(shared: DataFrame, marks: DataFrame, of: DataFrame) -> DataFrame:
     return rows.select("h", "i", "j", "n", "pos", "class", "component", "signature").groupBy("h", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The pairs whose classes are not of one component."""
+    a, b = (of.select(F.col("class").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -291,12 +294,20 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     shared = settled(runs(known), "runs")
     marks = settled(known.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("signature").alias("signature")), "signatures")
 
-    near = shared.where("before is not null").select(F.least("before", "class").alias("a"), F.greatest("before", "class").alias("b")).distinct()
-    links = verified(possible(near, marks), docs)
+    near = shared.where("before is not null").groupBy(F.least("before", "class").alias("a"), F.greatest("before", "class").alias("b")).agg(F.count("*").alias("times"))
+    near = settled(near, "neighbours")
+    likely = settled(possible(near, marks), "pairs")
+    sets = settled(class_sets(docs, likely), "sets")
+    closest = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "times")).groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
+    links = verified(closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
     of = components(links).withColumnRenamed("node", "class")
-    more = tree_pairs(shared, marks, of).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionByName(verified(more.join(near, ["a", "b"], "left_anti"), docs))
+    links = links.unionByName(verified(_apart(likely, of), sets))
     of = components(links).withColumnRenamed("node", "class")
+    more = tree_pairs(shared, marks, of).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = settled(more.join(near, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        links = links.unionByName(verified(more, settled(class_sets(docs, more), "sets")))
+        of = components(links).withColumnRenamed("node", "class")
 
     rows = known.select("doc_id", "n", "class").join(of, "class", "left").withColumn("component", F.coalesce("component", "class"))
     rows = settled(rows.select("doc_id", "n", "component"), "rows")
