@@ -38,6 +38,7 @@ def ipv6_hex(address: Column) -> Column:
     missing = 8 - F.size(left) - F.size(right)
     every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
     fine = address.rlike(r"(?i)\A[0-9a-f:]+\z") & address.contains(":") & F.forall(every, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z"))
+    fine &= ~address.rlike("::.*::|:::")
     fine &= F.when(address.contains("::"), missing >= 1).otherwise(missing == 0)
     return F.when(fine, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
 

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sqltraffic.functions import statements
 
-IN_SESSION = Window.partitionBy("session_id").orderBy("seq")
-EARLIER = IN_SESSION.rowsBetween(Window.unboundedPreceding, -1)
-SO_FAR = IN_SESSION.rowsBetween(Window.unboundedPreceding, 0)
+
+def in_session() -> WindowSpec:
+    return Window.partitionBy("session_id").orderBy("seq")
+
+
+def earlier() -> WindowSpec:
+    return in_session().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def so_far() -> WindowSpec:
+    return in_session().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def sessionize(log: DataFrame, *ties: str) -> DataFrame:
@@ -24,9 +32,9 @@ def replay_schedule(log: DataFrame, speed: float, longest_ms: float = 10_000.0)
     A wait is the gap to the read before, by speed; one of `longest_ms` or more, or of none, is no wait.
     """
     reads = log.where(statements.category(F.col("query")) == statements.SELECT)
-    gap = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(IN_SESSION))) / 1000.0
+    gap = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(in_session()))) / 1000.0
     wait = F.lit(0.0) if speed <= 0 else F.coalesce(F.when((gap / speed > 0) & (gap / speed < longest_ms), gap / speed), F.lit(0.0))
-    return reads.withColumn("wait_ms", wait).withColumn("offset_ms", F.sum("wait_ms").over(SO_FAR))
+    return reads.withColumn("wait_ms", wait).withColumn("offset_ms", F.sum("wait_ms").over(so_far()))
 
 
 def temp_table_gate(log: DataFrame) -> DataFrame:
@@ -57,29 +65,29 @@ def temp_table_lifetimes(log: DataFrame) -> DataFrame:
 def current_database(log: DataFrame) -> DataFrame:
     """`in_force`: the database of the last USE so far, else the row's own."""
     used = F.nullif(F.lower(F.translate(F.regexp_extract(statements.bare(F.col("query")), r"(?is)\AUSE\s+(`[^`]*`|[^\s;]+)", 1), "`", "")), F.lit(""))
-    return log.withColumn("in_force", F.coalesce(F.last(used, ignorenulls=True).over(SO_FAR), "database"))
+    return log.withColumn("in_force", F.coalesce(F.last(used, ignorenulls=True).over(so_far()), "database"))
 
 
-def is_transport_error(error) -> object:
+def is_transport_error(error: Column) -> Column:
     return (error != "") & ~error.rlike(r"(?i)\AERROR [0-9]+")
 
 
 def teardown_effect(results: DataFrame) -> DataFrame:
     """`dropped`: statements after the first transport error of their session."""
-    broken = F.max(is_transport_error(F.col("error"))).over(EARLIER)
+    broken = F.max(is_transport_error(F.col("error"))).over(earlier())
     return results.withColumn("dropped", F.coalesce(broken, F.lit(False)))
 
 
 def _in_transaction(log: DataFrame) -> DataFrame:
     text = F.upper(statements.bare(F.col("query")))
     edge = F.when(text.rlike(r"\A(?:BEGIN|START\s+TRANSACTION)(?:[\s;]|\z)"), True).when(text.rlike(r"\A(?:COMMIT|ROLLBACK)(?:[\s;]|\z)") & ~text.rlike(r"\AROLLBACK\s+TO"), False)
-    return log.withColumn("_edge", edge).withColumn("in_transaction", F.coalesce(F.last("_edge", ignorenulls=True).over(SO_FAR), F.lit(False)))
+    return log.withColumn("_edge", edge).withColumn("in_transaction", F.coalesce(F.last("_edge", ignorenulls=True).over(so_far()), F.lit(False)))
 
 
 def transaction_spans(log: DataFrame) -> DataFrame:
     """A row for each transaction of a session: where it begins, how many statements it has, whether it was ended."""
-    rows = _in_transaction(log).withColumn("_span", F.sum(F.when(F.col("_edge"), 1).otherwise(0)).over(SO_FAR))
-    was_in = F.coalesce(F.lag("in_transaction").over(IN_SESSION), F.lit(False))
+    rows = _in_transaction(log).withColumn("_span", F.sum(F.when(F.col("_edge"), 1).otherwise(0)).over(so_far()))
+    was_in = F.coalesce(F.lag("in_transaction").over(in_session()), F.lit(False))
     rows = rows.withColumn("_ends", was_in & ~F.col("_edge")).where("in_transaction or _ends")
     return rows.groupBy("session_id", F.col("_span").alias("span")).agg(
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("statements"), F.coalesce(F.bool_or("_ends"), F.lit(False)).alias("ended")
