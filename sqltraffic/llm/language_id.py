@@ -116,7 +116,8 @@ class _Parser:
         self.bits = np.log2([max(2, len(s)) for s in symbols])
         self.first = np.cumsum([0, *[len(t) for t in tables[:-1]]]).astype(np.int32)
         # One table for all: states of the k-th language begin at first[k].
-        self.table = np.concatenate([np.where(t >= 0, t + f, ~(~t + f)) for t, f in zip(tables, self.first, strict=True)]).astype(np.int32).ravel()
+        parts = [np.where(t >= 0, t + f, ~(~t + f)) for t, f in zip(tables, self.first)]
+        self.table = np.concatenate([*parts, np.empty((0, SYMBOLS))]).astype(np.int32).ravel()
         self.languages = np.array(model.languages)
 
     def phrases(self, lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:

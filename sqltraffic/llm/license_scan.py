@@ -2,7 +2,7 @@
 
 A text is cut into sentences at line ends and full stops; each is normalised (lower case, runs of
 anything but letters, digits and the dots of version numbers become one blank). A normalised
-sentence that is among SENTENCES, or holds a licence tag of TAGS, has an identifier. A document's
+sentence that is among SENTENCES or TAGS has an identifier. A document's
 identifiers in order make a sequence, and the ordered rules of RULES are matched against it: a
 rule's identifiers have to occur in its order, with at most GAP other sentences between two of them.
 The first rule that matches at a place wins it; a document's licences are those of all places.
@@ -54,18 +54,19 @@ SENTENCES = {
     "this source code form is subject to the terms of the mozilla public license v. 2.0": "mpl-grant",
     "all rights reserved": "all-rights",
 }
-#: Tags that name a licence in one line, as normalised: fixed values.
+#: The tag line, which a colon cuts in two: its name, and the licence's, as normalised: fixed values.
 TAGS = {
-    "spdx license identifier apache 2.0": "apache-tag",
-    "spdx license identifier mit": "mit-tag",
-    "spdx license identifier gpl 3.0": "gpl3-tag",
-    "spdx license identifier gpl 2.0": "gpl2-tag",
-    "spdx license identifier bsd 3 clause": "bsd3-tag",
-    "spdx license identifier bsd 2 clause": "bsd2-tag",
-    "spdx license identifier mpl 2.0": "mpl-tag",
-    "spdx license identifier cc by 4.0": "cc-by-tag",
-    "spdx license identifier cc by sa 4.0": "cc-by-sa-tag",
-    "spdx license identifier cc by nc 4.0": "cc-by-nc-tag",
+    "spdx license identifier": "spdx",
+    "apache 2.0": "apache-tag",
+    "mit": "mit-tag",
+    "gpl 3.0": "gpl3-tag",
+    "gpl 2.0": "gpl2-tag",
+    "bsd 3 clause": "bsd3-tag",
+    "bsd 2 clause": "bsd2-tag",
+    "mpl 2.0": "mpl-tag",
+    "cc by 4.0": "cc-by-tag",
+    "cc by sa 4.0": "cc-by-sa-tag",
+    "cc by nc 4.0": "cc-by-nc-tag",
 }
 #: Rules in order of precedence, from more to fewer sentences: fixed values.
 RULES = [
@@ -76,25 +77,25 @@ RULES = [
     ("GPL-3.0-or-later", ["gpl3-terms", "later-version"]),
     ("GPL-2.0-or-later", ["gpl2-terms", "later-version"]),
     ("Apache-2.0", ["apache-grant"]),
-    ("Apache-2.0", ["apache-tag"]),
+    ("Apache-2.0", ["spdx", "apache-tag"]),
     ("MIT", ["mit-grant"]),
     ("MIT", ["mit-permission"]),
-    ("MIT", ["mit-tag"]),
+    ("MIT", ["spdx", "mit-tag"]),
     ("GPL-3.0", ["gpl3-grant"]),
     ("GPL-3.0", ["gpl3-terms"]),
-    ("GPL-3.0", ["gpl3-tag"]),
+    ("GPL-3.0", ["spdx", "gpl3-tag"]),
     ("GPL-2.0", ["gpl2-terms"]),
-    ("GPL-2.0", ["gpl2-tag"]),
+    ("GPL-2.0", ["spdx", "gpl2-tag"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-grant"]),
-    ("CC-BY-NC-4.0", ["cc-by-nc-tag"]),
+    ("CC-BY-NC-4.0", ["spdx", "cc-by-nc-tag"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-grant"]),
-    ("CC-BY-SA-4.0", ["cc-by-sa-tag"]),
+    ("CC-BY-SA-4.0", ["spdx", "cc-by-sa-tag"]),
     ("CC-BY-4.0", ["cc-by-grant"]),
-    ("CC-BY-4.0", ["cc-by-tag"]),
+    ("CC-BY-4.0", ["spdx", "cc-by-tag"]),
     ("MPL-2.0", ["mpl-grant"]),
-    ("MPL-2.0", ["mpl-tag"]),
-    ("BSD-3-Clause", ["bsd3-tag"]),
-    ("BSD-2-Clause", ["bsd2-tag"]),
+    ("MPL-2.0", ["spdx", "mpl-tag"]),
+    ("BSD-3-Clause", ["spdx", "bsd3-tag"]),
+    ("BSD-2-Clause", ["spdx", "bsd2-tag"]),
 ]
 #: Sentences of other kinds that may stand between two of a rule.
 GAP = 3
