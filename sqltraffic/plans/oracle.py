@@ -196,7 +196,7 @@ SQL = {
     "u1_combined_report": f"WITH {_COMPARED}, e AS (SELECT unnest(generate_series((SELECT min(date_trunc('day', ts)) FROM c), (SELECT max(date_trunc('day', ts)) FROM c), INTERVAL 1 DAY)) AS timestamp) SELECT 'difference' AS type, session_id, seq, NULL::TIMESTAMP AS timestamp, NULL::BIGINT AS window_total FROM c WHERE NOT match AND NOT ignored UNION ALL SELECT 'heartbeat', NULL, NULL, timestamp, (SELECT count(*) FROM c WHERE date_trunc('day', ts) = timestamp) FROM e",
 }
 SQL |= {
-    "x1_stream_digest_counts": f"WITH {_LOG} SELECT digest, count(*) AS count, round(avg(response_time_ms), 6) AS avg_ms FROM q GROUP BY digest",
+    "x1_stream_digest_counts": f"WITH {_LOG} SELECT digest, count(*) AS count, round(avg(response_time_ms), 9) AS avg_ms FROM q GROUP BY digest",
     "x4_stream_session_gate": SQL["w3_temp_table_gate"],
     "x5_stream_pair": f"WITH {_COMPARED} SELECT session_id, seq, CASE WHEN event_id % 19 <> 0 THEN replay_ms END AS replay_ms FROM c WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY",
     "x7_stream_digest_cap": f"WITH {_LOG}, f AS (SELECT digest FROM q GROUP BY digest ORDER BY min((ts, session_id, seq)) LIMIT 4) SELECT digest, count(*) AS count FROM q JOIN f USING (digest) GROUP BY digest",

@@ -501,7 +501,7 @@ def u1_combined_report(spark, sf_dir):
 def x1_stream_digest_counts(spark, sf_dir):
     stream, checkpoint = in_batches(spark, fixtures.query_log(spark, sf_dir), "ts")
     found = drained(jobs.stream_digest_counts(stream), checkpoint, "complete")
-    return found.select("digest", "count", F.round("avg_ms", 6).alias("avg_ms"))
+    return found.select("digest", "count", F.round("avg_ms", 9).alias("avg_ms"))
 
 
 @query
