@@ -103,8 +103,6 @@ GAP = 3
 SENTENCE_END = r"[\r\n]+|[.;:!?]+[ \t]"
 #: What is taken out of a sentence: other signs, then dots that do not stand inside a number or name.
 SIGNS, DOTS_BEFORE, DOTS_AFTER = r"[^a-z0-9.]+", r"(^| )\.+", r"\.+( |$)"
-#: What every known sentence has one of; a text without any is not cut up at all.
-HINT = r"(?i)licen[cs]|apache|permi|redistribut|warrant|copyright|free software|creative commons|endorse|later version|rights reserved|as is"
 
 
 def sentences(text: Column) -> Column:
@@ -146,8 +144,7 @@ def matches(ids: Column) -> Column:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each document packed as `row`, with sentence_ids (known ones, in order) and licenses."""
-    hinted = F.when(F.regexp_like(F.col(text), F.lit(HINT)), sentence_ids(F.col(text)))
-    rows = docs.select(F.struct("*").alias("row"), hinted.alias("ids"))
+    rows = docs.select(F.struct("*").alias("row"), sentence_ids(F.col(text)).alias("ids"))
     known = F.exists("ids", lambda i: i.isNotNull())
     none = F.array().cast("array<string>")
     return rows.select(

@@ -7,13 +7,14 @@ import struct
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sqltraffic.llm import binary_records, embedding_dedup, exact_dedup, language_id, license_scan, mixing, ngram_join, packing, quality_classifier, toxicity
-from sqltraffic.llm.queries import vocabulary
+from sqltraffic.llm.queries import ORACLES, op4_license_scan, vocabulary
 from sqltraffic.llm.shingles import shingle_set
 from sqltraffic.llm.token_ids import Encoder
 
@@ -278,6 +279,18 @@ def test_license_scan(spark, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_license_scan_equals_its_sql(spark, tmp_path):
+    texts = [*license_scan.SENTENCES, *license_scan.TAGS, "Das Haus. mit: Garten", "Or, at your option, any later-version", "all rights\treserved", "x", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in op4_license_scan(spark, str(tmp_path)).select("doc_id", "n_sentences", "sentence_ids", "licenses").collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.execute(f"SELECT doc_id, n_sentences, sentence_ids, licenses FROM ({ORACLES['op4_license_scan']})").fetchall())
+    at = {t: i for i, t in enumerate(texts)}
+    ids = {r[0]: r[2] for r in got}
+    assert [ids[at[t]] for t in ("mit", "bsd 3 clause", "Das Haus. mit: Garten", "Or, at your option, any later-version", "all rights\treserved")] == ["mit-tag", "bsd3-tag", "mit-tag", "later-version", "all-rights"]
+
+
 def test_quality_and_toxicity(spark, none):
     rng = random.Random(9)
     rows, labels = [], []
