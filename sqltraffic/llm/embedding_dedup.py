@@ -3,13 +3,13 @@
 Equal vectors of a label are one class. A first neighbour graph comes from ORDERS sorted orders by
 random-hyperplane signatures: vectors that are close tend to stand side by side. Then it is
 refined: around each vector, its neighbours and those that have it as theirs are compared with
-each other, and pairs better than the worst in either list are put in; rounds go on until few lists change. Edges of
-cosine THRESHOLD or more are kept; they make components.
+each other, and pairs better than the worst in either list are put in; rounds go on until few lists change. All
+pairs of cosine THRESHOLD or more that were met on the way are kept, also those that no list has room for; they make components.
 
-Where lists are saturated, since a vector may have more links than its list is long, they are enlarged to the
-whole component: its members are compared in pairs of blocks. An audit compares AUDIT_STEP-th
-vectors with all of their label, in blocks; if less than RECALL of their links were found, the lists are
-doubled and refined again, TRIES times at most.
+Links are counted in the whole component: its members are compared in pairs of blocks. An audit compares AUDIT_STEP-th
+vectors with all of their label, in blocks; labels of whose links less than RECALL were found are
+refined again with lists twice as long. Labels that are still short after TRIES, and
+those of WHOLE classes at most, are compared in full, in pairs of blocks.
 
 Vectors that are null, of length zero or with null or non-finite components, and those without a label or an id,
 have no links and are their own component. Rows that repeat count as vectors of their own. An
@@ -34,6 +34,8 @@ LIST, ORDERS, REACH, BITS = 8, 6, 3, 24
 ROUNDS, FEW, TRIES = 3, 0.02, 3
 #: Vectors that are compared with each other in one task: around a vector, and of a component.
 AROUND, BLOCK = 256, 1024
+#: Classes of a label that is compared in full at once: one block.
+WHOLE = 1024
 AUDIT_STEP, RECALL, QUERIES = 50, 0.97, 256
 EDGES = "a long, b long, sim double"
 
@@ -135,18 +137,43 @@ def refine(groups: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def descend(groups: DataFrame, length: int) -> DataFrame:
-    """Edges of the refined graph; all that are links, and the best of the rest."""
+    """All links (a, b) among the pairs that the graph and its rounds have compared."""
     n = groups.count()
-    lists = settled(best_lists(first_graph(groups, reach=max(REACH, length // 3)), length), "lists")
+    found = settled(first_graph(groups, reach=max(REACH, length // 3)), "first-edges")
+    lists = settled(best_lists(found, length), "lists")
     for _ in range(ROUNDS):
         old = lists.select("a", F.explode("near").alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.sim").alias("sim"))
         new = settled(refine(groups, lists), "new-edges")
+        found = found.unionByName(new)
         better = settled(best_lists(old.unionByName(new), length), "lists")
         changed = better.select("a", "worst").join(lists.select("a", F.col("worst").alias("before")), "a").where("worst > before + 1e-12").count()
         lists = better
         if changed < FEW * n:
             break
-    return lists.select("a", F.explode("near").alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.sim").alias("sim"))
+    return found.where(F.col("sim") >= THRESHOLD).select("a", "b")
+
+
+def label_edges(groups: DataFrame) -> DataFrame:
+    """Edges (a, b) that join what links join, from all pairs of each label, in blocks: a star for each component of a pair of blocks."""
+    sized = groups.select("class", "label", "vector", F.size("vector").alias("size"))
+    blocks = sized.groupBy("label", "size").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = sized.join(blocks, ["label", "size"]).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+    def compare(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(tables))
+        name, x = table.column("class").to_numpy(), _matrix(table.column("vector"))
+        linked, root = x @ x.T >= THRESHOLD, np.full(len(x), -1)
+        for i in range(len(x)):
+            front = np.array([i] if root[i] < 0 else [], np.int64)
+            while len(front):
+                root[front] = i
+                front = np.flatnonzero(linked[front].any(axis=0) & (root < 0))
+        at = np.flatnonzero(root != np.arange(len(x)))
+        yield pa.RecordBatch.from_arrays([pa.array(name[root[at]]), pa.array(name[at])], names=["a", "b"])
+
+    return dealt.select("label", "size", "i", "j", "class", "vector").groupBy("label", "size", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def component_links(groups: DataFrame, of: DataFrame) -> DataFrame:
@@ -171,8 +198,8 @@ def component_links(groups: DataFrame, of: DataFrame) -> DataFrame:
     return each.groupBy("class").agg(F.sum("links").alias("links"))
 
 
-def audit(groups: DataFrame, found: DataFrame) -> float:
-    """The share of links of each AUDIT_STEP-th class (with all of its label) that `found` counts."""
+def audit(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels of which `found` counts less than RECALL of the links of each AUDIT_STEP-th class (with all of its label)."""
     asked = groups.where(F.col("class") % AUDIT_STEP == 0)
     blocks = asked.groupBy("label").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
     slices = groups.groupBy("label").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("slices"))
@@ -191,20 +218,29 @@ def audit(groups: DataFrame, found: DataFrame) -> float:
         yield pa.RecordBatch.from_arrays([pa.array(name[query]), pa.array(linked @ copies[~query])], names=["class", "truth"])
 
     truth = queries.unionByName(rows).groupBy("label", "block", "slice").applyInArrow(compare, "class long, truth long").groupBy("class").agg(F.sum("truth").alias("truth"))
-    row = truth.join(found, "class", "left").agg(F.sum("truth").alias("truth"), F.sum(F.least("truth", F.coalesce("links", F.lit(0)))).alias("found")).first()
-    return 1.0 if not row["truth"] else row["found"] / row["truth"]
+    by_label = truth.join(found, "class", "left").join(groups.select("class", "label"), "class").groupBy("label")
+    counted = by_label.agg(F.sum("truth").alias("truth"), F.sum(F.least("truth", F.coalesce("links", F.lit(0)))).alias("found"))
+    return counted.where(F.col("found") < RECALL * F.col("truth")).select("label")
+
+
+def _joined(groups: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The components that edges make, and their classes' links."""
+    of = components(edges)
+    return of, settled(component_links(groups, of), "links")
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept. `vectors`: vec_id, embedding, label."""
     rows, groups = _classes(vectors)
-    length = LIST
-    for turn in range(TRIES):
-        of = components(descend(groups, length).where(F.col("sim") >= THRESHOLD))
-        links = settled(component_links(groups, of), "links")
-        if turn == TRIES - 1 or audit(groups, links) >= RECALL:
-            break
-        length *= 2
+    small = groups.groupBy("label").count().where(F.col("count") <= WHOLE)
+    edges = settled(label_edges(groups.join(small, "label", "left_semi")), "label-edges")
+    unsure, length, turn = settled(groups.join(small, "label", "left_anti"), "vectors"), LIST, 0
+    while turn < TRIES and not unsure.isEmpty():
+        edges = edges.unionByName(descend(unsure, length))
+        of, links = _joined(groups, edges)
+        unsure, length, turn = settled(unsure.join(audit(unsure, links), "label", "left_semi"), "vectors"), 2 * length, turn + 1
+    if not turn or not unsure.isEmpty():
+        of, links = _joined(groups, edges.unionByName(label_edges(unsure)))
     known = groups.join(links, "class", "left").join(of.withColumnRenamed("node", "class"), "class", "left")
     known = known.select("label", "vector", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component_id"))
     joined = rows.join(known, ["label", "vector"], "left")

@@ -211,6 +211,34 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def _halves(rng, n):
+    """2 n vectors that are all linked, much closer inside each half than across."""
+    base, other = np.eye(16)[:2]
+    far = 0.94 * base + (1 - 0.94**2) ** 0.5 * other
+    return [(i, [float(x) for x in (base if i < n else far) + rng.normal(size=16) * 0.003], 0) for i in range(2 * n)]
+
+
+def test_links_that_no_list_has_room_for(spark, monkeypatch):
+    """A link across that the first graph has met stays, though both ends have enough closer ones."""
+    first = embedding_dedup.first_graph
+    monkeypatch.setattr(embedding_dedup, "first_graph", lambda groups, reach: first(groups, reach).union(spark.createDataFrame([(0, 40, 0.94)], embedding_dedup.EDGES)))
+    df = spark.createDataFrame(_halves(np.random.default_rng(4), 40), "vec_id long, embedding array<float>, label int")
+    rows, groups = embedding_dedup._classes(df)
+    found = {(r["a"], r["b"]) for r in embedding_dedup.descend(groups, embedding_dedup.LIST).collect()}
+    assert (0, 40) in found
+
+
+@pytest.mark.parametrize("blind", [False, True])
+def test_embeddings_of_large_labels(spark, monkeypatch, blind):
+    """Descent, and where it finds nothing at all, labels in full over several blocks."""
+    for name, value in {"WHOLE": 0, "BLOCK": 32, "AUDIT_STEP": 5}.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
+    if blind:
+        monkeypatch.setattr(embedding_dedup, "descend", lambda groups, length: groups.selectExpr("class a", "class b").limit(0))
+    df = spark.createDataFrame(_halves(np.random.default_rng(4), 40), "vec_id long, embedding array<float>, label int")
+    assert {tuple(r) for r in embedding_dedup.near_duplicates(df).collect()} == {(i, 79, 0, i == 0) for i in range(80)}
+
+
 def test_mixing(docs, none):
     got = mixing.taken_words(docs, block=16).collect()
     sizes = Counter()
