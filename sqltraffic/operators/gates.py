@@ -103,8 +103,9 @@ def asof_policy(log: DataFrame, policy: DataFrame) -> DataFrame:
     ends = log.agg(F.date_trunc("day", F.max("ts")).alias("_end"))
     days = span.join(F.broadcast(ends)).where("valid_from < date_add(_end, 1)")
     days = days.withColumn("_day", F.explode(F.sequence(F.date_trunc("day", "valid_from"), F.greatest(F.date_trunc("day", "valid_from"), F.least(F.date_trunc("day", last), F.col("_end"))), F.expr("interval 1 day"))))
-    days = days.select("_day", "valid_from", last.alias("until"), "enabled", "sample_rate")
-    return rows.join(days, "_day", "left").where(F.col("valid_from").isNull() | ((F.col("ts") >= F.col("valid_from")) & (F.col("ts") < F.col("until")))).drop("_day", "until")
+    days = days.select(F.col("_day").alias("_of"), "valid_from", last.alias("until"), "enabled", "sample_rate")
+    in_force = (F.col("_day") == F.col("_of")) & (F.col("ts") >= F.col("valid_from")) & (F.col("ts") < F.col("until"))
+    return rows.join(days, in_force, "left").drop("_day", "_of", "until")
 
 
 def gate_reason(enabled: Column, rate: Column | float, key: Column, allow: list[str], exclude: list[str], passes: Column) -> Column:
