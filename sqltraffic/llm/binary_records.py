@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, width
-from .token_ids import encoder, portions
+from .common import portions, shared_dir, width
+from .token_ids import encoder
 
 MASK_ADD = 0xA282EAD8  # fixed value of the record format
 INDEX = "file int, place long, doc_id long, offset long, n_tokens long"
@@ -75,7 +75,7 @@ def write_records(docs: DataFrame, to: str, tokenizer: str, end_id: int = 0, doc
         store, path = fs.FileSystem.from_uri(f"{to}/files")
         temporary = f"{path}/.{_name(file)}.{context.taskAttemptId()}"
         out = None
-        for batch in portions(batches):
+        for batch in portions(batches, lambda b: b.column("text")):
             ids, at = encoder(tokenizer).encode(batch.column("text"))
             kind = id_type(tokenizer)
             raw, end, size = ids.astype(kind).tobytes(), np.array([end_id], kind).tobytes(), kind.itemsize

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sqltraffic.scratch import scratch_dir
+
 #: White space of the contracts, as a character class body: space and U+0009 to U+000D.
 BLANKS = r"\x20\x09-\x0D"
 #: A word of the contracts.
@@ -22,15 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster shares (spark.checkpoint.dir).
-
-    Only where that setting is absent, as in tests, a temporary folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one that the cluster shares (spark.checkpoint.dir)."""
+    return scratch_dir(spark, name)
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
@@ -52,23 +47,53 @@ def width(spark: SparkSession) -> int:
 
 
 def smallest_by_hash(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
-    """The n rows of each group whose key's hash comes first: a sample that reruns repeat.
+    """The n different keys of each group whose hash comes first: a sample that reruns repeat.
 
-    Give it keys, not texts: Spark keeps n rows of a group in each task before it shuffles.
+    Only about 2 n keys of a group are shuffled, those whose hash lies below a bound set by its (approximate) number of
+    keys; that fewer than n lie there has odds below 1e-50, and the sample is smaller then. Give it keys, not texts.
     """
+    sizes = rows.groupBy(group).agg(F.approx_count_distinct(key).alias("keys"))
+    bound = sizes.select(group, (F.lit(2 * n + 200) / F.col("keys")).alias("share"))
+    point = F.shiftrightunsigned(F.xxhash64(key), 11) / F.lit(float(1 << 53))
+    low = rows.select(group, key).join(F.broadcast(bound), group).where(point < F.col("share")).select(group, key).distinct()
     by_hash = Window.partitionBy(group).orderBy(F.xxhash64(key), key)
-    return rows.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= n).drop("rank")
+    return low.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= n).drop("rank")
+
+
+def portions(batches: Iterator[pa.RecordBatch], text: Callable[[pa.RecordBatch], pa.Array], stride: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `stride` bytes of text, or of one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(text(batch)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(sizes) // stride
+        edges = [*np.flatnonzero(np.diff(part, prepend=-1)), len(sizes)]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            yield batch.slice(low, high - low)
 
 
 def scored(docs: DataFrame, text: str, score: Callable[[pa.Array], list[pa.Array]], fields: T.StructType) -> DataFrame:
-    """Each row, packed whole as `row`, and what `score` gives for the batch's texts."""
+    """Each row, packed whole as `row`, and what `score` gives for the texts of a portion."""
     at = docs.columns.index(text)
     schema = T.StructType([T.StructField("row", docs.schema), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                row = batch.column(0)
-                yield pa.RecordBatch.from_arrays([row, *score(row.field(at))], names=schema.names)
+        for batch in portions(batches, lambda b: b.column(0).field(at)):
+            row = batch.column(0)
+            yield pa.RecordBatch.from_arrays([row, *score(row.field(at))], names=schema.names)
 
     return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema)
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Rows with their group's columns, by a left join on `key`; `groups` has a row for each key and its number of rows in `size`.
+
+    Keys of more than a thousandth of all rows are under a thousand, so their groups are broadcast and their rows stay
+    where they are. The others are joined by a shuffle. A null key joins nothing.
+    """
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    large = F.col(size) > total / 1000
+    names = [c for c in groups.columns if c != key]
+    hot = F.broadcast(groups.where(large).select(F.col(key).alias("_key"), F.struct(*names).alias("_group")))
+    tagged = rows.join(hot, F.col(key) == F.col("_key"), "left")
+    there = tagged.where("_key is not null").select(*[F.col(c) for c in rows.columns], *[F.col(f"_group.{c}").alias(c) for c in names])
+    rest = tagged.where("_key is null").select(*rows.columns).join(groups.where(~large), key, "left").select(*rows.columns, *names)
+    return there.unionByName(rest)

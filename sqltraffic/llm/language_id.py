@@ -1,18 +1,22 @@
 """Language identification by cross-parsing entropy.
 
-A bounded sample of labelled text per language (LEARN_DOCS documents of the smallest hashes,
-LEARN_CHARS symbols in all) becomes a suffix automaton. A text is parsed greedily against each:
-the longest match is one phrase, then the next begins. The language whose automaton needs the
-fewest phrases, each weighed by the log of its sample's length, wins; of equals the first by name.
-Whole texts are parsed, in lanes of LANE symbols that numpy advances side by side.
+A bounded sample of labelled text per language (LEARN_DOCS documents of the smallest hashes, each
+with its first DOC_CHARS characters, LEARN_CHARS symbols in all) becomes a suffix automaton. A text is
+parsed greedily against each: the longest match is one phrase, then the next begins. The language
+whose automaton needs the fewest phrases, each weighed by the log of its sample's length, wins; of
+equals the first by name. Whole texts are parsed, in lanes of LANE symbols that numpy advances side
+by side; a worker holds one table of states by symbols, written in place, and the texts of one
+portion, however long a single text is.
 
 Symbols are lower-cased letters; a run of anything else is one blank. A text that is null or has
 no letter is `und` with score 0. If no row can be learned from, every text is. Rows with a null
-language are not learned from. Repeated rows are judged alike; other columns are carried along.
+language are not learned from. Of rows that share an id and a language one text is learned from, the
+first in order. Repeated rows are judged alike; other columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,6 +30,8 @@ from .common import scored, smallest_by_hash
 
 LEARN_DOCS, LEARN_CHARS, DOC_CHARS = 150, 40_000, 2_000
 LANE, SYMBOLS = 512, 64
+#: Lanes that are advanced side by side, and rows of a table that are filled at once.
+AT_ONCE = 8192
 UNDETERMINED = "und"
 FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 #: How sharply a difference of one bit a symbol counts in the score.
@@ -41,13 +47,12 @@ class LanguageModel:
 
 
 def learn(docs: DataFrame, learnable: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
-    rows = docs.where(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    chosen = smallest_by_hash(rows.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id")), "lang", "doc_id", LEARN_DOCS)
-    chosen = chosen.select("doc_id").distinct()
-    texts = rows.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.substring(F.col(text), 1, DOC_CHARS).alias("text"))
+    rows = docs.where(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.substring(F.col(text), 1, DOC_CHARS).alias("text"))
+    chosen = smallest_by_hash(rows.select("lang", "doc_id"), "lang", "doc_id", LEARN_DOCS)
+    # One text of at most DOC_CHARS for each of LEARN_DOCS ids a language, however often an id repeats.
+    texts = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     by_lang: dict[str, list[str]] = {}
-    # At most LEARN_DOCS rows of DOC_CHARS for each language.
-    for row in sorted(texts.join(F.broadcast(chosen), "doc_id").collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"])):
+    for row in sorted(texts.collect(), key=lambda r: (r["lang"], r["doc_id"])):
         by_lang.setdefault(row["lang"], []).append(row["text"])
     joined = {k: " ".join(v)[:LEARN_CHARS] for k, v in by_lang.items()}
     names = sorted(k for k, v in joined.items() if any(c.isalpha() for c in v))
@@ -62,62 +67,68 @@ def _symbols(text: str, code: np.ndarray) -> np.ndarray:
     return codes[keep]
 
 
-def _automaton(symbols: list[int]) -> np.ndarray:
-    """Transitions of the suffix automaton, state by symbol. Where there is none, the root's own
-    transition for the symbol stands in, as its complement: a new phrase begins there."""
-    following: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
+def _automaton(symbols: list[int], table: np.ndarray, first: int) -> int:
+    """Writes the suffix automaton's transitions, state by symbol, into the rows of `table` from `first`
+    on (they are zero before), and returns how many states it has.
+
+    States are numbered by row. Where there is no transition, the root's own for the symbol stands in, as its
+    complement: a new phrase begins there.
+    """
+    cells, width = memoryview(table.ravel()), table.shape[1]
+    link, length = array("i", [-1]), array("i", [0])  # by state, counted from `first`
+    last = 0
     for c in symbols:
-        current = len(following)
-        following.append({})
+        current = len(length)
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p != -1 and c not in following[p]:
-            following[p][c] = current
+        while p != -1 and not cells[(at := (first + p) * width + c)]:
+            cells[at] = first + current
             p = link[p]
         if p != -1:
-            q = following[p][c]
+            q = cells[(first + p) * width + c] - first
             if length[q] == length[p] + 1:
                 link[current] = q
             else:
-                clone = len(following)
-                following.append(dict(following[q]))
+                clone = len(length)
+                table[first + clone] = table[first + q]
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p != -1 and following[p].get(c) == q:
-                    following[p][c] = clone
+                while p != -1 and cells[(at := (first + p) * width + c)] == first + q:
+                    cells[at] = first + clone
                     p = link[p]
                 link[q] = link[current] = clone
         last = current
-    root = np.zeros(SYMBOLS, np.int32)
-    for c, to in following[0].items():
-        root[c] = to
-    table = np.tile(~root, (len(following), 1))
-    rows = np.repeat(np.arange(len(following)), [len(x) for x in following])
-    table[rows, np.fromiter((c for x in following for c in x), np.int64)] = np.fromiter((t for x in following for t in x.values()), np.int32)
-    return table
+    root = ~np.where(table[first] > 0, table[first], first)
+    for k in range(first, first + len(length), AT_ONCE):
+        part = table[k : min(k + AT_ONCE, first + len(length))]
+        np.copyto(part, root, where=part == 0)
+    return len(length)
 
 
 class _Parser:
     def __init__(self, model: LanguageModel) -> None:
-        self.code = np.zeros(0x110000, np.uint8)
-        lower = {c: chr(c).lower()[0] for c in range(0x110000) if chr(c).isalpha()}
         seen: dict[str, int] = {}
         for c in "".join(model.samples).lower():
             if c.isalpha():
                 seen[c] = seen.get(c, 0) + 1
         common = sorted(seen, key=lambda c: (-seen[c], c))[: SYMBOLS - 2]
         place = {c: i + 2 for i, c in enumerate(common)}  # 0: no letter, 1: a letter not in the samples
-        for c, small in lower.items():
-            self.code[c] = place.get(small, 1)
+        self.code = np.zeros(0x110000, np.uint8)
+        for c in map(chr, range(0x110000)):
+            if c.isalpha():
+                self.code[ord(c)] = place.get(c.lower()[0], 1)
         symbols = [_symbols(s, self.code) for s in model.samples]
-        tables = [_automaton(s.tolist()) for s in symbols]
         self.bits = np.log2([max(2, len(s)) for s in symbols])
-        self.first = np.cumsum([0, *[len(t) for t in tables[:-1]]]).astype(np.int32)
-        # One table for all: states of the k-th language begin at first[k].
-        parts = [np.where(t >= 0, t + f, ~(~t + f)) for t, f in zip(tables, self.first)]
-        self.table = np.concatenate([*parts, np.empty((0, SYMBOLS))]).astype(np.int32).ravel()
+        # One table for all; an automaton of n symbols has at most 2 n + 1 states. State 0 is nobody's, so that
+        # no transition is 0; rows that are never written take no memory.
+        room = [2 * len(s) + 2 for s in symbols]
+        self.first = (1 + np.cumsum([0, *room[:-1]])).astype(np.int32)
+        self.width = len(common) + 2
+        table = np.zeros((1 + sum(room), self.width), np.int32)
+        for s, first in zip(symbols, self.first.tolist()):
+            _automaton(s.tolist(), table, first)
+        self.table = table.ravel()
         self.languages = np.array(model.languages)
 
     def phrases(self, lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -125,10 +136,10 @@ class _Parser:
         state = np.repeat(self.first[:, None], len(lanes), 1)
         count = np.zeros(state.shape, np.int32)
         live = np.searchsorted(-lengths, -np.arange(lanes.shape[1]), "left")  # lanes longer than j
-        columns = np.ascontiguousarray(lanes.T).astype(np.int32)
+        columns = np.ascontiguousarray(lanes.T)
         for j in range(lanes.shape[1]):
             n = live[j]
-            to = self.table[state[:, :n] * SYMBOLS + columns[j, :n]]
+            to = self.table[state[:, :n] * self.width + columns[j, :n]]
             count[:, :n] += to < 0
             state[:, :n] = to ^ (to >> 31)
         return count + 1
@@ -146,8 +157,8 @@ class _Parser:
             lengths = np.array([len(p) for p in pieces])
             order, of_doc = np.argsort(-lengths, kind="stable"), np.array(of)
             total = np.zeros((len(self.languages), len(own)))
-            for k in range(0, len(order), 16384):
-                some = order[k : k + 16384]
+            for k in range(0, len(order), AT_ONCE):
+                some = order[k : k + AT_ONCE]
                 lanes = np.zeros((len(some), LANE), np.uint8)
                 for row, p in enumerate(some):
                     lanes[row, : lengths[p]] = pieces[p]
@@ -162,7 +173,7 @@ class _Parser:
         return [pa.array(langs.tolist(), pa.string()), pa.array(scores)]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _parser(model: LanguageModel) -> _Parser:
     return _Parser(model)
 

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
-from .token_ids import encoder, portions
+from .common import portions, settled
+from .token_ids import encoder
 
 #: Pieces in one partition, on average; rounds of exchange at most.
 PER_PARTITION, ROUNDS = 20_000, 4
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, doc_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = struct.pack("<I", end_id)
-        for batch in portions(batches):
+        for batch in portions(batches, lambda b: b.column("text")):
             ids, at = encoder(tokenizer).encode(batch.column("text"))
             raw, names = ids.tobytes(), batch.column("doc_id").to_pylist()
             out: list[tuple] = []

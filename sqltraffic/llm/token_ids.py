@@ -9,14 +9,12 @@ not seen before go to the library. Texts with characters for which the cuts belo
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 #: Pieces that a Python worker remembers; beyond it starts anew.
-MEMORY = 400_000
+MEMORY = 150_000
 #: Bytes of text that are cut up at once.
 STRIDE = 4 << 20
 
@@ -131,16 +129,6 @@ class Encoder:
         return np.concatenate(parts), np.append(0, np.cumsum(counts)).astype(np.int64)
 
 
-def portions(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about STRIDE bytes of text, or of one row."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = np.cumsum(sizes) // STRIDE
-        edges = [*np.flatnonzero(np.diff(part, prepend=-1)), len(sizes)]
-        for low, high in zip(edges[:-1], edges[1:], strict=True):
-            yield batch.slice(low, high - low)
-
-
 _encoders: dict[str, Encoder] = {}
 
 
