@@ -1,12 +1,10 @@
 """Exact deduplication by two-pass Bloom filtering.
 
-Pass one sets two bits of a blocked Bloom filter for each normalised text and counts how
-often each bit was set; the bits that were set twice or more make up a second filter. Pass
-two tests every row against it, on the map side: a row whose bits are not both there has no
-equal, and passes straight through. Only the others are shuffled, to be grouped by SHA-256.
-
-The filter that is broadcast has a fixed upper size (MAX_BITS, 32 MB). A larger corpus fills
-it more densely; then more rows than needed are shuffled, but the result is the same.
+Pass one sets a bit of a Bloom filter for each normalised text; the bits that were set twice or more
+make up the filter (bloom.py, which states its bound). Pass two tests every row against it, on the map
+side: a row whose bit is not there has no equal, and passes straight through. Of the others only ids,
+lengths and SHA-256 are shuffled, never texts; groups that hold more than a thousandth of them are
+joined back by broadcast, so that no task gets a large group.
 
 Texts are equal if they are the same after removal of all blanks (U+0020, U+0009 to U+000D).
 A null text counts as empty, so null and blank texts are equal to each other. Of equal texts
@@ -20,74 +18,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
-
-#: Bits for each row, and the bounds of the filter's size.
-BITS_PER_ROW, MIN_BITS, MAX_BITS = 16, 1 << 18, 1 << 28
-#: Bits in one block of the filter, as Spark's bitmap functions have it.
-BLOCK = 32768
+from .bloom import may_repeat
+from .common import settled, with_groups
 
 
 def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")
 
 
-def _filter_bits(docs: DataFrame) -> int:
-    bits = MIN_BITS
-    while bits < min(MAX_BITS, BITS_PER_ROW * docs.count()):
-        bits *= 2
-    return bits
-
-
-def _hashed(text: Column, bits: int) -> dict[str, Column]:
-    """The block and the two bits of a text."""
-    h = F.xxhash64(normalised(text))
-    return {
-        "block": F.pmod(h, F.lit(bits // BLOCK)),
-        "bit1": F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(BLOCK - 1)),
-        "bit2": F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(BLOCK - 1)),
-    }
-
+def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Each row packed as `row`, with its sha, code points, and whether an equal may exist."""
+    marked = may_repeat(docs, F.xxhash64(normalised(F.col(text))))
+    whole = F.col("row")[text]
+    return marked.select("row", F.sha2(normalised(whole), 256).alias("sha"), F.length(F.coalesce(whole, F.lit(""))).alias("points"), F.col("row")[doc_id].alias("doc_id"), "maybe")
 
-def repeated_bits(docs: DataFrame, bits: int, text: str = "text") -> DataFrame:
-    """Pass one: (block, bitmap) of the bits that more than one text has set."""
-    at = _hashed(F.col(text), bits)
-    hits = docs.select(at["block"].alias("block"), F.explode(F.array(at["bit1"], at["bit2"])).alias("bit"))
-    twice = hits.groupBy("block", "bit").count().where("count > 1")
-    return twice.groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
 
-
-def _has(bitmap: Column, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
-def marked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Pass two: each row, packed as `row`, with its sha, code points, and whether an equal may exist."""
-    bits = _filter_bits(docs)
-    filters = F.broadcast(repeated_bits(docs, bits, text))
-    at = _hashed(F.col(text), bits)
-    rows = docs.select(
-        F.struct("*").alias("row"),
-        F.sha2(normalised(F.col(text)), 256).alias("sha"),
-        F.length(F.coalesce(F.col(text), F.lit(""))).alias("points"),
-        *[c.alias(k) for k, c in at.items()],
-    )
-    probed = rows.join(filters, "block", "left")
-    maybe = F.coalesce(_has(F.col("bitmap"), F.col("bit1")) & _has(F.col("bitmap"), F.col("bit2")), F.lit(False))
-    return probed.select("row", "sha", "points", maybe.alias("maybe"))
+def _groups(maybe: DataFrame, *more: str) -> DataFrame:
+    """sha, group_size and the best row's key of each group of equal texts."""
+    return maybe.groupBy("sha").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("points")).alias("less"), "doc_id", *more)).alias("best"))
 
 
 def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document, the dropped ones too: doc_id, keep_id, group_size, kept, text_sha256."""
-    keys = marked(docs, text).select(F.col(f"row.`{doc_id}`").alias("doc_id"), "sha", "points", "maybe")
+    keys = _keys(docs.select(F.col(doc_id).alias(doc_id), F.col(text).alias(text)), doc_id, text).select("doc_id", "sha", "points", "maybe")
     keys = settled(keys.withColumn("n", F.monotonically_increasing_id()), "exact-keys")
-    maybe = keys.where("maybe")
-    groups = maybe.groupBy("sha").agg(
-        F.count("*").alias("group_size"),
-        F.min(F.struct((-F.col("points")).alias("less"), "doc_id", "n")).alias("best"),
-    )
-    both = maybe.join(groups, "sha").select(
+    maybe = keys.where("maybe").drop("maybe")
+    both = with_groups(maybe, settled(_groups(maybe, "n"), "exact-groups"), "sha", "group_size").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("n") == F.col("best.n")).alias("kept"), F.col("sha").alias("text_sha256")
     )
     alone = keys.where("not maybe").select(
@@ -97,10 +53,15 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Rows without an equal are not shuffled."""
-    rows = marked(docs, text)
-    maybe = rows.where("maybe")
-    best = maybe.groupBy("sha").agg(F.min(F.struct((-F.col("points")).alias("less"), F.col(f"row.`{doc_id}`").alias("id"))).alias("best"))
-    stay = maybe.join(best, "sha").where((F.col("points") == -F.col("best.less")) & F.col(f"row.`{doc_id}`").eqNullSafe(F.col("best.id")))
+    """The rows that stay, with all their columns.
+
+    Texts move for rows only that may repeat and are as long, and of the same id, as the best of their group: they have to be told
+    apart, so one of those is taken after a partial aggregation in each task.
+    """
+    rows = _keys(docs, doc_id, text)
+    keys = settled(rows.where("maybe").select("sha", "points", "doc_id"), "exact-keys")
+    best = settled(_groups(keys), "exact-groups")
+    placed = with_groups(rows.where("maybe").drop("maybe"), best, "sha", "group_size")
+    stay = placed.where((F.col("points") == -F.col("best.less")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
     stay = stay.groupBy("sha").agg(F.first("row").alias("row"))
     return rows.where("not maybe").select("row.*").unionByName(stay.select("row.*"))
