@@ -1,46 +1,58 @@
 """Exact Jaccard self-join of word-shingle sets with signature trees.
 
-1. Documents with equal sets are one class, named by a 64-bit fingerprint of its set; from here on
-   only classes are joined.
+1. Documents with equal sets are one class, known by a 128-bit fingerprint of the set and named by the
+   number of one of its rows; from here on only classes are joined. A Bloom filter (bloom.py) tells which rows
+   may have an equal; the others do not move.
 2. Shingles have one global order, rarest first: by a table of CELLS counters over the whole corpus,
    then by hash. Two sets of similarity s share a shingle among the first n - ceil(s n) + 1 of
    each, so classes meet in runs, one for each shingle that two or more have among those. Passages
    that very many documents share come last in the order and make no runs.
-3. Neighbours in a run, ordered by size, come first: those whose signatures allow it are verified
-   on whole sets, and links make components; of these first each class with the one it neighbours
-   in most runs, then those that are not of one component yet.
+3. HUB_ROUNDS times, each class is compared with the class that comes first most often among those of its
+   size in its runs and is not of its component yet: one pair for a class, whatever the size of a group of near
+   copies. Pairs whose signatures allow it are verified on whole sets, and links make components.
 4. What is left are pairs of different components in a run. A tree over the run's classes has at
    its nodes the OR of their token bitmaps and their range of sizes; two nodes are gone through
-   together only if a pair below them may overlap enough, and if they are not of one component.
-   Pairs that come through are verified exactly, on whole sets.
+   together only if a pair below them may overlap enough, and if they are not of one component. A pair is let through in
+   its first common run, as far as the classes' runs before tell. Those let through are verified exactly, on whole sets.
 
 Runs that stay large are dealt out as pairs of blocks. No link between different components is
 lost, so components are exact. A document without words (or with a null text) has an empty
 set and links with nothing. Rows that repeat fall into one class, also with different ids; a null
-doc_id is the smallest of none. An empty table gives no rows. Other columns are left out.
+doc_id is the smallest of none. An empty table gives no rows. Other columns, whatever their names, are left out
+(jaccard_components) or carried along (near_dedup). A text is in memory with the portion that it is read in.
+
+The counters (CELLS) and the filter of wanted sets (FILTER_BITS) have fixed sizes. In a corpus that
+fills them, the order tells less about rareness and more sets than needed are read; results are the same.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled, width
+from .bloom import may_repeat
+from .common import portions, settled, width, with_groups
 from .components import components
-from .shingles import fingerprint, shingle_sets
+from .shingles import fingerprints, shingle_sets
 
 #: Similarity as a fraction: NEED / OF.
 NEED, OF = 4, 5
 #: Counters for the order of shingles, and in how many parts they are summed.
-CELLS, SLICES = 1 << 18, 64
-#: 64-bit words of a signature; classes in a leaf; children of a node; rows of a run in one block.
+CELLS, SLICES = 1 << 21, 64
+#: 64-bit words of a signature in a tree; classes in a leaf; children of a node; rows of a run in one block.
 SIGNATURE, LEAF, FAN, BLOCK = 16, 32, 8, 8192
 #: Bits of the filter that tells which classes' sets are needed.
 FILTER_BITS = 1 << 25
+#: Rounds in which each class is compared with one other.
+HUB_ROUNDS = 2
+#: Pairs of small runs that are tested at once.
+AT_ONCE = 1 << 18
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -48,138 +60,186 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def shingle_counts(docs: DataFrame) -> np.ndarray:
-    """How often shingles of each cell occur, over all documents; a fixed CELLS numbers."""
+    """How often shingles of each cell occur, over all documents; a fixed CELLS numbers.
+
+    A task's own count of a cell stops at 65,535: beyond, a shingle is as common as can be.
+    """
     part = CELLS // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        for batch in batches:
+        cells = np.zeros(CELLS, np.int32)
+        for batch in portions(batches, lambda b: b.column(0)):
             sets = shingle_sets(batch.column(0))
-            if sets:
-                cells += np.bincount(np.concatenate(sets) & np.uint64(CELLS - 1), minlength=CELLS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES)), pa.array([c.tobytes() for c in cells.astype(np.int64).reshape(SLICES, part)], pa.binary())], names=["slice", "counts"])
+            np.add.at(cells, (np.concatenate(sets) & np.uint64(CELLS - 1)).view(np.int64), 1)
+        packed = [zlib.compress(c.tobytes(), 1) for c in np.minimum(cells, 65535).astype("<u2").reshape(SLICES, part)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES)), pa.array(packed, pa.binary())], names=["slice", "counts"])
 
     def add(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(part, np.int64)
         for table in tables:
             for x in table.column("counts"):
-                total += np.frombuffer(x.as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
+                total += np.frombuffer(zlib.decompress(x.as_py()), "<u2")
+        packed = zlib.compress(np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([packed], pa.binary())], names=["slice", "counts"])
 
     sums = docs.select("text").mapInArrow(count, "slice long, counts binary").groupBy("slice").applyInArrow(add, "slice long, counts binary")
-    out = np.zeros((SLICES, part), np.int64)
+    out = np.zeros((SLICES, part), np.uint32)
     for row in sums.collect():  # CELLS numbers, whatever the corpus
-        out[row["slice"]] = np.frombuffer(row["counts"], np.int64)
+        out[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), "<u4")
     return out.ravel()
 
 
-def classes(docs: DataFrame, counts: np.ndarray, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n, class, prefix (its first shingles in the global order) and signature of each document."""
+def shingled(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """A row for each document: uid, doc_id, n, name (of its set), prefix (its first shingles in the global order), signature, bitmap."""
     order = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, prefixes, marks = [], [], []
+        for batch in portions(batches, lambda b: b.column("text")):
+            prefixes, marks, maps = [], [], []
             sets = shingle_sets(batch.column("text"))
             for s in sets:
-                names.append(fingerprint(s) if len(s) else None)
                 size = len(s) - -(-NEED * len(s) // OF) + 1 if len(s) else 0
                 by = np.argsort(order.value[s & np.uint64(CELLS - 1)], kind="stable")  # a set is in order of hash
                 prefixes.append(s[by[:size]])
-                marks.append(signature(s).tobytes())
+                bits = bitmap(s)
+                maps.append(bits.tobytes() if len(bits) > SIGNATURE else None)
+                marks.append(folded(bits, SIGNATURE).tobytes())
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate([*prefixes, np.empty(0, np.uint64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), lists, pa.array(marks, pa.binary())], names=["doc_id", "n", "class", "prefix", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fingerprints(sets), pa.binary()), lists, pa.array(marks, pa.binary()), pa.array(maps, pa.binary())], names=["doc_id", "n", "name", "prefix", "signature", "bitmap"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, name binary, prefix array<long>, signature binary, bitmap binary")
+    return settled(rows.withColumn("uid", F.monotonically_increasing_id()), "shingled")
+
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, class long, prefix array<long>, signature binary")
+def classes(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What class each document is of (uid, doc_id, n, class), and the classes: class, n, name, prefix, signature, bitmap."""
+    marked = may_repeat(known.where("name is not null"), F.xxhash64("name"))
+    rows = marked.select("maybe", "row.*")
+    alone = rows.where("not maybe").select(F.col("uid").alias("class"), "n", "name", "prefix", "signature", "bitmap")
+    first = rows.where("maybe").groupBy("name").agg(F.min(F.struct("uid", "n", "prefix", "signature", "bitmap")).alias("first"), F.count("*").alias("copies"))
+    first = settled(first, "copies")
+    reps = alone.unionByName(first.select(F.col("first.uid").alias("class"), "first.n", "name", "first.prefix", "first.signature", "first.bitmap"))
+    again = with_groups(rows.where("maybe").select("uid", "doc_id", "n", "name"), first.select("name", F.col("first.uid").alias("class"), "copies"), "name", "copies")
+    keys = ["doc_id", "n", "class"]
+    of = rows.where("not maybe").select("doc_id", "n", F.col("uid").alias("class")).unionByName(again.select(*keys))
+    return settled(of.unionByName(known.where("name is null").select("doc_id", "n", F.lit(None).cast("long").alias("class"))), "class-of"), settled(reps, "classes")
 
 
-def runs(known: DataFrame) -> DataFrame:
-    """Rows (h, n, class, pos, before) of shingles that two classes or more have in their prefixes.
+def _size_step(n: np.ndarray) -> np.ndarray:
+    """Sizes that differ by less than a quarter are of one step or of two that follow each other."""
+    return np.floor(np.log(n) / np.log(OF / NEED)).astype(np.int64)
 
-    `before` is the class that stands before in the run, in order of size.
+
+def _with_hubs(rows: DataFrame, turn: int) -> DataFrame:
+    """Rows of runs of two or more with `hub`: the first class of the run and size, if that is of another component.
+
+    `rows`: h, n, class, pos and, after the first turn, component. Which class is first changes with the turn.
     """
-    reps = known.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    rows = reps.select("class", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "h"))
-    ordered = rows.select("h", "n", "class", "pos").repartition(width(known.sparkSession), "h").sortWithinPartitions("h", "n", "class")
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_before = None, None  # the last row so far: whether it goes on shows in the next
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_hub, held_of, held_has = None, 0, 0, False  # the last row so far: whether its run goes on shows in the next
 
-        def out(rows: list[np.ndarray], before: np.ndarray, has: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in rows), pa.array(before[keep], mask=~has[keep])], names=["h", "n", "class", "pos", "before"])
+        def out(cols: list[np.ndarray], hub: np.ndarray, none: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in cols[:4]), pa.array(hub[keep], mask=none[keep])], names=["h", "n", "class", "pos", "hub"])
 
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not len(cols[0]):
+            if not batch.num_rows:
                 continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
-                cols = [np.append(h, c) for h, c in zip(held, cols, strict=True)]
-            same = cols[0][1:] == cols[0][:-1]
-            has = np.append(held_before is not None, same)
-            before = np.append(held_before if held_before is not None else 0, cols[2][:-1])
-            keep = has | np.append(same, False)
-            yield out([c[:-1] for c in cols], before[:-1], has[:-1], keep[:-1])
-            held, held_before = [c[-1:] for c in cols], before[-1] if has[-1] else None
-        if held is not None and held_before is not None:
-            yield out(held, np.array([held_before]), np.array([True]), np.array([True]))
-
-    return ordered.mapInArrow(shared, "h long, n int, class long, pos int, before long")
-
-
-def class_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+                cols = [np.append(x, c) for x, c in zip(held, cols, strict=True)]
+            h, step = cols[0], _size_step(cols[1])
+            same = np.append(False, h[1:] == h[:-1])
+            opens = ~same | np.append(True, step[1:] != step[:-1])
+            at = np.maximum.accumulate(np.where(opens, np.arange(len(h)), 0))
+            hub, of = cols[2][at], cols[4][at]
+            if held is not None:  # the first group goes on
+                hub[at == 0], of[at == 0] = held_hub, held_of
+            none = of == cols[4]
+            has = same | np.append(same[1:], False)
+            has[0] |= held_has
+            yield out([c[:-1] for c in cols], hub[:-1], none[:-1], has[:-1])
+            held, held_hub, held_of, held_has = [c[-1:] for c in cols], hub[-1], of[-1], bool(has[-1])
+        if held is not None and held_has:
+            yield out(held, np.array([held_hub]), np.array([held_of]) == held[4], np.array([True]))
+
+    step = F.floor(F.log("n") / float(np.log(OF / NEED)))
+    of = F.col("component") if "component" in rows.columns else F.col("class").alias("component")
+    ordered = rows.repartition(width(rows.sparkSession), "h").sortWithinPartitions("h", step, F.xxhash64("class", F.lit(turn)))
+    return ordered.select("h", "n", "class", "pos", of).mapInArrow(find, "h long, n int, class long, pos int, hub long")
+
+
+def hub_pairs(rows: DataFrame) -> DataFrame:
+    """Each class with the hub of most of its runs: pairs (a, b), a < b."""
+    one = rows.where("hub is not null").groupBy("class").agg(F.mode("hub", True).alias("hub"))
+    return one.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+
+
+def class_sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """(class, shingles) of the classes in the pairs, shingles as bytes in order of hash."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class"))
-    bit = F.pmod(F.col("class"), F.lit(FILTER_BITS))
-    bitmaps = needed.groupBy((bit / 32768).cast("int").alias("at")).agg(F.expr(f"bitmap_construct_agg(cast(pmod(class, {FILTER_BITS}) % 32768 as int))").alias("bits"))
+    needed = settled(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps.select("class", "name"), "class"), "wanted")
+    bit = F.pmod(F.conv(F.hex(F.substring("name", 1, 4)), 16, 10).cast("long"), F.lit(FILTER_BITS))
+    bitmaps = needed.select(bit.alias("bit")).groupBy((F.col("bit") / 32768).cast("int").alias("at")).agg(F.expr("bitmap_construct_agg(cast(bit % 32768 as int))").alias("bits"))
     wanted = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
     for row in bitmaps.collect():  # FILTER_BITS bits at most
         wanted[row["at"]] = np.frombuffer(row["bits"], np.uint8)
     wanted = docs.sparkSession.sparkContext.broadcast(wanted.ravel())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, lambda b: b.column(0)):
             names, sets = [], []
-            for s in shingle_sets(batch.column(0)):
-                if len(s):
-                    name = fingerprint(s)
-                    at = name % FILTER_BITS
+            own = shingle_sets(batch.column(0))
+            for s, name in zip(own, fingerprints(own), strict=True):
+                if name:
+                    at = int.from_bytes(name[:4], "big") % FILTER_BITS
                     if wanted.value[at >> 3] >> (at & 7) & 1:
                         names.append(name)
-                        sets.append(s)
+                        sets.append(s.tobytes())
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], names=["name", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "class long, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles"))
+    found = docs.select("text").mapInArrow(read, "name binary, shingles binary").groupBy("name").agg(F.first("shingles").alias("shingles"))
+    return found.join(needed, "name").select("class", "shingles")
 
 
 def possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b, times) whose sizes and signatures let them be similar enough."""
+    """Those of the pairs (a, b) whose sizes and bitmaps let them be similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SIGNATURE) for c in ("x", "y"))
-            more = np.minimum(n - np.bitwise_count(x).sum(1, dtype=np.int64), m - np.bitwise_count(y).sum(1, dtype=np.int64))
-            overlap = np.bitwise_count(x & y).sum(1, dtype=np.int64) + more
-            keep = (OF * np.minimum(n, m) >= NEED * np.maximum(n, m)) & ((NEED + OF) * overlap >= NEED * (n + m))
-            yield batch.select(["a", "b", "times"]).filter(pa.array(keep))
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
+                ok = OF * min(n, m) >= NEED * max(n, m)
+                if ok:
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    x, y = folded(x, len(y)), folded(y, len(x))
+                    more = min(n - int(np.bitwise_count(x).sum()), m - int(np.bitwise_count(y).sum()))
+                    ok = (NEED + OF) * (int(np.bitwise_count(x & y).sum()) + more) >= NEED * (n + m)
+                keep.append(ok)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = marks.select(F.col("class").alias("a"), "n", F.col("signature").alias("x"))
-    right = marks.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("signature").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "times", "n", "m", "x", "y").mapInArrow(run, "a long, b long, times long")
+    left = marks.select(F.col("class").alias("a"), "n", F.col("bitmap").alias("x"))
+    right = marks.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("bitmap").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * SIGNATURE, np.uint8)
-    bits[(shingles >> np.uint64(20)) & np.uint64(64 * SIGNATURE - 1)] = 1
-    return np.packbits(bits).view(np.uint64)
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each shingle; SIGNATURE words at least, and for large sets as many as keep half of the bits free."""
+    words = SIGNATURE
+    while 32 * words < len(shingles):
+        words *= 2
+    bits = np.zeros(64 * words, np.uint8)
+    bits[(shingles >> np.uint64(20)) & np.uint64(64 * words - 1)] = 1
+    return np.packbits(bits, bitorder="little").view("<u8")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap as it is with so many words, if it has more."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0) if len(bits) > words else bits
+
+
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of classes whose whole sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +251,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(OF * both >= NEED * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    sets = class_sets(docs, pairs, reps).repartition(width(docs.sparkSession), "class")  # dealt once for both sides
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
     return settled(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
@@ -236,33 +297,83 @@ class _Tree:
         return a, b
 
 
-def run_pairs(n: np.ndarray, pos: np.ndarray, name: np.ndarray, comp: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes in one run that may be linked and are of different components."""
-    order = np.lexsort((name, comp, n))
-    n, pos, name, comp, bits = n[order].astype(np.int64), pos[order].astype(np.int64), name[order], comp[order], bits[order]
-    excess = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
-    left, right = [], []
-    for x, y in zip(*_Tree(n, excess, comp, bits).leaf_pairs(), strict=True):
-        i, j = np.arange(x * LEAF, min(len(n), (x + 1) * LEAF)), np.arange(y * LEAF, min(len(n), (y + 1) * LEAF))
+def _may_link(i: np.ndarray, j: np.ndarray, c: dict[str, np.ndarray]) -> np.ndarray:
+    """Which of the pairs of rows of one run have to be verified, and are met here first."""
+    n, pos, bits = c["n"], c["pos"], c["bits"]
+    low, both = np.minimum(n[i], n[j]), n[i] + n[j]
+    ok = (c["component"][i] != c["component"][j]) & (c["before"][i] != c["before"][j]) & (OF * low >= NEED * (both - low))
+    ok &= (c["i"][i] == c["j"][i]) | (c["own"][i] != c["own"][j])  # pairs inside a block are met where the block stands alone
+    rest = 1 + np.minimum(n[i] - 1 - pos[i], n[j] - 1 - pos[j])  # holds where this is their first common shingle
+    ok &= (NEED + OF) * rest >= NEED * both
+    at = np.flatnonzero(ok)
+    i, j = i[at], j[at]
+    overlap = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64) + np.minimum(c["excess"][i], c["excess"][j])
+    ok[at] = (NEED + OF) * overlap >= NEED * both[at]
+    return ok
+
+
+def run_pairs(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows in one run that may be linked, by its tree."""
+    order = np.lexsort((c["class"], c["component"], c["n"]))
+    own = {k: v[order] for k, v in c.items()}
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for x, y in zip(*_Tree(own["n"], own["excess"], own["component"], own["bits"]).leaf_pairs(), strict=True):
+        i, j = np.arange(x * LEAF, min(len(order), (x + 1) * LEAF)), np.arange(y * LEAF, min(len(order), (y + 1) * LEAF))
         i, j = np.repeat(i, len(j)), np.tile(j, len(i))
-        rest = 1 + np.minimum(n[i] - 1 - pos[i], n[j] - 1 - pos[j])  # holds where this is their first common shingle
-        ok = (i < j) & (comp[i] != comp[j]) & (OF * n[i] >= NEED * n[j]) & ((NEED + OF) * rest >= NEED * (n[i] + n[j]))
-        i, j = i[ok], j[ok]
-        overlap = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64) + np.minimum(excess[i], excess[j])
-        ok = (NEED + OF) * overlap >= NEED * (n[i] + n[j])
-        left.append(name[i[ok]])
-        right.append(name[j[ok]])
-    return np.concatenate([*left, np.empty(0, np.int64)]), np.concatenate([*right, np.empty(0, np.int64)])
+        i, j = i[i < j], j[i < j]
+        ok = _may_link(i, j, own)
+        left.append(order[i[ok]])
+        right.append(order[j[ok]])
+    return np.concatenate(left), np.concatenate(right)
+
+
+@lru_cache(maxsize=LEAF + 1)
+def _all_pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+def _pairs_of_runs(c: dict[str, np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes from whole runs, which begin at `bounds`; a run of LEAF rows at most is a tree of one leaf."""
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    i, j, held = [], [], 0
+
+    def flush() -> None:
+        nonlocal i, j, held
+        if i:
+            x, y = np.concatenate(i), np.concatenate(j)
+            ok = _may_link(x, y, c)
+            a.append(c["class"][x[ok]])
+            b.append(c["class"][y[ok]])
+        i, j, held = [], [], 0
+
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if high - low > LEAF:
+            x, y = run_pairs({k: v[low:high] for k, v in c.items()})
+            a.append(c["class"][low + x])
+            b.append(c["class"][low + y])
+        elif high - low > 1:
+            x, y = _all_pairs(high - low)
+            i.append(x + low)
+            j.append(y + low)
+            held += len(x)
+            if held > AT_ONCE:
+                flush()
+    flush()
+    a, b = np.concatenate(a), np.concatenate(b)
+    both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0) if len(a) else np.empty((0, 2), np.int64)
+    return both[:, 0], both[:, 1]
 
 
 def tree_pairs(shared: DataFrame, marks: DataFrame, of: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that the trees of all runs let through.
 
-    A run of two is its two neighbours, which have been compared.
+    `before` is the class's run before in the global order. Two classes that have the same one meet there
+    already, so they are left to it; in their first common run it differs.
     """
-    rows = shared.select("h", "n", "class", "pos").join(of, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    before = F.coalesce(F.lag("h").over(Window.partitionBy("class").orderBy("pos")), F.col("class"))
+    rows = shared.select("h", "n", "class", "pos").join(of, "class", "left").select("h", "n", "class", "pos", F.coalesce("component", "class").alias("component"), before.alias("before"))
     rows = settled(rows, "run-rows")
-    mixed_runs = rows.groupBy("h").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high and rows > 2")
+    mixed_runs = rows.groupBy("h").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
     mixed_runs = mixed_runs.select("h", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(mixed_runs, "h")
     # A run of more than BLOCK rows is dealt as pairs of blocks; each row stands in as many as there are blocks.
@@ -270,49 +381,59 @@ def tree_pairs(shared: DataFrame, marks: DataFrame, of: DataFrame) -> DataFrame:
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     rows = rows.join(marks.select("class", "signature"), "class")
+    numbers = ["i", "j", "own", "n", "pos", "class", "component", "before"]
 
-    def run(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(tables))
-        n, pos, name, comp = (table.column(c).to_numpy() for c in ("n", "pos", "class", "component"))
-        bits = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint64).reshape(len(n), SIGNATURE)
-        a, b = run_pairs(n, pos, name, comp, bits)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return rows.select("h", "i", "j", "n", "pos", "class", "component", "signature").groupBy("h", "i", "j").applyInArrow(run, "a long, b long")
-
-
-def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """The pairs whose classes are not of one component."""
-    a, b = (of.select(F.col("class").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
-    return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # a run goes on; none has more rows than two blocks
+        for batch in batches:
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            key = [table.column(c).to_numpy() for c in ("h", "i", "j")]
+            starts = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in key]))) if len(table) else np.zeros(1, np.int64)
+            held = table.slice(starts[-1]).to_batches()
+            if starts[-1]:
+                yield found(table.slice(0, starts[-1]), starts)
+        if held:
+            table = pa.Table.from_batches(held)
+            yield found(table, np.array([0, len(table)]))
+
+    def found(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+        c = {k: table.column(k).to_numpy().astype(np.int64) for k in numbers}
+        c["bits"] = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint64).reshape(len(table), SIGNATURE)
+        c["excess"] = c["n"] - np.bitwise_count(c["bits"]).sum(1, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs_of_runs(c, bounds)], names=["a", "b"])
+
+    dealt = rows.select("h", *numbers, "signature").repartition(width(shared.sparkSession), "h", "i", "j").sortWithinPartitions("h", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    known = settled(classes(docs, shingle_counts(docs)), "classes")
-    shared = settled(runs(known), "runs")
-    marks = settled(known.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("signature").alias("signature")), "signatures")
-
-    near = shared.where("before is not null").groupBy(F.least("before", "class").alias("a"), F.greatest("before", "class").alias("b")).agg(F.count("*").alias("times"))
-    near = settled(near, "neighbours")
-    likely = settled(possible(near, marks), "pairs")
-    sets = settled(class_sets(docs, likely), "sets")
-    closest = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "times")).groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
-    links = verified(closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
-    of = components(links).withColumnRenamed("node", "class")
-    links = links.unionByName(verified(_apart(likely, of), sets))
-    of = components(links).withColumnRenamed("node", "class")
-    more = tree_pairs(shared, marks, of).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = settled(more.join(near, ["a", "b"], "left_anti"), "pairs")
+    class_of, reps = classes(shingled(docs, shingle_counts(docs)))
+    marks = reps.select("class", "n", "signature", F.coalesce("bitmap", "signature").alias("bitmap"))
+    prefixes = reps.select("class", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "h"))
+    shared = rows = settled(_with_hubs(prefixes, 0), "runs")
+    edges, tried, of = None, None, None
+    for turn in range(HUB_ROUNDS):
+        if turn:
+            named = shared.drop("hub").join(of, "class", "left").withColumn("component", F.coalesce("component", "class"))
+            rows = _with_hubs(named, turn)
+        pairs = hub_pairs(rows)
+        pairs = settled(possible(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, marks), "pairs")
+        if turn and pairs.isEmpty():
+            break
+        links = verified(pairs, docs, reps)
+        edges, tried = (edges.unionByName(links), tried.unionByName(pairs)) if turn else (links, pairs)
+        of = components(edges).withColumnRenamed("node", "class")
+    more = settled(tree_pairs(shared, marks, of).distinct().join(tried, ["a", "b"], "left_anti"), "tree-pairs")
+    more = settled(possible(more, marks), "pairs")
     if not more.isEmpty():
-        links = links.unionByName(verified(more, settled(class_sets(docs, more), "sets")))
-        of = components(links).withColumnRenamed("node", "class")
+        of = components(edges.unionByName(verified(more, docs, reps))).withColumnRenamed("node", "class")
 
-    rows = known.select("doc_id", "n", "class").join(of, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    rows = settled(rows.select("doc_id", "n", "component"), "rows")
-    first = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(first, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = settled(class_of.where("class is not null").join(of, "class", "left").select("doc_id", "n", F.coalesce("component", "class").alias("component")), "rows")
+    first = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("documents"))
+    named = with_groups(linked, settled(first, "components"), "component", "documents").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return named.unionByName(class_of.where("class is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,5 +441,6 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     Rows that share an id are judged together; rows with a null id stay.
     """
-    dropped = jaccard_components(docs, doc_id, text).where("doc_id != component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(doc_id) == F.col("_dropped"), "left_anti")
+    dropped = jaccard_components(docs, doc_id, text).where("doc_id != component_id").select("doc_id").distinct()
+    packed = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc_id"))
+    return packed.join(dropped, "doc_id", "left_anti").select("row.*")

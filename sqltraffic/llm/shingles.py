@@ -1,4 +1,4 @@
-"""Sets of hashed word shingles, by numpy over the bytes of Arrow columns."""
+"""Sets of hashed word shingles, by numpy over the bytes of Arrow columns, all texts of a portion at once."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import pyarrow as pa
 
 #: Words in a shingle.
 WORDS = 5
+#: Bytes of text that are hashed at once; a longer text is taken by itself.
+STRIDE = 1 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _SMALL = np.arange(256, dtype=np.uint8)
@@ -27,48 +29,84 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _powers_of(base: np.uint64, n: int) -> np.ndarray:
-    """The first n powers, kept by the worker for the longest text so far."""
-    known = _powers.get(int(base))
-    if known is None or len(known) < n:
-        known = _powers[int(base)] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, base, np.uint64)]))
-    return known[:n]
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """A hash of each word, A to Z in lower case."""
-    raw = _SMALL[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
-    blank = np.ones(len(raw) + 2, bool)
-    blank[1:-1] = _BLANK[raw]
-    edges = np.flatnonzero(blank[1:] != blank[:-1])  # a word's first place and its end, by turns
-    starts, ends = edges[::2], edges[1::2]
+    """The first n powers; those of one stride are kept by the worker."""
+    kept = _powers.get(int(base))
+    if kept is None or len(kept) < n:
+        kept = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, STRIDE), base, np.uint64)]))
+        if n <= STRIDE + 1:
+            _powers[int(base)] = kept
+    return kept[:n]
+
+
+def _word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the texts that lie between `bounds`, A to Z in lower case; and where each text's words begin."""
+    raw = _SMALL[raw]
+    blank = np.append(_BLANK[raw], True)
+    before = np.append(True, blank[:-2]) if len(raw) else np.empty(0, bool)
+    first = bounds[:-1][bounds[:-1] < bounds[1:]]
+    before[first] = True  # a text's first byte opens a word
+    starts = np.flatnonzero(~blank[:-1] & before)
+    after = blank[1:].copy()
+    after[first[first > 0] - 1] = True  # and the byte before it closes one
+    ends = np.flatnonzero(~blank[:-1] & after) + 1
     n = len(raw)
     with np.errstate(over="ignore"):
         # Sums of byte values times powers of an odd number, taken back to the word's first place.
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_OF_BYTE[raw] * _powers_of(_ODD, n), out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * _powers_of(_ODD_INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
+        words = mixed((sums[ends] - sums[starts]) * _powers_of(_ODD_INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    return words, np.searchsorted(starts, bounds)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The different shingles of a text in ascending order of hash; its whole sequence if it has fewer words."""
-    words = word_hashes(text) if text else np.empty(0, np.uint64)
-    if not len(words):
-        return words
-    k = min(WORDS, len(words))
+def _combined(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k words that follow each other."""
+    total = np.full(1, np.uint64(k))
     with np.errstate(over="ignore"):
-        total = np.full(1, np.uint64(k))
         for j in range(k):
             total = total * _ODD + words[j : len(words) - k + 1 + j]
-        total = mixed(total)
-        total.sort()
-        return total[np.append(True, total[1:] != total[:-1])]
+        return mixed(total)
 
 
-def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
-    return [shingle_set(t.as_py()) for t in texts]
+def _sets(raw: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    words, at = _word_hashes(raw, bounds)
+    all_of = _combined(words, WORDS) if len(words) >= WORDS else np.empty(0, np.uint64)
+    out = []
+    for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if high - low < WORDS:
+            out.append(_combined(words[low:high], high - low) if high > low else np.empty(0, np.uint64))
+            continue
+        s = np.sort(all_of[low : high - WORDS + 1])
+        new = s[1:] != s[:-1]
+        out.append(s if new.all() else s[np.append(True, new)])
+    return out
 
 
-def fingerprint(shingles: np.ndarray) -> int:
-    """64 bits of the whole set, as a signed number."""
-    with np.errstate(over="ignore"):
-        return int(mixed(mixed(shingles ^ _ODD).sum(keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0])
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Of each text its different shingles in ascending order of hash; its whole sequence if it has fewer words; nothing for null."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    if not len(texts):
+        return []
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8) if data and len(data) else np.empty(0, np.uint8)
+    out: list[np.ndarray] = []
+    while len(out) < len(texts):
+        i = len(out)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + STRIDE, "right")) - 1)
+        out += _sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+    return out
+
+
+def fingerprints(sets: list[np.ndarray]) -> list[bytes | None]:
+    """128 bits of each whole set: two sums of hashes that do not depend on each other, and its size, mixed; None for an empty set."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    some = sizes > 0
+    out: list[bytes | None] = [None] * len(sets)
+    if some.any():
+        flat, first = np.concatenate(sets), (np.cumsum(sizes) - sizes)[some]
+        with np.errstate(over="ignore"):
+            sums = np.column_stack([np.add.reduceat(mixed(flat ^ _ODD), first), np.add.reduceat(mixed(flat * _ODD + _ODD_INVERSE), first)])
+            names = mixed(mixed(sums + sizes[some].astype(np.uint64)[:, None]) ^ (sums[:, ::-1] * _ODD))
+        for i, name in zip(np.flatnonzero(some).tolist(), names, strict=True):
+            out[i] = name.tobytes()
+    return out
