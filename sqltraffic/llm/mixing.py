@@ -124,17 +124,22 @@ def taken_words(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix as documents, with all their columns: a row for each time that one is gone through.
+def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK) -> DataFrame:
+    """The mix as documents, with all their columns, in the schedule's order: a row for each time that one is gone through.
 
-    Where a source's target ends inside a document, the text of that turn ends there too (n_chars, if there is
-    such a column, follows). Documents that are not taken, and those of size 0, are left out.
+    A document stands at the turn of the block that it begins in, whole, and so do its repeats in later epochs. Where a source's
+    target ends inside a document, the text of that turn ends there too (n_chars, if there is such a column, follows).
+    Documents that are not taken, and those of size 0, are left out.
     """
-    sources = settled(targets(sized(docs, doc_id, text, source)), "targets")
-    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.monotonically_increasing_id().alias("n"))
-    each = _turns(rows, sources).where("from < to").withColumn("take", F.col("to") - F.col("from"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    rows = settled(rows.withColumn("n", F.monotonically_increasing_id()), "mix-rows")
+    sizes = rows.select("doc_id", "source", "size", "n")
+    sources = settled(targets(sizes), "targets")
+    each = _turns(sizes, sources).where("from < to").select("n", "number", F.floor(F.col("from") / block).alias("rank"), "from", (F.col("to") - F.col("from")).alias("take"))
+    placed = each.join(schedule(sources, block), ["number", "rank"]).select("n", "turn", "from", "take")
+    mixed = rows.select("n", "row", "size").join(placed, "n").orderBy("turn", "from", "n")
     whole = F.col("take") == F.col("size")
     words = F.array_join(F.slice(F.regexp_extract_all(F.col("row")[text], F.lit(WORD), F.lit(0)), F.lit(1), F.col("take").cast("int")), " ")
     cut = F.when(whole, F.col("row")[text]).otherwise(words)
     columns = [cut.alias(c) if c == text else (F.when(whole, F.col("row")[c]).otherwise(F.length(words)).alias(c) if c == "n_chars" else F.col("row")[c].alias(c)) for c in docs.columns]
-    return each.select(*columns)
+    return mixed.select(*columns)
