@@ -1,10 +1,10 @@
 """Exact deduplication by two-pass Bloom filtering.
 
-Pass one sets a bit of a Bloom filter for each normalised text; the bits that were set twice or more
-make up the filter (bloom.py, which states its bound). Pass two tests every row against it, on the map
-side: a row whose bit is not there has no equal, and passes straight through. Of the others only ids,
-lengths and SHA-256 are shuffled, never texts; groups that hold more than a thousandth of them are
-joined back by broadcast, so that no task gets a large group.
+Every text is normalised and hashed once; SHA-256 stands for it from there on. Pass one sets a bit of a
+Bloom filter for each hash; the bits that were set twice or more make up the filter (bloom.py, which states its
+bound). Pass two tests every row against it, on the map side: a row whose bit is not there has no equal, and
+passes straight through. Only the others are shuffled; groups that hold more than a thousandth of them are
+joined by broadcast, so that no task gets a large group.
 
 Texts are equal if they are the same after removal of all blanks (U+0020, U+0009 to U+000D).
 A null text counts as empty, so null and blank texts are equal to each other. Of equal texts
@@ -23,14 +23,20 @@ from .common import settled, with_groups
 
 
 def normalised(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")
+    left = F.coalesce(text, F.lit(""))
+    for blank in " \t\n\x0b\x0c\r":
+        left = F.replace(left, F.lit(blank), F.lit(""))
+    return left
 
 
-def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Each row packed as `row`, with its sha, code points, and whether an equal may exist."""
-    marked = may_repeat(docs, F.xxhash64(normalised(F.col(text))))
-    whole = F.col("row")[text]
-    return marked.select("row", F.sha2(normalised(whole), 256).alias("sha"), F.length(F.coalesce(whole, F.lit(""))).alias("points"), F.col("row")[doc_id].alias("doc_id"), "maybe")
+def _keys(doc_id: str, text: str) -> list[Column]:
+    points = F.length(F.coalesce(F.col(text), F.lit("")))
+    return [F.col(doc_id).alias("doc_id"), F.sha2(normalised(F.col(text)), 256).alias("sha"), points.alias("points")]
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """The rows with `maybe`: whether another of the same sha may exist."""
+    return may_repeat(rows, F.xxhash64("sha")).select("row.*", "maybe")
 
 
 def _groups(maybe: DataFrame, *more: str) -> DataFrame:
@@ -40,8 +46,7 @@ def _groups(maybe: DataFrame, *more: str) -> DataFrame:
 
 def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document, the dropped ones too: doc_id, keep_id, group_size, kept, text_sha256."""
-    keys = _keys(docs.select(F.col(doc_id).alias(doc_id), F.col(text).alias(text)), doc_id, text).select("doc_id", "sha", "points", "maybe")
-    keys = settled(keys.withColumn("n", F.monotonically_increasing_id()), "exact-keys")
+    keys = _marked(settled(docs.select(*_keys(doc_id, text), F.monotonically_increasing_id().alias("n")), "exact-keys"))
     maybe = keys.where("maybe").drop("maybe")
     both = with_groups(maybe, settled(_groups(maybe, "n"), "exact-groups"), "sha", "group_size").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("n") == F.col("best.n")).alias("kept"), F.col("sha").alias("text_sha256")
@@ -53,15 +58,13 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns.
+    """The rows that stay, with all their columns. They are written once with their keys, which the passes read without the texts.
 
-    Texts move for rows only that may repeat and are as long, and of the same id, as the best of their group: they have to be told
-    apart, so one of those is taken after a partial aggregation in each task.
+    Of rows that repeat with the best's id and length, one is taken after a partial aggregation in each task.
     """
-    rows = _keys(docs, doc_id, text)
-    keys = settled(rows.where("maybe").select("sha", "points", "doc_id"), "exact-keys")
-    best = settled(_groups(keys), "exact-groups")
+    rows = _marked(settled(docs.select(F.struct("*").alias("whole"), *_keys(doc_id, text)), "exact-rows"))
+    best = settled(_groups(rows.where("maybe").select("sha", "points", "doc_id")), "exact-groups")
     placed = with_groups(rows.where("maybe").drop("maybe"), best, "sha", "group_size")
     stay = placed.where((F.col("points") == -F.col("best.less")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
-    stay = stay.groupBy("sha").agg(F.first("row").alias("row"))
-    return rows.where("not maybe").select("row.*").unionByName(stay.select("row.*"))
+    stay = stay.groupBy("sha").agg(F.first("whole").alias("whole"))
+    return rows.where("not maybe").select("whole.*").unionByName(stay.select("whole.*"))
