@@ -1,15 +1,16 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences at line ends and full stops; each is normalised (lower case, runs of
-anything but letters, digits and the dots of version numbers become one blank). A normalised
-sentence that is among SENTENCES or TAGS has an identifier. A document's
-identifiers in order make a sequence, and the ordered rules of RULES are matched against it: a
-rule's identifiers have to occur in its order, with at most GAP other sentences between two of them.
+A text is cut into sentences at full stops and the like, and at empty lines (also those of comments). Each is
+normalised (lower case, runs of anything but letters, digits and the dots of version numbers become one
+blank), so that notices match whether they are wrapped or not; a sentence over several lines that is not known as a whole counts
+by its lines. A normalised sentence that is among SENTENCES has an identifier; one among TAGS has one only right after
+the tag's own name. A document's identifiers in order make a sequence, and the ordered rules of RULES are matched against
+it: a rule's identifiers have to occur in its order, with at most GAP other sentences between two of them.
 The first rule that matches at a place wins it; a document's licences are those of all places.
 
 All of it is DataFrame functions on each row by itself: nothing is shuffled, and one document, group
 or source of any size makes no difference. A null or empty text has no licence. Repeated rows
-are scanned alike; an empty table gives no rows; other columns are carried along.
+are scanned alike; an empty table gives no rows; other columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
@@ -17,29 +18,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Normalised sentences and their identifiers: fixed values.
+#: Normalised sentences, as the cutting below leaves them, and their identifiers: fixed values.
 SENTENCES = {
     "licensed under the apache license version 2.0": "apache-grant",
     "licensed under the apache license version 2.0 the license": "apache-grant",
     "you may not use this file except in compliance with the license": "apache-compliance",
     "you may obtain a copy of the license at": "apache-copy",
-    "http www.apache.org licenses license 2.0": "apache-url",
-    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis": "apache-disclaimer",
-    "without warranties or conditions of any kind either express or implied": "apache-conditions",
+    "you may obtain a copy of the license at http www.apache.org licenses license 2.0": "apache-copy",
     "released under the mit license": "mit-grant",
     "licensed under the mit license": "mit-grant",
     "this project is licensed under the mit license": "mit-grant",
-    "the mit license": "mit-title",
-    "mit license": "mit-title",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software": "mit-permission",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-permission",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-notice",
-    "the software is provided as is without warranty of any kind": "as-is",
     "this work is licensed under the gnu general public license version 3": "gpl3-grant",
     "licensed under the gnu general public license version 3": "gpl3-grant",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license": "gpl3-terms",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license": "gpl2-terms",
-    "or at your option any later version": "later-version",
-    "this program is distributed in the hope that it will be useful but without any warranty": "gpl-warranty",
+    "this program is free software": "gpl-free",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license": "gpl3-terms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license": "gpl2-terms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "gpl3-terms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2-terms",
     "licensed under cc by nc 4.0": "cc-by-nc-grant",
     "this work is licensed under cc by nc 4.0": "cc-by-nc-grant",
     "licensed under cc by 4.0": "cc-by-grant",
@@ -51,16 +50,21 @@ SENTENCES = {
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
-    "this source code form is subject to the terms of the mozilla public license v. 2.0": "mpl-grant",
-    "all rights reserved": "all-rights",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-form",
+    "2.0": "version-2",
+    "spdx license identifier": "spdx",
 }
-#: The tag line, which a colon cuts in two: its name, and the licence's, as normalised: fixed values.
+#: The tag line, which a colon cuts in two: what its name is, and the licences', as normalised: fixed values.
+TAG_NAME = "spdx license identifier"
 TAGS = {
-    "spdx license identifier": "spdx",
     "apache 2.0": "apache-tag",
     "mit": "mit-tag",
     "gpl 3.0": "gpl3-tag",
+    "gpl 3.0 only": "gpl3-tag",
+    "gpl 3.0 or later": "gpl3-later-tag",
     "gpl 2.0": "gpl2-tag",
+    "gpl 2.0 only": "gpl2-tag",
+    "gpl 2.0 or later": "gpl2-later-tag",
     "bsd 3 clause": "bsd3-tag",
     "bsd 2 clause": "bsd2-tag",
     "mpl 2.0": "mpl-tag",
@@ -74,13 +78,20 @@ RULES = [
     ("BSD-2-Clause", ["bsd-permission", "bsd-source", "bsd-binary"]),
     ("Apache-2.0", ["apache-grant", "apache-compliance", "apache-copy"]),
     ("MIT", ["mit-permission", "mit-notice"]),
-    ("GPL-3.0-or-later", ["gpl3-terms", "later-version"]),
-    ("GPL-2.0-or-later", ["gpl2-terms", "later-version"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl3-later"]),
+    ("GPL-2.0-or-later", ["gpl-free", "gpl2-later"]),
+    ("GPL-3.0", ["gpl-free", "gpl3-terms"]),
+    ("GPL-2.0", ["gpl-free", "gpl2-terms"]),
+    ("MPL-2.0", ["mpl-form", "version-2"]),
     ("Apache-2.0", ["apache-grant"]),
     ("Apache-2.0", ["spdx", "apache-tag"]),
     ("MIT", ["mit-grant"]),
     ("MIT", ["mit-permission"]),
     ("MIT", ["spdx", "mit-tag"]),
+    ("GPL-3.0-or-later", ["gpl3-later"]),
+    ("GPL-2.0-or-later", ["gpl2-later"]),
+    ("GPL-3.0-or-later", ["spdx", "gpl3-later-tag"]),
+    ("GPL-2.0-or-later", ["spdx", "gpl2-later-tag"]),
     ("GPL-3.0", ["gpl3-grant"]),
     ("GPL-3.0", ["gpl3-terms"]),
     ("GPL-3.0", ["spdx", "gpl3-tag"]),
@@ -92,30 +103,38 @@ RULES = [
     ("CC-BY-SA-4.0", ["spdx", "cc-by-sa-tag"]),
     ("CC-BY-4.0", ["cc-by-grant"]),
     ("CC-BY-4.0", ["spdx", "cc-by-tag"]),
-    ("MPL-2.0", ["mpl-grant"]),
     ("MPL-2.0", ["spdx", "mpl-tag"]),
     ("BSD-3-Clause", ["spdx", "bsd3-tag"]),
     ("BSD-2-Clause", ["spdx", "bsd2-tag"]),
 ]
 #: Sentences of other kinds that may stand between two of a rule.
 GAP = 3
-#: A sentence ends at a line end or at a sign that blanks or the text's end follow.
-SENTENCE_END = r"[\r\n]+|[.;:!?]+[ \t]"
-#: What is taken out of a sentence: other signs, then dots that do not stand inside a number or name.
+#: A sentence ends at a sign that blanks follow, or at a line that is empty but for signs of a comment.
+SENTENCE_END = r"[.;:!?]+[ \t\r\n]+|\n[ \t\r#*/;%-]*\n"
+#: What is taken out of a line: other signs, then dots that do not stand inside a number or name.
 SIGNS, DOTS_BEFORE, DOTS_AFTER = r"[^a-z0-9.]+", r"(^| )\.+", r"\.+( |$)"
 
 
+def _clean(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(line, SIGNS, " "), DOTS_BEFORE, " "), DOTS_AFTER, " "))
+
+
+def _known() -> Column:
+    return F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+
+
 def sentences(text: Column) -> Column:
-    """Array of normalised sentences, empty ones left out."""
-    cut = F.split(F.lower(text), SENTENCE_END)
-    clean = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, SIGNS, " "), DOTS_BEFORE, " "), DOTS_AFTER, " ")))
-    return F.filter(clean, lambda s: s != "")
+    """Array of normalised sentences, empty ones left out: whole where they are known or of one line, else by their lines."""
+    lines = F.transform(F.split(F.lower(text), SENTENCE_END), lambda piece: F.filter(F.transform(F.split(piece, r"\n"), _clean), lambda s: s != ""))
+    whole = lambda own: F.array_join(own, " ")
+    return F.flatten(F.transform(lines, lambda own: F.when((F.size(own) > 1) & F.map_contains_key(_known(), whole(own)), F.array(whole(own))).otherwise(own)))
 
 
 def sentence_ids(text: Column) -> Column:
     """Array of the sentences' identifiers, null for a sentence that has none."""
-    known = F.create_map(*[F.lit(x) for pair in {**SENTENCES, **TAGS}.items() for x in pair])
-    return F.transform(sentences(text), lambda s: F.try_element_at(known, s))
+    tags = F.create_map(*[F.lit(x) for pair in TAGS.items() for x in pair])
+    named = lambda seq: F.transform(seq, lambda s, i: F.coalesce(F.try_element_at(_known(), s), F.when(F.get(seq, i - 1) == TAG_NAME, F.try_element_at(tags, s))))
+    return F.get(F.transform(F.array(sentences(text)), named), F.lit(0))  # an array of one array: so the sentences are made once
 
 
 def pattern(needs: list[str]) -> str:

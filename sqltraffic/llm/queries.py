@@ -91,14 +91,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _license_sql() -> str:
     """One subquery for each rule, since what a rule matched is gone for the next."""
     text = lambda x: "'" + x.replace("'", "''") + "'"
-    known = ", ".join(f"{text(k)}: {text(v)}" for k, v in {**license_scan.SENTENCES, **license_scan.TAGS}.items())
+    mapped = lambda table: "map {" + ", ".join(f"{text(k)}: {text(v)}" for k, v in table.items()) + "}"
+    known, tags = mapped(license_scan.SENTENCES), mapped(license_scan.TAGS)
     clean = "x"
     for sign in (license_scan.SIGNS, license_scan.DOTS_BEFORE, license_scan.DOTS_AFTER):
         clean = f"regexp_replace({clean}, {text(sign)}, ' ', 'g')"
+    lines = f"list_filter(list_transform(string_split(p, chr(10)), lambda x: trim({clean})), lambda x: x <> '')"
     sql = f"""
       SELECT doc_id, ids, list_aggregate(list_transform(ids, lambda x: coalesce('<' || x || '>', '.')), 'string_agg', '') AS rest, []::VARCHAR[] AS found
-      FROM (SELECT doc_id, list_transform(list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), {text(license_scan.SENTENCE_END)}),
-              lambda x: trim({clean})), lambda x: x <> ''), lambda x: map {{{known}}}[x]) AS ids FROM documents)"""
+      FROM (SELECT doc_id, list_transform(seq, lambda x, i: coalesce({known}[x], CASE WHEN i > 1 AND seq[i - 1] = {text(license_scan.TAG_NAME)} THEN {tags}[x] END)) AS ids
+            FROM (SELECT doc_id, flatten(list_transform(own, lambda l: CASE WHEN len(l) > 1 AND {known}[array_to_string(l, ' ')] IS NOT NULL THEN [array_to_string(l, ' ')] ELSE l END)) AS seq
+                  FROM (SELECT doc_id, list_transform(regexp_split_to_array(lower(coalesce(text, '')), {text(license_scan.SENTENCE_END)}), lambda p: {lines}) AS own FROM documents)))"""
     for name, needs in license_scan.RULES:
         rule = text(license_scan.pattern(needs))
         sql = f"""
