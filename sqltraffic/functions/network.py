@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,7 +25,9 @@ def ipv4_number(address: Column) -> Column:
 def networks(cidrs: list[str]) -> list[tuple[int, int, int]]:
     """(version, first, last) of each; a bad one is a ValueError."""
     found = [ipaddress.ip_network(c, strict=False) for c in cidrs]
-    return [(n.version, int(n.network_address), int(n.broadcast_address)) for n in found]
+    low_high = [(n.version, int(n.network_address), int(n.broadcast_address)) for n in found]
+    # A network of mapped addresses is one of IPv4 addresses.
+    return [(4, low & 0xFFFFFFFF, high & 0xFFFFFFFF) if v == 6 and low >> 32 == high >> 32 == 0xFFFF else (v, low, high) for v, low, high in low_high]
 
 
 def ipv6_hex(address: Column) -> Column:
@@ -43,11 +46,61 @@ def ipv6_hex(address: Column) -> Column:
     return F.when(fine, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
 
 
+def _dotted_as_hex(address: Column) -> Column:
+    """An IPv6 address whose end is written as IPv4, with two groups of hex digits there."""
+    tail = F.regexp_extract(address, r"(?s)\A.*:([0-9.]+)\z", 1)
+    n = ipv4_number(tail)
+    groups = F.concat_ws(":", F.lower(F.hex(F.shiftright(n, 16))), F.lower(F.hex(n.bitwiseAND(F.lit(0xFFFF)))))
+    return F.when(n.isNotNull(), F.concat(F.regexp_replace(address, r"[0-9.]+\z", ""), groups)).otherwise(address)
+
+
+_MAPPED = "0" * 20 + "ffff"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def number(address: Column) -> Column:
+    """(v4, v6): the address as an IPv4 number or as 32 hex digits; the other, or both, null. An IPv4-mapped IPv6 address is its IPv4 one."""
+    six = F.when(address.contains(":"), _let(_dotted_as_hex(address), ipv6_hex))
+    mapped = lambda x: F.when(x.startswith(_MAPPED), F.conv(F.substring(x, 25, 8), 16, 10).cast("long"))
+    return _let(six, lambda x: F.struct(F.coalesce(ipv4_number(address), mapped(x)).alias("v4"), F.when(~x.startswith(_MAPPED), x).alias("v6")))
+
+
+def bits(address: Column) -> Column:
+    """The address as a text: its version and its bits, so that a network is a prefix of those in it; null if it cannot be read."""
+    four = lambda n: F.concat(F.lit("4"), F.lpad(F.bin(n["v4"]), 32, "0"))
+    six = lambda n: F.concat(F.lit("6"), *[F.lpad(F.bin(F.conv(F.substring(n["v6"], 8 * i + 1, 8), 16, 10).cast("long")), 32, "0") for i in range(4)])
+    return _let(number(address), lambda n: F.coalesce(four(n), six(n)))
+
+
+def prefix(cidr: Column) -> Column:
+    """The version and leading bits that the addresses of a network (address/length) have; null if it is none."""
+    parts = F.split(cidr, "/")
+    address, length = F.get(parts, F.lit(0)), F.try_element_at(parts, F.lit(2)).cast("int")
+
+    def cut(every: Column) -> Column:
+        own = length - F.when(address.contains(":") & every.startswith("4"), 96).otherwise(0)  # 96 of a mapped network's are fixed
+        return F.when((own >= 0) & (own < F.length(every)), F.substring(every, F.lit(1), 1 + own))
+
+    return _let(bits(address), cut)
+
+
+def inside_each(address: Column, cidrs: Column) -> Column:
+    """Whether the address is in one of the row's own networks (an array); null if it cannot be read. No or a null list has none."""
+    nets = F.transform(F.coalesce(cidrs, F.array().cast("array<string>")), prefix)
+    return _let(bits(address), lambda own: F.when(own.isNotNull(), F.exists(nets, lambda p: F.coalesce(own.startswith(p), F.lit(False)))))
+
+
 def inside_any(address: Column, cidrs: list[str]) -> Column:
     """Whether the address is in one of a short list of networks; null if it cannot be read."""
-    v4, v6 = ipv4_number(address), ipv6_hex(address)
-    found = F.lit(False)
-    for version, low, high in networks(cidrs):
-        test = v4.between(low, high) if version == 4 else v6.between(f"{low:032x}", f"{high:032x}")
-        found = found | F.coalesce(test, F.lit(False))
-    return F.when(v4.isNotNull() | v6.isNotNull(), found)
+
+    def test(n: Column) -> Column:
+        found = F.lit(False)
+        for version, low, high in networks(cidrs):
+            found = found | F.coalesce(n["v4"].between(low, high) if version == 4 else n["v6"].between(f"{low:032x}", f"{high:032x}"), F.lit(False))
+        return F.when(n["v4"].isNotNull() | n["v6"].isNotNull(), found)
+
+    return _let(number(address), test)

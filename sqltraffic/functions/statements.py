@@ -10,8 +10,8 @@ _SINGLE = r"'[^'\\]*+(?:(?:''|\\[\s\S])[^'\\]*+)*+\\?'?"
 _DOUBLE = r'"[^"\\]*+(?:(?:""|\\[\s\S])[^"\\]*+)*+\\?"?'
 #: Quoted text as an IN list's end is looked for: there only single quotes count.
 _IN_QUOTED = r"'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+\\?(?:'|\z)"
-#: How deep parentheses may be nested in an IN list.
-IN_DEPTH = 6
+#: How deep parentheses may be nested in an IN list: in statements of so few of them, and in all others.
+IN_DEPTH, DEEPEST = 6, 200
 
 
 def _in_body(depth: int) -> str:
@@ -19,8 +19,8 @@ def _in_body(depth: int) -> str:
     return rf"[^()']*+(?:(?:{inner})[^()']*+)*+"
 
 
-#: The token kinds in the order in which they are tried at each place of a statement.
-TOKENS = "|".join([
+#: The token kinds in the order in which they are tried at each place of a statement; {} is an IN list's inside.
+_TOKENS = "|".join([
     r"/\*[\s\S]*?(?:\*/|\z)",
     r"--(?=[ \t\n]|\z)[^\n]*+",
     r"[ \t\n\r]++",
@@ -28,12 +28,15 @@ TOKENS = "|".join([
     _DOUBLE,
     r"0[xX][0-9a-fA-F]*+",
     r"(?:(?:\A|(?<=[=(,><+*/\s-]))-)?[0-9]++(?:\.[0-9]*+)?(?:[eE][+-]?[0-9]*+)?",
-    rf"[iI][nN][ \t]*+\({_in_body(IN_DEPTH)}(?:\)|\z)",
+    r"[iI][nN][ \t]*+\({}(?:\)|\z)",
     r"""[^ \t\n\r'"0-9/iI-]++""",
     r"[\s\S]",
 ])
 
 
+TOKENS, DEEP_TOKENS = (_TOKENS.replace("{}", _in_body(depth)) for depth in (IN_DEPTH, DEEPEST))
+
+
 def _replaced(token: Column) -> Column:
     first, two = F.substring(token, 1, 1), F.substring(token, 1, 2)
     return (
@@ -48,7 +51,9 @@ def _replaced(token: Column) -> Column:
 def digest(query: Column) -> Column:
     """The statement with literals as `?`, comments removed, blanks squeezed, in lower case."""
     trimmed = F.regexp_replace(F.coalesce(query, F.lit("")), r"\A[\s\x85\xA0]+|[\s\x85\xA0]+\z", "")
-    tokens = F.regexp_extract_all(trimmed, F.lit(TOKENS), F.lit(0))
+    # More parentheses than the shorter pattern can nest are rare; they take the longer one.
+    shallow = F.length(trimmed) - F.length(F.replace(trimmed, F.lit("("), F.lit(""))) <= IN_DEPTH + 1
+    tokens = F.when(shallow, F.regexp_extract_all(trimmed, F.lit(TOKENS), F.lit(0))).otherwise(F.regexp_extract_all(trimmed, F.lit(DEEP_TOKENS), F.lit(0)))
     joined = F.array_join(F.transform(tokens, _replaced), "")
     return F.regexp_replace(F.trim(F.lower(joined)), " {2,}", " ")
 

@@ -75,37 +75,45 @@ def write_targets(log: DataFrame) -> DataFrame:
     return rows.where(F.col("category").isin(statements.DML, statements.DDL)).groupBy("target", "category").agg(F.count("*").alias("count"))
 
 
+def policy_cidr_passes(source: Column, allow: Column, exclude: Column) -> Column:
+    """As cidr_passes, by lists that each row has of its own."""
+    address = network.host(source)
+    allowed = (F.coalesce(F.size(allow), F.lit(0)) <= 0) | network.inside_each(address, allow)
+    return F.coalesce(~network.inside_each(address, exclude) & allowed, F.lit(True))
+
+
 def cidr_join(log: DataFrame, cidrs: DataFrame) -> DataFrame:
-    """Rows of the log with each network (name, cidr) that holds their IPv4 address.
+    """Rows of the log, with all their columns, and the `name` of each network (name, cidr) that holds their address.
 
-    Every network is a prefix, so a row is matched by equality with its own prefixes of the lengths
+    Every network is a prefix of bits, so a row is matched by equality with its own prefixes of the lengths
     that occur; the join is a hash join for tables of any size.
     """
-    parts = F.split("cidr", "/")
-    length = parts[1].cast("int")
-    size = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), 32 - n)
-    nets = cidrs.select("name", length.alias("length"), F.floor(network.ipv4_number(parts[0]) / size(length)).alias("prefix"))
-    lengths = nets.groupBy().agg(F.collect_set("length").alias("lengths"))  # 33 at most
-    rows = log.withColumn("_ip", network.ipv4_number(network.host(F.col("source_ip"))))
-    rows = rows.join(F.broadcast(lengths)).withColumn("length", F.explode("lengths")).drop("lengths")
-    return rows.withColumn("prefix", F.floor(F.col("_ip") / size(F.col("length")))).join(nets, ["length", "prefix"]).drop("_ip", "prefix", "length")
+    nets = cidrs.select(F.col("name").alias("net"), network.prefix(F.col("cidr")).alias("prefix")).where("prefix is not null")
+    lengths = nets.groupBy().agg(F.collect_set(F.length("prefix")).alias("lengths"))  # 162 at most
+    places = [f"c{i}" for i in range(len(log.columns))]  # so that no name of the log clashes
+    rows = log.toDF(*places).withColumn("bits", network.bits(network.host(F.col(places[log.columns.index("source_ip")])))).where("bits is not null")
+    own = F.array_distinct(F.transform("lengths", lambda n: F.substring("bits", F.lit(1), n)))  # longer ones than the address are all of it
+    each = rows.join(F.broadcast(lengths)).select(*places, F.explode(own).alias("prefix"))
+    return each.join(nets, "prefix").select(*[F.col(p).alias(c) for p, c in zip(places, log.columns, strict=True)], F.col("net").alias("name"))
 
 
 def asof_policy(log: DataFrame, policy: DataFrame) -> DataFrame:
-    """Each row with the policy in force at its time (valid_from, enabled, sample_rate), none before the first.
+    """Each row with the policy in force at its time (valid_from and what else the policy table has), nulls before the first.
 
-    Policies and rows are put in one order per time bucket; a bucket begins with the last policy before it.
+    A policy stands in each day of the log in which it is in force, so the join is by day, and the time is tested
+    in the join: a row whose day has no policy yet at its time stays.
     """
-    rows = log.withColumn("_day", F.date_trunc("day", "ts"))
+    rules = [c for c in policy.columns if c != "valid_from"]
     span = policy.withColumn("until", F.lead("valid_from").over(Window.orderBy("valid_from")))
     last = F.coalesce("until", F.lit("9999-01-01").cast("timestamp"))
-    # A policy stands in each day of the log in which it is in force, so the join is by day.
     ends = log.agg(F.date_trunc("day", F.max("ts")).alias("_end"))
+    first = F.date_trunc("day", "valid_from")
     days = span.join(F.broadcast(ends)).where("valid_from < date_add(_end, 1)")
-    days = days.withColumn("_day", F.explode(F.sequence(F.date_trunc("day", "valid_from"), F.greatest(F.date_trunc("day", "valid_from"), F.least(F.date_trunc("day", last), F.col("_end"))), F.expr("interval 1 day"))))
-    days = days.select(F.col("_day").alias("_of"), "valid_from", last.alias("until"), "enabled", "sample_rate")
-    in_force = (F.col("_day") == F.col("_of")) & (F.col("ts") >= F.col("valid_from")) & (F.col("ts") < F.col("until"))
-    return rows.join(days, in_force, "left").drop("_day", "_of", "until")
+    days = days.withColumn("_of", F.explode(F.sequence(first, F.greatest(first, F.least(F.date_trunc("day", last), F.col("_end"))), F.expr("interval 1 day"))))
+    days = days.select("_of", F.struct("valid_from", *rules).alias("_rule"), last.alias("_until"))
+    rows = log.withColumn("_day", F.date_trunc("day", "ts"))
+    in_force = (F.col("_day") == F.col("_of")) & (F.col("ts") >= F.col("_rule.valid_from")) & (F.col("ts") < F.col("_until"))
+    return rows.join(days, in_force, "left").select(*[F.col(c) for c in log.columns], "_rule.*")
 
 
 def gate_reason(enabled: Column, rate: Column | float, key: Column, allow: list[str], exclude: list[str], passes: Column) -> Column:

@@ -123,11 +123,13 @@ def cluster_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gate policies that change in the log's time: one for each distinct day of events, by its number."""
+    """Gate policies that change in the log's time, some within a day: one for each third day of events, by its number."""
     days = table(spark, sf_dir, "events").select(F.date_trunc("day", "ts").alias("valid_from")).distinct()
     n = F.dayofmonth("valid_from")
     return days.where(n % 3 == 1).select(
-        "valid_from",
+        (F.col("valid_from") + F.when(n % 2 == 1, F.expr("interval 10 hours 30 minutes")).otherwise(F.expr("interval 0 hours"))).alias("valid_from"),
         (n % 4 != 0).alias("enabled"),
         F.when(n % 2 == 0, 0.5).otherwise(1.0).alias("sample_rate"),
+        F.when(n % 4 == 1, F.array(F.lit("10.0.0.0/22"))).otherwise(F.array().cast("array<string>")).alias("allow"),
+        F.when(n % 2 == 1, F.array(F.lit("10.0.3.0/24"))).alias("exclude"),
     )

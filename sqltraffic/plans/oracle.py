@@ -79,7 +79,7 @@ m AS (
   SELECT ts, cluster, 'queries_total' AS name, 'counter' AS kind, (sum(n) OVER (PARTITION BY cluster ORDER BY ts))::DOUBLE AS value FROM h
   UNION ALL SELECT ts, cluster, 'sessions_active', 'gauge', users::DOUBLE FROM h)"""
 _POLICY = """
-p AS (SELECT valid_from, day(valid_from) % 4 <> 0 AS enabled, CASE WHEN day(valid_from) % 2 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS sample_rate
+p AS (SELECT valid_from + CASE WHEN day(valid_from) % 2 = 1 THEN INTERVAL 630 MINUTE ELSE INTERVAL 0 MINUTE END AS valid_from, day(valid_from) AS n, day(valid_from) % 4 <> 0 AS enabled, CASE WHEN day(valid_from) % 2 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS sample_rate
       FROM (SELECT DISTINCT date_trunc('day', ts) AS valid_from FROM events) WHERE day(valid_from) % 3 = 1)"""
 _GATE = _LOG + """,
 g0 AS (
@@ -198,9 +198,9 @@ SQL = {
 SQL |= {
     "x1_stream_digest_counts": f"WITH {_LOG} SELECT digest, count(*) AS count, round(avg(response_time_ms), 9) AS avg_ms FROM q GROUP BY digest",
     "x4_stream_session_gate": SQL["w3_temp_table_gate"],
-    "x5_stream_pair": f"WITH {_COMPARED} SELECT session_id, seq, CASE WHEN event_id % 19 <> 0 THEN replay_ms END AS replay_ms FROM c WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY",
+    "x5_stream_pair": f"WITH {_COMPARED} SELECT session_id, seq, CASE WHEN event_id % 19 <> 0 THEN replay_ms END AS replay_ms FROM c",
     "x7_stream_digest_cap": f"WITH {_LOG}, f AS (SELECT digest FROM q GROUP BY digest ORDER BY min((ts, session_id, seq)) LIMIT 4) SELECT digest, count(*) AS count FROM q JOIN f USING (digest) GROUP BY digest",
-    "x8_stream_policy": f"WITH {_LOG}, {_POLICY} SELECT session_id, seq FROM q ASOF JOIN p ON q.ts >= p.valid_from WHERE enabled AND point < sample_rate",
+    "x8_stream_policy": f"WITH {_LOG}, {_POLICY} SELECT session_id, seq FROM q ASOF JOIN p ON q.ts >= p.valid_from WHERE enabled AND point < sample_rate AND (source_ip = '' OR ((n % 4 <> 1 OR session_id % 8 < 4) AND (n % 2 <> 1 OR session_id % 8 <> 3)))",
     "x9_stream_report": f"WITH {_COMPARED} SELECT session_id, seq, type FROM c WHERE NOT match AND NOT ignored",
     "x2_stream_heartbeats": f"WITH {_LOG} SELECT date_trunc('hour', ts) AS window_start, count(*) AS window_total FROM q WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1",
     "x3_stream_summary": f"WITH {_LOG} SELECT count(*) AS total, count(*) FILTER (error <> '') AS errors, count(DISTINCT digest) AS digests FROM q",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +73,7 @@ def write_query_log(log: DataFrame, path: str, rows_per_file: int = 1_000_000, c
 
 
 def retain_log(log: DataFrame, max_age_days: int) -> DataFrame:
-    """The log's latest days. Over a log read from day folders, the condition prunes them."""
-    newest = log.agg(F.max("date").alias("_newest"))
-    return log.join(F.broadcast(newest)).where(F.col("date") > F.date_sub("_newest", max_age_days)).drop("_newest")
+    """The log's latest days. Over a log in day folders the newest is told by their names, and the others are not read."""
+    named = [m[1] for f in log.inputFiles() if (m := re.search(r"/date=(\d{4}-\d{2}-\d{2})/", f))]
+    newest = max(named) if named else log.agg(F.max("date")).first()[0]
+    return log.where(F.col("date") > F.date_sub(F.lit(newest).cast("date"), max_age_days))

@@ -36,16 +36,17 @@ def stream_summary(log: DataFrame) -> DataFrame:
 GATED = "session_id long, seq long, passes boolean"
 
 
-def stream_session_gate(log: DataFrame) -> DataFrame:
+def stream_session_gate(log: DataFrame, late: str = "1 hour", idle_ms: int = 86_400_000) -> DataFrame:
     """The temporary-table gate with each session's tables kept from batch to batch (append mode).
 
-    State is the session's own table names, no more; a session idle for a day is forgotten.
+    State is the session's own table names, no more. A session is forgotten once the watermark has passed its last statement by `idle_ms`:
+    time is that of the log, so a stream of what there is comes to an end, and a replay forgets what the first run forgot.
     """
     query = F.col("query")
     kind = statements.category(query)
     safe = [statements.SELECT, statements.SESSION_STATE, statements.TEMP_TABLE, statements.TRANSACTION]
-    rows = log.select(
-        "session_id", F.col("seq").cast("long").alias("seq"), kind.isin(safe).alias("safe"), kind.isin(statements.DML, statements.DDL).alias("write"),
+    rows = log.withWatermark("ts", late).select(
+        "session_id", "ts", F.col("seq").cast("long").alias("seq"), kind.isin(safe).alias("safe"), kind.isin(statements.DML, statements.DDL).alias("write"),
         statements.temp_created(query).alias("created"), statements.temp_dropped(query).alias("dropped"),
         statements.write_target(query).alias("target"), statements.is_plain_drop(query).alias("plain_drop"),
     )
@@ -56,7 +57,8 @@ def stream_session_gate(log: DataFrame) -> DataFrame:
             return
         tables = set(state.get[0].split("\n")) - {""} if state.exists else set()
         out = []
-        for row in pd.concat(frames).sort_values("seq").itertuples():
+        batch = pd.concat(frames).sort_values("seq")
+        for row in batch.itertuples():
             passes = row.safe or (row.write and row.target in tables)
             if row.created:
                 tables.add(row.created)
@@ -66,10 +68,11 @@ def stream_session_gate(log: DataFrame) -> DataFrame:
                 tables.discard(row.target)
             out.append((key[0], row.seq, bool(passes)))
         state.update(("\n".join(sorted(tables)),))
-        state.setTimeoutDuration(86_400_000)
+        last = int(batch["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(out, columns=["session_id", "seq", "passes"])
 
-    return rows.groupBy("session_id").applyInPandasWithState(gate, GATED, "tables string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("session_id").applyInPandasWithState(gate, GATED, "tables string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_pair(primary: DataFrame, replay: DataFrame, timeout: str = "5 seconds", late: str = "10 minutes") -> DataFrame:
@@ -102,11 +105,12 @@ def stream_digest_cap(log: DataFrame, table: str, max_digests: int, checkpoint:
 
 
 def stream_policy(log: DataFrame, policy: Callable[[], DataFrame], key: str, checkpoint: str, out: str) -> StreamingQuery:
-    """Rows that the policy in force at their time lets through; the policy table is read anew in each batch."""
+    """Rows that the policy in force at their time lets through, by its switch, networks and sample rate; the policy table is read anew in each batch."""
 
     def work(batch: DataFrame, number: int) -> None:
         ruled = gates.asof_policy(batch, policy()).where("enabled")
-        ruled.where(gates.sample_point(F.col(key)) < F.col("sample_rate")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        inside = gates.policy_cidr_passes(F.col("source_ip"), F.col("allow"), F.col("exclude"))
+        ruled.where(inside & (gates.sample_point(F.col(key)) < F.col("sample_rate"))).drop("allow", "exclude").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return each_batch(log, work, checkpoint)
 
