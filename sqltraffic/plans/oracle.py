@@ -202,6 +202,6 @@ SQL |= {
     "x7_stream_digest_cap": f"WITH {_LOG}, f AS (SELECT digest FROM q GROUP BY digest ORDER BY min((ts, session_id, seq)) LIMIT 4) SELECT digest, count(*) AS count FROM q JOIN f USING (digest) GROUP BY digest",
     "x8_stream_policy": f"WITH {_LOG}, {_POLICY} SELECT session_id, seq FROM q ASOF JOIN p ON q.ts >= p.valid_from WHERE enabled AND point < sample_rate AND (source_ip = '' OR ((n % 4 <> 1 OR session_id % 8 < 4) AND (n % 2 <> 1 OR session_id % 8 <> 3)))",
     "x9_stream_report": f"WITH {_COMPARED} SELECT session_id, seq, type FROM c WHERE NOT match AND NOT ignored",
-    "x2_stream_heartbeats": f"WITH {_LOG} SELECT date_trunc('hour', ts) AS window_start, count(*) AS window_total FROM q WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1",
+    "x2_stream_heartbeats": f"WITH {_COMPARED} SELECT date_trunc('hour', ts) AS window_start, count(*) AS window_total, count(*) FILTER (NOT ignored AND match) AS window_matched, count(*) FILTER (NOT ignored AND NOT match) AS window_differed, count(*) FILTER (ignored) AS window_ignored FROM c WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1",
     "x3_stream_summary": f"WITH {_LOG} SELECT count(*) AS total, count(*) FILTER (error <> '') AS errors, count(DISTINCT digest) AS digests FROM q",
 }

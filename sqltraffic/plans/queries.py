@@ -510,7 +510,7 @@ def x1_stream_digest_counts(spark, sf_dir):
 
 @query
 def x2_stream_heartbeats(spark, sf_dir):
-    stream, checkpoint = in_batches(spark, fixtures.query_log(spark, sf_dir), "ts")
+    stream, checkpoint = in_batches(spark, compared(spark, sf_dir).select("ts", "ignored", "match"), "ts")
     return drained(jobs.stream_heartbeats(stream, "1 hour"), checkpoint)
 
 
