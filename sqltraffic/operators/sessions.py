@@ -106,4 +106,4 @@ def lifetime_audit(log: DataFrame, cap_seconds: float) -> DataFrame:
     return late.groupBy("session_id").agg(
         F.min(F.when(~F.col("in_transaction"), F.col("seq"))).alias("closed_at"),
         F.min("seq").alias("first_late"),
-    ).select("session_id", "first_late", "closed_at", (F.coalesce("closed_at", F.lit(1 << 30)) > F.col("first_late")).alias("postponed"))
+    ).select("session_id", "first_late", "closed_at", (F.col("closed_at").isNull() | (F.col("closed_at") > F.col("first_late"))).alias("postponed"))

@@ -13,8 +13,40 @@ def round2(x: Column) -> Column:
     return F.round(x * 100) / 100
 
 
-def nearest_rank(column: str, p: float) -> Column:
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
+def _slice(v: Column) -> Column:
+    """A number that grows with v in steps of about a thousandth of v: an order's coarse part, at most some 40,000 for usual times."""
+    size = F.abs(v)
+    power = F.floor(F.log2(size))
+    step = power * 1024 + F.floor(size / F.pow(F.lit(2.0), power) * 1024) + 2_097_152
+    return F.when(v == 0, 0).when(F.isnan(v) | (v == float("inf")), 1 << 40).when(v == float("-inf"), -(1 << 40)).when(v > 0, step).otherwise(-step)
+
+
+def nearest_ranks(rows: DataFrame, by: list[str], columns: list[str], points: dict[str, float]) -> DataFrame:
+    """Exact percentiles by nearest rank, as `{column}_{point}`, of each group with a value that is not null.
+
+    Equal values are counted first. Then slices of values are put in order by their counts, and only the slices that hold
+    a wanted rank are ordered inside: no task holds or sorts a whole group, however many values it has.
+    """
+    keys = [*by, "_of"]
+    each = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("_of"), F.col(c).cast("double").alias("_v")) for c in columns])).alias("_e")).select(*by, "_e.*")
+    counts = each.where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_n")).withColumn("_slice", _slice(F.col("_v")))
+    group = Window.partitionBy(*keys)
+    slices = counts.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_n")).select(
+        *keys, "_slice", "_n", F.sum("_n").over(group).alias("_all"), (F.sum("_n").over(group.orderBy("_slice")) - F.col("_n")).alias("_before")
+    )
+    rank = {n: F.ceil(F.lit(p) * F.col("_all")) for n, p in points.items()}
+    holds = [(r > F.col("_before")) & (r <= F.col("_before") + F.col("_n")) for r in rank.values()]
+    wanted = slices.where(F.exists(F.array(*holds), lambda x: x)).select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate([*keys, "_slice"])], "_all", "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate([*keys, "_slice"])]
+    inside = counts.join(wanted, same).withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_slice").orderBy("_v")))
+    return inside.groupBy(*by).agg(*[F.min(F.when((F.col("_of") == c) & (F.col("_upto") >= r), F.col("_v"))).alias(f"{c}_{n}") for c in columns for n, r in rank.items()])
+
+
+def _with_ranks(found: DataFrame, rows: DataFrame, by: list[str], columns: list[str], points: dict[str, float]) -> DataFrame:
+    """Groups with their percentiles; a group's key may be null."""
+    ranks = nearest_ranks(rows, by, columns, points)
+    ranks = ranks.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(by)})
+    return found.join(ranks, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)], "left").drop(*[f"_k{i}" for i in range(len(by))])
 
 
 def comparison_totals(results: DataFrame) -> DataFrame:
@@ -38,14 +70,17 @@ def digest_summary(results: DataFrame) -> DataFrame:
     """
     has_error = F.exists("differences", lambda d: d["type"] == "error")
     sides = {side: f"{side}_time_ms" for side in ("original", "replay")}
-    found = results.groupBy("digest").agg(
+    counted = results.groupBy("digest").agg(
         F.min_by("query", F.struct("ts", "session_id", "seq")).alias("sample_query"),
         F.count("*").alias("count"),
         F.count_if("match").alias("match_count"),
         F.count_if(~F.col("match")).alias("diff_count"),
         F.count_if(has_error).alias("error_count"),
-        *[round2(f).alias(f"{s}_{n}_ms") for s, c in sides.items() for n, f in (("avg", F.avg(c)), ("p95", nearest_rank(c, 0.95)), ("p99", nearest_rank(c, 0.99)))],
+        *[F.avg(c).alias(f"{c}_avg") for c in sides.values()],
     )
+    ranked = _with_ranks(counted, results, ["digest"], list(sides.values()), {"p95": 0.95, "p99": 0.99})
+    times = [round2(F.col(f"{c}_{n}")).alias(f"{s}_{n}_ms") for s, c in sides.items() for n in ("avg", "p95", "p99")]
+    found = ranked.select("digest", "sample_query", "count", "match_count", "diff_count", "error_count", *times)
     return found.withColumns({f"overhead_{n}_ms": round2(F.col(f"replay_{n}_ms") - F.col(f"original_{n}_ms")) for n in ("avg", "p95", "p99")})
 
 
@@ -53,8 +88,12 @@ def digest_cap(results: DataFrame, max_digests: int = 10_000) -> DataFrame:
     """Each digest by first arrival: its rank, count, and whether it is among the first `max_digests` (0 or less: the default)."""
     limit = max_digests if max_digests > 0 else 10_000
     first = results.groupBy("digest").agg(F.min(F.struct("ts", "session_id", "seq")).alias("first"), F.count("*").alias("count"))
-    # One row for each distinct digest is ordered, not the log.
-    ranked = first.withColumn("rank", F.row_number().over(Window.orderBy("first", "digest")))
+    # Digests are ordered within the hour in which they first came; only hours are ordered in one place.
+    hours = first.withColumn("_hour", F.date_trunc("hour", "first.ts"))
+    sizes = hours.groupBy(F.col("_hour").alias("_of")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_of", (F.sum("_n").over(Window.orderBy("_of")) - F.col("_n")).alias("_before"))
+    inside = hours.withColumn("_inside", F.row_number().over(Window.partitionBy("_hour").orderBy("first", "digest")))
+    ranked = inside.join(before, F.col("_hour").eqNullSafe(F.col("_of"))).withColumn("rank", F.col("_before") + F.col("_inside"))
     return ranked.select("digest", "rank", "count", (F.col("rank") <= limit).alias("admitted"))
 
 
@@ -74,9 +113,11 @@ def regressions(results: DataFrame) -> DataFrame:
 def reservoir_sample(results: DataFrame, k: int = 10_000, seed: int | None = 0) -> DataFrame:
     """At most k rows of each digest, drawn evenly: those of the least hashes of their place and the seed."""
     by = F.rand() if seed is None else F.xxhash64("session_id", "seq", F.lit(seed))
-    drawn = results.withColumn("_by", by)
-    ranked = drawn.withColumn("_rank", F.row_number().over(Window.partitionBy("digest").orderBy("_by", "session_id", "seq")))
-    return ranked.where(F.col("_rank") <= k).drop("_by", "_rank")
+    # A digest of very many rows is first cut down in shares of its own; then at most k rows of each share are left to order.
+    drawn = results.withColumn("_by", by).withColumn("_share", F.pmod(F.xxhash64("session_id", "seq"), F.lit(256)))
+    for w in (Window.partitionBy("digest", "_share"), Window.partitionBy("digest")):
+        drawn = drawn.withColumn("_rank", F.row_number().over(w.orderBy("_by", "session_id", "seq"))).where(F.col("_rank") <= k)
+    return drawn.drop("_by", "_share", "_rank")
 
 
 def rank_digests(summary: DataFrame) -> DataFrame:
@@ -103,15 +144,17 @@ def unique_digests(log: DataFrame, approximate: bool = False) -> DataFrame:
 def latency_stats(timings: DataFrame) -> DataFrame:
     """Per path and query: successes' count, average, percentiles, range, sample deviation; and errors. Whole nanoseconds."""
     t = timings.withColumn("ok", F.when(F.col("error") == "", F.col("duration_ns")))
-    return t.groupBy("path", "query").agg(
+    counted = t.groupBy("path", "query").agg(
         F.count("ok").alias("n"),
         F.floor(F.avg("ok")).alias("avg_ns"),
-        *[nearest_rank("ok", p).cast("long").alias(f"{n}_ns") for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))],
         F.min("ok").alias("min_ns"),
         F.max("ok").alias("max_ns"),
         F.floor(F.coalesce(F.stddev_samp("ok"), F.lit(0.0))).alias("stddev_ns"),
         F.count_if(F.col("error") != "").alias("errors"),
     )
+    points = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    ranked = _with_ranks(counted, t, ["path", "query"], ["ok"], points)
+    return ranked.select("path", "query", "n", "avg_ns", *[F.col(f"ok_{p}").cast("long").alias(f"{p}_ns") for p in points], "min_ns", "max_ns", "stddev_ns", "errors")
 
 
 def latency_overhead(stats: DataFrame) -> DataFrame:
