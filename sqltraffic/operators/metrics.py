@@ -5,6 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Names and kinds of the exposed metrics that tables can tell.
+METRICS = {
+    "active_sessions": "gauge",
+    "total_sessions": "counter",
+    "sessions_closed_max_lifetime": "counter",
+    "sessions_lifetime_postponed": "counter",
+    "queries_handled": "counter",
+    "query_errors": "counter",
+    "shadow_enabled": "gauge",
+    "shadow_active_sessions": "gauge",
+    "shadow_queries_replayed": "counter",
+    "shadow_disabled": "counter",
+    "shadow_sampled_out": "counter",
+    "shadow_filtered_by_cidr": "counter",
+    "shadow_skipped": "counter",
+    "shadow_dropped": "counter",
+    "comparisons_total": "counter",
+    "comparisons_matched": "counter",
+    "comparisons_differed": "counter",
+    "comparisons_ignored": "counter",
+    "comparisons_digest_count": "gauge",
+    "comparisons_digest_overflow": "counter",
+}
+
 
 def heartbeats(results: DataFrame, seconds: int) -> DataFrame:
     """Per interval from the first to the last: its counts, and running totals. Idle intervals count too.
@@ -16,10 +40,14 @@ def heartbeats(results: DataFrame, seconds: int) -> DataFrame:
     found = results.groupBy(start.alias("timestamp")).agg(*[f.alias(f"window_{n}") for n, f in kinds.items()])
     ends = found.agg(F.min("timestamp").alias("low"), F.max("timestamp").alias("high")).where("low is not null")
     beats = ends.select(F.explode(F.sequence("low", "high", F.expr(f"interval {seconds} seconds"))).alias("timestamp"))
-    so_far = Window.orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0)
     out = beats.join(found, "timestamp", "left").na.fill(0)
-    running = {f"cumulative_{n}": F.sum(f"window_{n}").over(so_far) for n in ("total", "differed")}
-    return out.withColumns(running).withColumns({"type": F.lit("heartbeat"), "window_seconds": F.lit(seconds)})
+    return running_totals(out, "timestamp").withColumns({"type": F.lit("heartbeat"), "window_seconds": F.lit(seconds)})
+
+
+def running_totals(beats: DataFrame, by: str) -> DataFrame:
+    """Heartbeats (window_total, window_differed), streamed or not, with what has been counted up to each."""
+    so_far = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    return beats.withColumns({f"cumulative_{n}": F.sum(f"window_{n}").over(so_far) for n in ("total", "differed")})
 
 
 def combined_report(results: DataFrame, beats: DataFrame) -> DataFrame:
@@ -27,27 +55,38 @@ def combined_report(results: DataFrame, beats: DataFrame) -> DataFrame:
     return results.unionByName(beats, allowMissingColumns=True)
 
 
-def metric_snapshot(log: DataFrame, results: DataFrame, funnel: DataFrame) -> DataFrame:
-    """The metrics that tables can tell, as rows (name, kind, value)."""
-    from .stats import comparison_totals, unique_digests
-
-    def melted(one: DataFrame, kinds: dict[str, str]) -> DataFrame:
-        cells = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(kind).alias("kind"), F.col(n).cast("double").alias("value")) for n, kind in kinds.items()])
-        return one.select(F.explode(cells).alias("m")).select("m.*")
-
-    traffic = log.agg(F.countDistinct("session_id").alias("sessions_total"), F.count("*").alias("queries_total"), F.count_if(F.col("error") != "").alias("query_errors_total"))
-    gates = funnel.groupBy().pivot("reason", ["disabled", "sampled_out", "cidr", "skipped", "eligible"]).agg(F.sum("count")).na.fill(0)
-    gates = gates.select(*[F.col(c).alias(f"shadow_{c}_total") for c in gates.columns])
-    compared = comparison_totals(results).select(*[F.col(c).alias(f"comparisons_{c}") for c in ("total", "matched", "differed", "ignored")])
-    parts = [
-        melted(traffic, dict.fromkeys(traffic.columns, "counter")),
-        melted(gates, dict.fromkeys(gates.columns, "counter")),
-        melted(compared, dict.fromkeys(compared.columns, "counter")),
-        melted(unique_digests(log), {"unique_digests": "gauge"}),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def metric_snapshot(log: DataFrame, results: DataFrame, funnel: DataFrame, audit: DataFrame, enabled: bool = True, max_digests: int = 10_000, idle_seconds: int = 3600) -> DataFrame:
+    """The metrics that tables can tell, at the log's end, as rows (name, kind, value).
+
+    `results` are compared statements with their digest and the replay's error; `funnel` is what gates.gate_funnel gives and `audit`
+    what sessions.lifetime_audit gives. A session is active until it has been idle for `idle_seconds`; its replay is, while that is enabled.
+    Replays after the first transport error of their session were dropped; those that have neither this nor an error were replayed.
+    """
+    from .sessions import teardown_effect
+    from .stats import cap_overflow, comparison_totals, digest_cap
+
+    each = log.groupBy("session_id").agg(F.max("ts").alias("last"), F.count("*").alias("n"), F.count_if(F.col("error") != "").alias("failed"))
+    end = each.agg(F.max("last").alias("end"))
+    open_still = F.col("last") >= F.col("end") - F.expr(f"interval {idle_seconds} seconds")
+    replays = teardown_effect(results.select("session_id", "seq", F.col("replay_error").alias("error")))
+    reasons = {"disabled": "disabled", "sampled_out": "sampled_out", "cidr": "filtered_by_cidr", "skipped": "skipped"}
+    active, nothing = F.count_if(open_still), F.lit(0)
+    tables = [
+        each.join(F.broadcast(end)).agg(
+            active.alias("active_sessions"), F.count("*").alias("total_sessions"), F.coalesce(F.sum("n"), nothing).alias("queries_handled"), F.coalesce(F.sum("failed"), nothing).alias("query_errors"),
+            (active * int(enabled)).alias("shadow_active_sessions"), F.lit(int(enabled)).alias("shadow_enabled"),
+        ),
+        audit.agg(F.count("closed_at").alias("sessions_closed_max_lifetime"), F.count_if("postponed").alias("sessions_lifetime_postponed")),
+        funnel.agg(*[F.coalesce(F.sum(F.when(F.col("reason") == r, F.col("count"))), nothing).alias(f"shadow_{name}") for r, name in reasons.items()]),
+        replays.agg(F.count_if(~F.col("dropped") & (F.col("error") == "")).alias("shadow_queries_replayed"), F.count_if("dropped").alias("shadow_dropped")),
+        comparison_totals(results).select(*[F.col(c).alias(f"comparisons_{c}") for c in ("total", "matched", "differed", "ignored")]),
+        cap_overflow(digest_cap(results, max_digests)).select(F.col("admitted").alias("comparisons_digest_count"), F.col("overflow").alias("comparisons_digest_overflow")),
+    ]
+    out = None
+    for one in tables:
+        cells = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(METRICS[c]).alias("kind"), F.col(c).cast("double").alias("value")) for c in one.columns])
+        rows = one.select(F.explode(cells).alias("m")).select("m.*")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 

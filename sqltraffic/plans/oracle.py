@@ -88,10 +88,15 @@ g0 AS (
 g AS (
   SELECT *, category IN ('Select', 'SessionState', 'TempTable', 'Transaction') OR (category = 'DML' AND tbl <> '' AND
     coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY session_id, tbl ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)) AS passes FROM g0)"""
-_TRANSACTIONS = _LOG + """,
+_EDGES = """
 e AS (SELECT *, CASE WHEN query = 'BEGIN' THEN true WHEN query = 'COMMIT' THEN false END AS edge FROM q),
 b AS (SELECT *, coalesce(last_value(edge IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING), false) AS in_transaction,
         sum((edge IS NOT DISTINCT FROM true)::INT) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS span FROM e)"""
+_TRANSACTIONS = f"{_LOG}, {_EDGES}"
+_AUDIT = _EDGES + """,
+a AS (SELECT *, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY session_id))) / 1e6 AS age,
+        1000000.0::DOUBLE * (0.9::DOUBLE + 0.2::DOUBLE * (('0x' || substr(md5(session_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE)) AS deadline FROM b),
+l AS (SELECT session_id, min(seq) FILTER (NOT in_transaction) AS closed_at, min(seq) AS first_late FROM a WHERE age >= deadline GROUP BY 1)"""
 
 
 def _round2(x: str) -> str:
@@ -143,6 +148,9 @@ SQL = {
     "j3_cidr_join": f"WITH {_LOG}, nets AS (SELECT 'net' || (s_suppkey % 8) AS name, '10.0.' || (s_suppkey % 8) || '.0/' || (24 + s_suppkey % 3) AS cidr FROM supplier GROUP BY ALL) SELECT session_id, seq, name FROM (SELECT *, {_IP} AS ip FROM q WHERE host <> '') JOIN (SELECT name, split_part(split_part(cidr, '/', 1), '.', 3)::BIGINT * 256 + 167772160 AS lo, 1 << (32 - split_part(cidr, '/', 2)::INT) AS size FROM nets) ON ip >= lo AND ip < lo + size",
     "j5_asof_policy": f"WITH {_LOG}, {_POLICY} SELECT session_id, seq, enabled, sample_rate FROM q ASOF LEFT JOIN p ON q.ts >= p.valid_from",
     "j6_admitted_digests": f"WITH {_COMPARED}, f AS (SELECT digest, row_number() OVER (ORDER BY min((ts, session_id, seq)), digest) AS rank FROM c GROUP BY digest) SELECT session_id, seq, digest FROM c WHERE digest IN (SELECT digest FROM f WHERE rank <= 4)",
+    "j7_replay_compare": """SELECT 'SELECT n_name FROM {nation} ORDER BY n_nationkey' AS query, count(*) = 0 AS match, count(*) AS n_differences, CASE WHEN count(*) > 0 THEN 'cell_value' END AS type FROM nation WHERE n_nationkey = 3 AND n_name <> 'CHANGED'
+      UNION ALL SELECT 'SELECT r_name, count(*) AS n FROM {region} JOIN {nation} ON r_regionkey = n_regionkey GROUP BY r_name ORDER BY r_name', true, 0, NULL
+      UNION ALL SELECT 'SELECT s_name FROM {supplier} ORDER BY s_suppkey', false, 1, 'error'""",
     "a1_comparison_totals": f"WITH {_COMPARED} SELECT count(*) AS total, count(*) FILTER (NOT ignored AND match) AS matched, count(*) FILTER (NOT ignored AND NOT match) AS differed, count(*) FILTER (ignored) AS ignored FROM c",
     "a2_digest_summary": f"WITH {_DIGESTS} SELECT * FROM z",
     "a3_digest_cap": f"WITH {_COMPARED} SELECT digest, row_number() OVER (ORDER BY min((ts, session_id, seq)), digest) AS rank, count(*) AS count, row_number() OVER (ORDER BY min((ts, session_id, seq)), digest) <= 4 AS admitted FROM c GROUP BY digest",
@@ -154,13 +162,19 @@ SQL = {
     "a8_traffic_summary": f"WITH {_LOG} SELECT \"user\", \"database\", query_type, host AS source, count(*) AS queries, count(*) FILTER (error <> '') AS errors, round(sum(response_time_ms), 3) AS total_ms FROM q GROUP BY ALL",
     "a9_session_summary": f"WITH {_LOG} SELECT session_id, min(ts) AS first_seen, max(ts) AS last_seen, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS age_seconds, count(*) AS queries, count(*) FILTER (error <> '') AS errors, count(DISTINCT \"user\") AS users, count(DISTINCT \"database\") AS databases FROM q GROUP BY session_id",
     "a10_regressions": f"WITH {_COMPARED} SELECT digest, count(*) FILTER (time_diff_exceeded) AS exceeded, max(time_diff_ms) AS max_diff_ms, round(avg(time_diff_ms), 6) AS avg_diff_ms FROM c GROUP BY digest",
-    "a11_metric_snapshot": f"""WITH {_COMPARED}, f AS (SELECT CASE WHEN point >= 0.75 THEN 'sampled_out' WHEN NOT {_CIDR} THEN 'cidr' WHEN category NOT IN {_SAFE} THEN 'skipped' ELSE 'eligible' END AS reason FROM q)
-      SELECT 'sessions_total' AS name, 'counter' AS kind, count(DISTINCT session_id)::DOUBLE AS value FROM q
-      UNION ALL SELECT 'queries_total', 'counter', count(*) FROM q UNION ALL SELECT 'query_errors_total', 'counter', count(*) FROM q WHERE error <> ''
-      UNION ALL SELECT 'shadow_' || x.r || '_total', 'counter', (SELECT count(*) FROM f WHERE reason = x.r) FROM (SELECT unnest(['disabled', 'sampled_out', 'cidr', 'skipped', 'eligible']) AS r) x
+    "a11_metric_snapshot": f"""WITH {_COMPARED}, {_AUDIT}, f AS (SELECT CASE WHEN point >= 0.75 THEN 'sampled_out' WHEN NOT {_CIDR} THEN 'cidr' WHEN category NOT IN {_SAFE} THEN 'skipped' ELSE 'eligible' END AS reason FROM q),
+      w AS (SELECT max(ts) >= (SELECT max(ts) FROM q) - INTERVAL 1 HOUR AS active FROM q GROUP BY session_id),
+      t AS (SELECT replay_error, coalesce(max((replay_error LIKE 'i/o%')::INT) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS dropped FROM c),
+      g AS (SELECT row_number() OVER (ORDER BY min((ts, session_id, seq)), digest) <= 4 AS admitted, count(*) AS n FROM c GROUP BY digest)
+      SELECT 'active_sessions' AS name, 'gauge' AS kind, count(*)::DOUBLE AS value FROM w WHERE active UNION ALL SELECT 'shadow_active_sessions', 'gauge', count(*) FROM w WHERE active
+      UNION ALL SELECT 'shadow_enabled', 'gauge', 1 UNION ALL SELECT 'total_sessions', 'counter', count(*) FROM w
+      UNION ALL SELECT 'sessions_closed_max_lifetime', 'counter', count(closed_at) FROM l UNION ALL SELECT 'sessions_lifetime_postponed', 'counter', count(*) FROM l WHERE closed_at IS NULL OR closed_at > first_late
+      UNION ALL SELECT 'queries_handled', 'counter', count(*) FROM q UNION ALL SELECT 'query_errors', 'counter', count(*) FROM q WHERE error <> ''
+      UNION ALL SELECT 'shadow_' || x.n, 'counter', (SELECT count(*) FROM f WHERE reason = x.r) FROM (SELECT unnest(['disabled', 'sampled_out', 'cidr', 'skipped']) AS r, unnest(['disabled', 'sampled_out', 'filtered_by_cidr', 'skipped']) AS n) x
+      UNION ALL SELECT 'shadow_queries_replayed', 'counter', count(*) FROM t WHERE NOT dropped AND replay_error = '' UNION ALL SELECT 'shadow_dropped', 'counter', count(*) FROM t WHERE dropped
       UNION ALL SELECT 'comparisons_total', 'counter', count(*) FROM c UNION ALL SELECT 'comparisons_matched', 'counter', count(*) FROM c WHERE match AND NOT ignored
       UNION ALL SELECT 'comparisons_differed', 'counter', count(*) FROM c WHERE NOT match AND NOT ignored UNION ALL SELECT 'comparisons_ignored', 'counter', count(*) FROM c WHERE ignored
-      UNION ALL SELECT 'unique_digests', 'gauge', count(DISTINCT digest) FROM q""",
+      UNION ALL SELECT 'comparisons_digest_count', 'gauge', count(*) FROM g WHERE admitted UNION ALL SELECT 'comparisons_digest_overflow', 'counter', coalesce(sum(n), 0) FROM g WHERE NOT admitted""",
     "a12_metrics_by_cluster": f"WITH {_METRICS} SELECT cluster, name, CASE WHEN name = 'queries_total' THEN sum(value) ELSE round(avg(value), 6) END AS value FROM m GROUP BY cluster, name UNION ALL SELECT '*', name, CASE WHEN name = 'queries_total' THEN sum(value) ELSE round(avg(value), 6) END FROM m GROUP BY name",
     "a13_diff_fraction": f"WITH {_COMPARED} SELECT date_trunc('hour', ts) AS bucket, count(*) AS total, count(*) FILTER (NOT ignored AND NOT match) AS differed, count(*) FILTER (NOT ignored AND NOT match)::DOUBLE / count(*) AS fraction FROM c GROUP BY 1",
     "a14_unique_digests": f"WITH {_LOG} SELECT count(DISTINCT digest) AS unique_digests FROM q",
@@ -179,10 +193,7 @@ SQL = {
     "w7_active_sessions": f"WITH {_LOG}, e AS (SELECT session_id, min(ts) AS a, max(ts) AS b FROM q GROUP BY 1), s AS (SELECT ts, sum(step) AS step FROM (SELECT a AS ts, 1 AS step FROM e UNION ALL SELECT b, -1 FROM e) GROUP BY ts) SELECT ts, (sum(step) OVER (ORDER BY ts))::BIGINT AS active FROM s",
     "w8_teardown_effect": f"WITH {_LOG} SELECT session_id, seq, coalesce(max((error LIKE 'i/o%')::INT) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS dropped FROM q",
     "w9_transaction_spans": f"WITH {_TRANSACTIONS}, l AS (SELECT *, coalesce(lag(in_transaction) OVER (PARTITION BY session_id ORDER BY seq), false) AND edge IS NOT DISTINCT FROM false AS ends FROM b) SELECT session_id, span::BIGINT AS span, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS statements, bool_or(ends) AS ended FROM l WHERE in_transaction OR ends GROUP BY session_id, span",
-    "w10_lifetime_audit": f"""WITH {_TRANSACTIONS}, a AS (SELECT *, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY session_id))) / 1e6 AS age,
-        1000000.0::DOUBLE * (0.9::DOUBLE + 0.2::DOUBLE * (('0x' || substr(md5(session_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE)) AS deadline FROM b),
-      l AS (SELECT session_id, min(seq) FILTER (NOT in_transaction) AS closed_at, min(seq) AS first_late FROM a WHERE age >= deadline GROUP BY 1)
-      SELECT session_id, first_late, closed_at, coalesce(closed_at, 1 << 30) > first_late AS postponed FROM l""",
+    "w10_lifetime_audit": f"WITH {_LOG}, {_AUDIT} SELECT session_id, first_late, closed_at, coalesce(closed_at, 1 << 30) > first_late AS postponed FROM l",
     "t1_rank_digests": f"WITH {_DIGESTS} SELECT * FROM z",
     "t2_top_k": f"WITH {_DIGESTS} SELECT digest, diff_count FROM z ORDER BY diff_count DESC, digest LIMIT 5",
     "t3_summary_report": f"WITH {_DIGESTS} SELECT CASE WHEN length(digest) > 58 THEN substr(digest, 1, 55) || '...' ELSE digest END AS digest, count, diff_count, error_count, {', '.join(f'''format('{{:.2f}}', {s}_{n}_ms) AS {s}_{n}''' for s in ('original', 'replay') for n in ('avg', 'p95', 'p99'))} FROM z",
@@ -202,6 +213,7 @@ SQL |= {
     "x7_stream_digest_cap": f"WITH {_LOG}, f AS (SELECT digest FROM q GROUP BY digest ORDER BY min((ts, session_id, seq)) LIMIT 4) SELECT digest, count(*) AS count FROM q JOIN f USING (digest) GROUP BY digest",
     "x8_stream_policy": f"WITH {_LOG}, {_POLICY} SELECT session_id, seq FROM q ASOF JOIN p ON q.ts >= p.valid_from WHERE enabled AND point < sample_rate AND (source_ip = '' OR ((n % 4 <> 1 OR session_id % 8 < 4) AND (n % 2 <> 1 OR session_id % 8 <> 3)))",
     "x9_stream_report": f"WITH {_COMPARED} SELECT session_id, seq, type FROM c WHERE NOT match AND NOT ignored",
-    "x2_stream_heartbeats": f"WITH {_COMPARED} SELECT date_trunc('hour', ts) AS window_start, count(*) AS window_total, count(*) FILTER (NOT ignored AND match) AS window_matched, count(*) FILTER (NOT ignored AND NOT match) AS window_differed, count(*) FILTER (ignored) AS window_ignored FROM c WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1",
+    "x2_stream_heartbeats": f"WITH {_COMPARED}, h AS (SELECT date_trunc('hour', ts) AS window_start, count(*) AS window_total, count(*) FILTER (NOT ignored AND match) AS window_matched, count(*) FILTER (NOT ignored AND NOT match) AS window_differed, count(*) FILTER (ignored) AS window_ignored FROM c WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1) SELECT *, (sum(window_total) OVER (ORDER BY window_start))::BIGINT AS cumulative_total, (sum(window_differed) OVER (ORDER BY window_start))::BIGINT AS cumulative_differed FROM h",
+    "x3_stream_digest_table": f"WITH {_DIGESTS} SELECT y.digest, y.count, match_count, diff_count, error_count, round(o, 9) AS original_avg_ms, round(r, 9) AS replay_avg_ms FROM y JOIN (SELECT digest, avg(original_time_ms) AS o, avg(replay_time_ms) AS r FROM c GROUP BY 1) USING (digest)",
     "x3_stream_summary": f"WITH {_LOG} SELECT count(*) AS total, count(*) FILTER (error <> '') AS errors, count(DISTINCT digest) AS digests FROM q",
 }

@@ -355,7 +355,7 @@ def a10_regressions(spark, sf_dir):
 @query
 def a11_metric_snapshot(spark, sf_dir):
     log = fixtures.query_log(spark, sf_dir)
-    return metrics.metric_snapshot(log, compared(spark, sf_dir), funnel(log))
+    return metrics.metric_snapshot(log, compared(spark, sf_dir), funnel(log), sessions.lifetime_audit(log, 1_000_000.0), max_digests=4)
 
 
 @query
@@ -511,7 +511,7 @@ def x1_stream_digest_counts(spark, sf_dir):
 @query
 def x2_stream_heartbeats(spark, sf_dir):
     stream, checkpoint = in_batches(spark, compared(spark, sf_dir).select("ts", "ignored", "match"), "ts")
-    return drained(jobs.stream_heartbeats(stream, "1 hour"), checkpoint)
+    return metrics.running_totals(drained(jobs.stream_heartbeats(stream, "1 hour"), checkpoint), "window_start")
 
 
 @query
@@ -520,6 +520,14 @@ def x3_stream_summary(spark, sf_dir):
     return drained(jobs.stream_summary(stream), checkpoint, "complete")
 
 
+@query
+def x3_stream_digest_table(spark, sf_dir):
+    rows = compared(spark, sf_dir).select("ts", "digest", "match", "differences", "original_time_ms", "replay_time_ms")
+    stream, checkpoint = in_batches(spark, rows, "ts")
+    found = drained(jobs.stream_digest_table(stream), checkpoint, "complete")
+    return found.select("digest", "count", "match_count", "diff_count", "error_count", *[F.round(f"{s}_avg_ms", 9).alias(f"{s}_avg_ms") for s in ("original", "replay")])
+
+
 @query
 def x4_stream_session_gate(spark, sf_dir):
     stream, checkpoint = in_batches(spark, fixtures.query_log(spark, sf_dir), "ts")

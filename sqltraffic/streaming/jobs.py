@@ -25,7 +25,7 @@ def stream_digest_counts(log: DataFrame) -> DataFrame:
 def stream_heartbeats(results: DataFrame, interval: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Counts of compared statements (ts, ignored, match) in each interval, once the watermark has passed it (append mode).
 
-    Running totals are sums over these rows, which the reader of the sink makes: see metrics.heartbeats.
+    Running totals are sums over these rows, which the reader of the sink makes: see metrics.running_totals.
     """
     kinds = {"total": F.count("*"), "matched": F.count_if(~F.col("ignored") & F.col("match")), "differed": F.count_if(~F.col("ignored") & ~F.col("match")), "ignored": F.count_if("ignored")}
     beats = results.withWatermark("ts", late).groupBy(F.window("ts", interval).alias("w")).agg(*[f.alias(f"window_{n}") for n, f in kinds.items()])
@@ -38,6 +38,18 @@ def stream_summary(log: DataFrame) -> DataFrame:
     return log.agg(F.count("*").alias("total"), F.count_if(F.col("error") != "").alias("errors"), F.approx_count_distinct(digest, 0.01).alias("digests"))
 
 
+def stream_digest_table(results: DataFrame) -> DataFrame:
+    """The summary's table so far, by digest, for complete or update mode (digest, match, differences and both times).
+
+    Percentiles are percentile_approx, whose state is bounded; stats.digest_summary over the sink has exact ones.
+    """
+    has_error = F.exists("differences", lambda d: d["type"] == "error")
+    times = [f(f"{s}_time_ms").alias(f"{s}_{n}_ms") for s in ("original", "replay") for n, f in (("avg", F.avg), ("p95_p99", lambda c: F.percentile_approx(c, [0.95, 0.99], 1000)))]
+    return results.groupBy("digest").agg(
+        F.count("*").alias("count"), F.count_if("match").alias("match_count"), F.count_if(~F.col("match")).alias("diff_count"), F.count_if(has_error).alias("error_count"), *times
+    )
+
+
 GATED = "session_id long, seq long, passes boolean"
 
 
