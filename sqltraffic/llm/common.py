@@ -60,6 +60,33 @@ def smallest_by_hash(rows: DataFrame, group: str, key: str, n: int) -> DataFrame
     return low.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= n).drop("rank")
 
 
+#: About how many bytes of rows go to a Python worker at once, and the session's setting for that with Spark's own value.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def text_batches(rows: DataFrame) -> DataFrame:
+    """Rows that go to Python workers in batches of about BATCH_BYTES (or of one row), where the session has Spark's own bound.
+
+    Batches of whole texts take memory thrice: as the JVM's vectors, on their way, and in the worker.
+    """
+    spark = rows.sparkSession
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+    return rows
+
+
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task, one thing at a time: the next operator's takes the place of the last one's."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def portions(batches: Iterator[pa.RecordBatch], text: Callable[[pa.RecordBatch], pa.Array], stride: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `stride` bytes of text, or of one row."""
     for batch in batches:
@@ -80,7 +107,7 @@ def scored(docs: DataFrame, text: str, score: Callable[[pa.Array], list[pa.Array
             row = batch.column(0)
             yield pa.RecordBatch.from_arrays([row, *score(row.field(at))], names=schema.names)
 
-    return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema)
+    return text_batches(docs.select(F.struct("*").alias("row"))).mapInArrow(run, schema)
 
 
 def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:

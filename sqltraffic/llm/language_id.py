@@ -16,9 +16,9 @@ first in order. Repeated rows are judged alike; other columns, whatever their na
 
 from __future__ import annotations
 
+import uuid
 from array import array
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scored, smallest_by_hash
+from .common import kept, scored, smallest_by_hash
 
 LEARN_DOCS, LEARN_CHARS, DOC_CHARS = 150, 40_000, 2_000
 LANE, SYMBOLS = 512, 64
@@ -173,12 +173,7 @@ class _Parser:
         return [pa.array(langs.tolist(), pa.string()), pa.array(scores)]
 
 
-@lru_cache(maxsize=1)
-def _parser(model: LanguageModel) -> _Parser:
-    return _Parser(model)
-
-
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Each document packed as `row`, with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return scored(docs, text, lambda texts: _parser(shared.value).judge(texts), FIELDS)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), f"language {uuid.uuid4().hex}"
+    return scored(docs, text, lambda texts: kept(name, lambda: _Parser(shared.value)).judge(texts), FIELDS)

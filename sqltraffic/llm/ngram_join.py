@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import may_repeat
-from .common import portions, settled, width, with_groups
+from .common import portions, settled, text_batches, width, with_groups
 from .components import components
 from .shingles import fingerprints, shingle_sets
 
@@ -82,7 +82,7 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
         packed = zlib.compress(np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes(), 1)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([packed], pa.binary())], names=["slice", "counts"])
 
-    sums = docs.select("text").mapInArrow(count, "slice long, counts binary").groupBy("slice").applyInArrow(add, "slice long, counts binary")
+    sums = text_batches(docs.select("text")).mapInArrow(count, "slice long, counts binary").groupBy("slice").applyInArrow(add, "slice long, counts binary")
     out = np.zeros((SLICES, part), np.uint32)
     for row in sums.collect():  # CELLS numbers, whatever the corpus
         out[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), "<u4")
@@ -108,7 +108,7 @@ def shingled(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate([*prefixes, np.empty(0, np.uint64)])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fingerprints(sets), pa.binary()), lists, pa.array(marks, pa.binary()), pa.array(maps, pa.binary())], names=["doc_id", "n", "name", "prefix", "signature", "bitmap"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, name binary, prefix array<long>, signature binary, bitmap binary")
+    rows = text_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, n long, name binary, prefix array<long>, signature binary, bitmap binary")
     return settled(rows.withColumn("uid", F.monotonically_increasing_id()), "shingled")
 
 
@@ -199,7 +199,7 @@ def class_sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
             if names:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], names=["name", "shingles"])
 
-    found = docs.select("text").mapInArrow(read, "name binary, shingles binary").groupBy("name").agg(F.first("shingles").alias("shingles"))
+    found = text_batches(docs.select("text")).mapInArrow(read, "name binary, shingles binary").groupBy("name").agg(F.first("shingles").alias("shingles"))
     return found.join(needed, "name").select("class", "shingles")
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions, settled
+from .common import portions, settled, text_batches
 from .token_ids import encoder
 
 #: Pieces in one partition, on average; rounds of exchange at most.
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, doc_
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
+    return text_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(cut, PIECES)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

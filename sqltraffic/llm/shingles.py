@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from .common import kept
+
 #: Words in a shingle.
 WORDS = 5
 #: Bytes of text that are hashed at once; a longer text is taken by itself.
@@ -25,17 +27,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def _powers_of(base: np.uint64, n: int) -> np.ndarray:
-    """The first n powers; those of one stride are kept by the worker."""
-    kept = _powers.get(int(base))
-    if kept is None or len(kept) < n:
-        kept = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, STRIDE), base, np.uint64)]))
-        if n <= STRIDE + 1:
-            _powers[int(base)] = kept
-    return kept[:n]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _ODD, and of its inverse; those of one stride are kept by the worker."""
+    of = lambda base, m: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m, base, np.uint64)]))
+    both = lambda m: (of(_ODD, m), of(_ODD_INVERSE, m))
+    return both(n) if n > STRIDE + 1 else tuple(x[:n] for x in kept("powers", lambda: both(STRIDE)))
 
 
 def _word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,9 +48,10 @@ def _word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(raw)
     with np.errstate(over="ignore"):
         # Sums of byte values times powers of an odd number, taken back to the word's first place.
+        powers, inverse = _powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_OF_BYTE[raw] * _powers_of(_ODD, n), out=sums[1:])
-        words = mixed((sums[ends] - sums[starts]) * _powers_of(_ODD_INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
+        np.cumsum(_OF_BYTE[raw] * powers[:n], out=sums[1:])
+        words = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     return words, np.searchsorted(starts, bounds)
 
 

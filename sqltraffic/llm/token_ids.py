@@ -13,6 +13,8 @@ import os
 import numpy as np
 import pyarrow as pa
 
+from .common import kept
+
 #: Pieces that a Python worker remembers; beyond it starts anew.
 MEMORY = 150_000
 #: Bytes of text that are cut up at once.
@@ -129,11 +131,6 @@ class Encoder:
         return np.concatenate(parts), np.append(0, np.cumsum(counts)).astype(np.int64)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder of this vocabulary file; it is kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(f"encoder {path}", lambda: Encoder(path))
