@@ -30,9 +30,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def settled(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and a lost
-    executor costs no more than its own tasks."""
+    executor costs no more than its own tasks. Tables with whole texts are a good part of the disk, so they are packed well."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
