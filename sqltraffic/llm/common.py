@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,40 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return scratch_dir(spark, name)
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+#: Spark's setting that removes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """What is settled inside is deleted at the end, but for tables that stay: those that the outcome is read from."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, _passing.pop()):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settled(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and a lost
-    executor costs no more than its own tasks. Tables with whole texts are a good part of the disk, so they are packed well."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    executor costs no more than its own tasks. Tables with whole texts are a good part of the disk, so they are packed well.
+
+    The shuffle files behind the table go when it is written; the table itself goes with the passing tables that it is one of.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    if _passing and not stays:
+        _passing[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import may_repeat
-from .common import portions, settled, text_batches, width, with_groups
+from .common import passing_tables, portions, settled, text_batches, width, with_groups
 from .components import components
 from .shingles import fingerprints, shingle_sets
 
@@ -406,9 +406,8 @@ def tree_pairs(shared: DataFrame, marks: DataFrame, of: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n and component of each document with words; doc_id and n of the others."""
     class_of, reps = classes(shingled(docs, shingle_counts(docs)))
     marks = reps.select("class", "n", "signature", F.coalesce("bitmap", "signature").alias("bitmap"))
     prefixes = reps.select("class", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "h"))
@@ -429,11 +428,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     more = settled(possible(more, marks), "pairs")
     if not more.isEmpty():
         of = components(edges.unionByName(verified(more, docs, reps))).withColumnRenamed("node", "class")
+    linked = class_of.where("class is not null").join(of, "class", "left").select("doc_id", "n", F.coalesce("component", "class").alias("component"))
+    return settled(linked, "rows", stays=True), settled(class_of.where("class is null").select("doc_id", "n"), "wordless", stays=True)
+
 
-    linked = settled(class_of.where("class is not null").join(of, "class", "left").select("doc_id", "n", F.coalesce("component", "class").alias("component")), "rows")
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    with passing_tables(docs.sparkSession):
+        linked, wordless = _linked(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     first = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("documents"))
     named = with_groups(linked, settled(first, "components"), "component", "documents").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return named.unionByName(class_of.where("class is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return named.unionByName(wordless.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
