@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sqltraffic.llm import binary_records, embedding_dedup, exact_dedup, language_id, license_scan, mixing, ngram_join, packing, quality_classifier, toxicity
+from sqltraffic.llm import binary_records, common, embedding_dedup, exact_dedup, language_id, license_scan, mixing, ngram_join, packing, quality_classifier, toxicity
 from sqltraffic.llm.queries import ORACLES, op4_license_scan, vocabulary
 from sqltraffic.llm.shingles import fingerprints, shingle_sets
 from sqltraffic.llm.token_ids import Encoder
@@ -171,6 +171,20 @@ def test_ngram_jaccard(docs, none):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
+def test_passing_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _, name: f"{tmp_path}/{name}")
+    before = spark.conf.get(common.CLEANUP)
+    with common.passing_tables(spark):
+        inner = common.settled(spark.range(9).groupBy("id").count(), "inner")
+        outcome = common.settled(inner.where("id > 4"), "outcome", stays=True)
+    with pytest.raises(ZeroDivisionError), common.passing_tables(spark):
+        common.settled(spark.range(3), "failed")
+        1 / 0
+    assert [p.name for p in tmp_path.iterdir()] == ["outcome"]
+    assert outcome.count() == 4
+    assert spark.conf.get(common.CLEANUP) == before
+
+
 def test_ngram_trees_find_all_pairs():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 120, dtype=np.int64).astype(np.uint64)
