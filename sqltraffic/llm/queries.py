@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, quality_classifier, toxicity
+from . import importance, license_scan, quality_classifier, spelling, toxicity
 from .binary_records import record_digest
 from .common import crc_mod, table
+from .decontaminate import contamination, n_hit
 from .exact_dedup import duplicate_groups
 from .language_id import identify, learn
 from .embedding_dedup import near_duplicates
@@ -84,8 +85,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), machine), 0.5)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "row.doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated")
+    )
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.word_counts(table(spark, sf_dir, "documents"), shortest=6, slips=199)
+    return spelling.variants(counts).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_binary_records, op4_license_scan, op5_mixing, op6_exact_dedup, op7_best_fit_packing, op8_ngram_jaccard, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_binary_records, op4_license_scan, op5_mixing, op6_exact_dedup, op7_best_fit_packing, op8_ngram_jaccard, op9_quality, op10_toxicity, op11_decontamination, op12_importance, op13_spelling)}
 
 
 def _license_sql() -> str:
@@ -114,7 +132,71 @@ def _license_sql() -> str:
       GROUP BY doc_id"""
 
 
+#: The crc32 of a list of bytes `b`, with the table of all bytes' remainders as `t`.
+_CRC = "xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+_CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
+_BYTES = "list_transform(range(octet_length(encode({x}))), lambda i: ('0x' || substr(hex(encode({x})), 2 * i + 1, 2))::BIGINT)"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES = {
+    "op11_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS words FROM benchmark),
+w AS (
+  SELECT DISTINCT item, least(10, len(words)) AS k, array_to_string(words[s:s + least(10, len(words)) - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS s FROM i WHERE len(words) > 0)),
+p AS (
+  SELECT r, s, k, array_to_string(words[s:s + k - 1], ' ') AS win
+  FROM (SELECT r, words, k, unnest(range(1, len(words) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM w))),
+o AS MATERIALIZED (SELECT r, s, p.k, item FROM p JOIN w ON p.k = w.k AND p.win = w.win),
+h AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(s, s + k)) AS place FROM (SELECT DISTINCT r, s, k FROM o)) GROUP BY r),
+n AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM o) GROUP BY r)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)
+""",
+    "op12_importance": f"""
+WITH t AS ({_CRC_TABLE}),
+a AS (
+  SELECT 0 AS side, row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, {_WORDS} FROM benchmark),
+f AS MATERIALIZED (
+  SELECT side, r, unnest(words) AS feature FROM a
+  UNION ALL SELECT side, r, words[i] || ' ' || words[i + 1] FROM (SELECT side, r, words, unnest(range(1, len(words))) AS i FROM a)),
+c AS MATERIALIZED (
+  SELECT feature, {_CRC} % 10000 AS bucket FROM (SELECT feature, {_BYTES.format(x="feature")} AS b FROM (SELECT DISTINCT feature FROM f)), t),
+n AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f JOIN c USING (feature) GROUP BY bucket),
+z AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s_all, coalesce(sum(t), 0)::DOUBLE AS t_all FROM n),
+g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain FROM n, z),
+w AS (SELECT r, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN c USING (feature) JOIN g USING (bucket) WHERE side = 0 GROUP BY r),
+x AS (
+  SELECT r, doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM a LEFT JOIN w USING (r) WHERE side = 0),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 25 * count(*) // 100 FROM k) THEN rank END AS rank FROM x LEFT JOIN k USING (r)
+""",
+    "op13_spelling": rf"""
+WITH RECURSIVE t AS ({_CRC_TABLE}),
+r AS MATERIALIZED (
+  SELECT id, word, count(*) AS n
+  FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS word FROM documents)
+  WHERE length(word) >= 6 GROUP BY ALL),
+h AS (SELECT word, n, {_CRC} AS h FROM (SELECT word, n, {_BYTES.format(x="(id || ':' || word)")} AS b FROM r), t),
+w AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN left(word, h % length(word)) || substr(word, h % length(word) + 2) ELSE word END AS word, n FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+e AS MATERIALIZED (SELECT word, n, i, left(word, i) AS head, substr(word, i + 2) AS tail FROM (SELECT *, unnest(range(length(word))) AS i FROM w)),
+p AS (
+  SELECT x.word AS a, y.word AS b, y.n AS n FROM e x JOIN e y ON x.i = y.i AND x.head = y.head AND x.tail = y.tail AND x.word <> y.word
+  UNION SELECT e.word, w.word, w.n FROM e JOIN w ON e.head || e.tail = w.word
+  UNION SELECT w.word, e.word, e.n FROM e JOIN w ON e.head || e.tail = w.word),
+b AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY n DESC, b) AS near, max(n) AS near_n FROM p GROUP BY a),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM w LEFT JOIN b USING (word)),
+s AS (SELECT word, word AS root FROM f UNION ALL SELECT s.word, f.form FROM s JOIN f ON f.word = s.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM f JOIN s ON s.word = f.word JOIN f AS l ON l.word = s.root AND l.form IS NULL
+""",
     "op2_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS x, list_aggregate(list_transform(embedding, lambda c: c::DOUBLE * c), 'sum') AS norm FROM embeddings),
