@@ -1,17 +1,21 @@
 """Comparison of two sides' results, and what follows from it.
 
 A pair is a row with `original_` and `replay_` columns: columns (array of names), rows (array of
-arrays of text), affected, error, and optionally ms. Cells are compared as text; a NULL is the text NULL.
+arrays of text), affected, error, and optionally ms. Cells are compared as text, and a NULL, or a cell that a row
+has not, is the text NULL. A null error is no error, null affected rows are 0, a null name is empty, and null columns or
+rows are none: on both sides, so that a null on one is a difference wherever its stand-in is.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqltraffic.functions import statements
+from sqltraffic.operators.numbering import numbered, numbered_within
 from sqltraffic.schema import DIFFERENCE
 
 REDACTED = "<redacted>"
@@ -51,35 +55,50 @@ def _difference(kind: str, row: Column, column: Column, original: Column, replay
     return F.struct(F.lit(kind).alias("type"), row.cast("int").alias("row"), column.cast("string").alias("column"), original.cast("string").alias("original"), replay.cast("string").alias("replay"))
 
 
-def _differences(ignored: list[str]) -> Column:
-    """The decision procedure: each step either stops or goes on to the next."""
-    zero, none, nothing = F.lit(0), F.lit(""), F.array().cast(f"array<{DIFFERENCE}>")
-    names, others = F.col("original_columns"), F.col("replay_columns")
-    rows, other_rows = F.col("original_rows"), F.col("replay_rows")
+def _sides(what: str, default: object) -> list[Column]:
+    """Both sides' values of a column, a null as its stand-in."""
+    return [F.coalesce(F.col(f"{side}_{what}"), default if isinstance(default, Column) else F.lit(default)) for side in ("original", "replay")]
 
-    def one(kind: str, left: Column, right: Column) -> Column:
-        return F.array(_difference(kind, zero, none, left, right))
 
-    headers = F.filter(
-        F.transform(names, lambda n, i: F.when(n != F.get(others, i), _difference("column_name", zero, F.concat(F.lit("index_"), i.cast("string")), n, F.get(others, i)))),
-        lambda d: d.isNotNull(),
-    )
+def _names() -> list[Column]:
+    return [F.transform(names, lambda n: F.coalesce(n, F.lit(""))) for names in _sides("columns", F.array().cast("array<string>"))]
+
+
+def _cell(rows: Column, r: Column, c: Column) -> Column:
+    return F.coalesce(F.get(F.get(rows, r), c), F.lit("NULL"))
+
+
+def _one(kind: str, left: Column, right: Column) -> Column:
+    return F.array(_difference(kind, F.lit(0), F.lit(""), left, right))
+
+
+def _headers(names: Column, others: Column) -> Column:
+    each = F.transform(names, lambda n, i: F.when(n != F.get(others, i), _difference("column_name", F.lit(0), F.concat(F.lit("index_"), i.cast("string")), n, F.get(others, i))))
+    return F.filter(each, lambda d: d.isNotNull())
+
+
+def _decided(n: Column, m: Column, cells: Column) -> Column:
+    """The decision procedure: each step either stops or goes on to the next. `cells` are what equal shapes of n and m rows come to."""
+    nothing = F.array().cast(f"array<{DIFFERENCE}>")
+    (error, other_error), (affected, other_affected), (names, others) = _sides("error", ""), _sides("affected", 0), _names()
+    changed = F.when(affected != other_affected, _one("affected_rows", affected, other_affected)).otherwise(nothing)
+    headers = _headers(names, others)
+    body = F.when(n != m, F.concat(headers, _one("row_count", n, m))).otherwise(F.concat(headers, cells))
+    shape = F.when(F.size(names) != F.size(others), _one("column_count", F.size(names), F.size(others))).otherwise(body)
+    return F.when(error != other_error, _one("error", error, other_error)).when(error != "", nothing).otherwise(F.concat(changed, shape))
+
+
+def _differences(ignored: list[str]) -> Column:
+    (names, _), (rows, others) = _names(), _sides("rows", F.array().cast("array<array<string>>"))
     skip = F.array(*[F.lit(c) for c in ignored]).cast("array<string>")
     cells = F.flatten(F.transform(rows, lambda row, r: F.filter(
-        F.transform(row, lambda cell, c: F.when(
-            (cell != F.get(F.get(other_rows, r), c)) & ~F.coalesce(F.array_contains(skip, F.get(names, c)), F.lit(False)),
-            _difference("cell_value", r, F.get(names, c), cell, F.get(F.get(other_rows, r), c)),
+        F.transform(F.coalesce(row, F.array().cast("array<string>")), lambda _, c: F.when(
+            (_cell(rows, r, c) != _cell(others, r, c)) & ~F.coalesce(F.array_contains(skip, F.get(names, c)), F.lit(False)),
+            _difference("cell_value", r, F.coalesce(F.get(names, c), F.lit("")), _cell(rows, r, c), _cell(others, r, c)),
         )),
         lambda d: d.isNotNull(),
     )))
-    affected = F.when(F.col("original_affected") != F.col("replay_affected"), one("affected_rows", F.col("original_affected"), F.col("replay_affected"))).otherwise(nothing)
-    body = F.when(F.size(rows) != F.size(other_rows), F.concat(headers, one("row_count", F.size(rows), F.size(other_rows)))).otherwise(F.concat(headers, cells))
-    shape = F.when(F.size(names) != F.size(others), one("column_count", F.size(names), F.size(others))).otherwise(body)
-    return (
-        F.when(F.col("original_error") != F.col("replay_error"), one("error", F.col("original_error"), F.col("replay_error")))
-        .when(F.col("original_error") != "", nothing)
-        .otherwise(F.concat(affected, shape))
-    )
+    return _decided(F.size(rows), F.size(others), cells)
 
 
 def compare_results(pairs: DataFrame, options: CompareOptions = CompareOptions()) -> DataFrame:
@@ -132,54 +151,100 @@ def column_drift(results: DataFrame) -> DataFrame:
 
 def schema_diff(pairs: DataFrame, key: str) -> DataFrame:
     """Differences of the results' columns alone."""
-    names, others = F.col("original_columns"), F.col("replay_columns")
+    names, others = _names()
     size = pairs.where(F.size(names) != F.size(others)).select(key, F.lit("column_count").alias("type"), F.lit("").alias("column"), F.size(names).cast("string").alias("original"), F.size(others).cast("string").alias("replay"))
     each = pairs.where(F.size(names) == F.size(others)).select(key, F.posexplode(F.arrays_zip(names.alias("original"), others.alias("replay"))).alias("i", "x"))
     named = each.where("x.original != x.replay").select(key, F.lit("column_name").alias("type"), F.concat(F.lit("index_"), F.col("i").cast("string")).alias("column"), "x.original", "x.replay")
     return size.unionByName(named)
 
 
-def diff_tables(primary: DataFrame, replay: DataFrame, key: str, order_by: list[str], columns: list[str]) -> DataFrame:
-    """Row i of one side against row i of the other, within each key: (key, row, column, original, replay) of unequal cells.
+def diff_tables(primary: DataFrame, replay: DataFrame, key: str | None, order_by: list[str], columns: list[str]) -> DataFrame:
+    """Row i of one side against row i of the other, within each key or, without one, of the whole tables: (key,) row, column, original, replay of unequal cells.
 
-    A row without its counterpart differs in all of its cells from null.
+    A row without its counterpart differs in all of its cells from null. Rows of equal `order_by` are ordered by their cells, so that reruns
+    agree. Tables and keys of any size are numbered range by range, and rows meet by their number, so no task sees more than its share.
     """
-    w = Window.partitionBy(key).orderBy(*order_by)
+    keys = [key] if key else []
 
-    def numbered(df: DataFrame, side: str) -> DataFrame:
+    def placed(df: DataFrame, side: str) -> DataFrame:
         cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in columns])
-        return df.select(key, (F.row_number().over(w) - 1).alias("row"), cells.alias(side))
+        rows = df.select(*keys, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)], cells.alias(side))
+        # Rows that are equal throughout may take each other's places; the last key spreads them over ranges.
+        order = [*[F.col(f"_o{i}") for i in range(len(order_by))], F.col(side), F.monotonically_increasing_id()]
+        return (numbered_within(rows, key, order, "row") if key else numbered(rows, order, "row")).select(*keys, "row", side)
 
-    both = numbered(primary, "original").join(numbered(replay, "replay"), [key, "row"], "full")
+    left, right = placed(primary, "original"), placed(replay, "replay").withColumnsRenamed({c: f"_{c}" for c in [*keys, "row"]})
+    both = left.join(right, functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, "row"]]), "full")
     names = F.array(*[F.lit(c) for c in columns])
     cells = F.transform(names, lambda n, i: F.struct(n.alias("column"), F.get("original", i).alias("original"), F.get("replay", i).alias("replay")))
-    return both.select(key, "row", F.explode(cells).alias("c")).select(key, "row", "c.*").where("not (original <=> replay)")
+    found = both.select(*[F.coalesce(c, f"_{c}").alias(c) for c in [*keys, "row"]], F.explode(cells).alias("c"))
+    return found.select(*keys, "row", "c.*").where("not (original <=> replay)")
 
 
 def cells_of(pairs: DataFrame, key: str, side: str) -> DataFrame:
     """The long form of one side's results: key, row, position, column, value."""
-    rows = pairs.select(key, F.col(f"{side}_columns").alias("names"), F.posexplode(f"{side}_rows").alias("row", "cells"))
+    rows = pairs.select(key, F.coalesce(f"{side}_columns", F.array().cast("array<string>")).alias("names"), F.posexplode(f"{side}_rows").alias("row", "cells"))
     return rows.select(key, "row", "names", F.posexplode("cells").alias("position", "value")).select(key, "row", "position", F.get("names", F.col("position")).alias("column"), "value")
 
 
-def compare_long(meta: DataFrame, original_cells: DataFrame, replay_cells: DataFrame, key: str, ignore_columns: list[str] | None = None) -> DataFrame:
-    """The decision procedure on cells in long form, for results too large to nest: key, differences, match.
+#: Shares of a pair's cells: a pair meets its shape in so many tasks.
+SHARES = 32
+
 
-    `meta` has a row per pair with errors, affected rows, names, and n_original and n_replay rows.
+def long_differences(meta: DataFrame, original_cells: DataFrame, replay_cells: DataFrame, key: str, ignore_columns: list[str] | None = None) -> DataFrame:
+    """The decision procedure on cells in long form, for results too large to nest: a row per difference, (key, type, row, position, column, original, replay).
+
+    `meta` has a row per pair with errors, affected rows, names, and n_original and n_replay rows. Cells meet by key, row
+    and position, so those of one pair are spread over all tasks. `position` is a cell's, and null of other differences.
     """
-    cells = original_cells.select(key, "row", "position", "column", F.col("value").alias("original")).join(replay_cells.select(key, "row", "position", F.col("value").alias("replay")), [key, "row", "position"])
-    cells = cells.where(~F.coalesce(F.col("column").isin(ignore_columns or []), F.lit(False)) & (F.col("original") != F.col("replay")))
-    found = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("row", "position", "column", "original", "replay"))).alias("found"))
-    zero, none, nothing = F.lit(0), F.lit(""), F.array().cast(f"array<{DIFFERENCE}>")
-    names, others = F.col("original_columns"), F.col("replay_columns")
-    one = lambda kind, a, b: F.array(_difference(kind, zero, none, a, b))
-    headers = F.filter(F.transform(names, lambda n, i: F.when(n != F.get(others, i), _difference("column_name", zero, F.concat(F.lit("index_"), i.cast("string")), n, F.get(others, i)))), lambda d: d.isNotNull())
-    values = F.coalesce(F.transform("found", lambda c: _difference("cell_value", c["row"], c["column"], c["original"], c["replay"])), nothing)
-    n, m = F.col("n_original"), F.col("n_replay")
-    shape = F.when(F.size(names) != F.size(others), one("column_count", F.size(names), F.size(others))).when(n != m, F.concat(headers, one("row_count", n, m))).otherwise(F.concat(headers, values))
-    affected = F.when(F.col("original_affected") != F.col("replay_affected"), one("affected_rows", F.col("original_affected"), F.col("replay_affected"))).otherwise(nothing)
-    differences = F.when(F.col("original_error") != F.col("replay_error"), one("error", F.col("original_error"), F.col("replay_error"))).when(F.col("original_error") != "", nothing).otherwise(F.concat(affected, shape))
-    return meta.join(found, key, "left").select(key, differences.alias("differences")).withColumn("match", F.size("differences") == 0)
+    n, m = _sides_of_counts()
+    whole = meta.select(key, F.explode(_decided(n, m, F.array().cast(f"array<{DIFFERENCE}>"))).alias("d")).select(key, "d.type", F.col("d.row").cast("long").alias("row"), F.lit(None).cast("int").alias("position"), "d.column", "d.original", "d.replay")
+    (error, other_error), (names, others) = _sides("error", ""), _names()
+    alike = (error == "") & (other_error == "") & (F.size(names) == F.size(others)) & (n == m)
+    shares = meta.where(alike).select(F.col(key).alias("_key"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_of"))
+    skip = F.coalesce(F.col("column").isin(ignore_columns or []), F.lit(False))
+    left = original_cells.where(~skip).select(key, "row", "position", F.coalesce("column", F.lit("")).alias("column"), F.coalesce("value", F.lit("NULL")).alias("original"))
+    right = replay_cells.select(key, "row", "position", F.coalesce("value", F.lit("NULL")).alias("replay"))
+    cells = left.join(right, [key, "row", "position"], "left").withColumn("replay", F.coalesce("replay", F.lit("NULL"))).where("original != replay")
+    share = F.pmod(F.xxhash64("row", "position"), F.lit(SHARES)).cast("int")
+    cells = cells.withColumn("_share", share).join(shares, (F.col(key) == F.col("_key")) & (F.col("_share") == F.col("_of")))
+    return whole.unionByName(cells.select(key, F.lit("cell_value").alias("type"), F.col("row").cast("long").alias("row"), F.col("position").cast("int").alias("position"), "column", "original", "replay"))
+
+
+def _sides_of_counts() -> list[Column]:
+    return [F.coalesce(F.col(c), F.lit(0)) for c in ("n_original", "n_replay")]
+
+
+def difference_counts(meta: DataFrame, differences: DataFrame, key: str) -> DataFrame:
+    """For every pair: match, how many differences it has, and how many rows and columns they are in."""
+    rows = F.count_distinct(F.when(F.col("type") == "cell_value", F.col("row")))
+    found = differences.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n"), rows.alias("n_rows"), F.collect_set("type").alias("types"))
+    out = meta.select(key).join(found, F.col(key) == F.col("_key"), "left")
+    return out.select(key, F.col("n").isNull().alias("match"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "n_rows")], F.coalesce(F.array_sort("types"), F.array().cast("array<string>")).alias("types"))
+
+
+#: The order of the kinds of differences of a pair.
+_KINDS = ["error", "affected_rows", "column_count", "column_name", "row_count", "cell_value"]
+
+
+def _order() -> list[Column]:
+    return [F.array_position(F.array(*[F.lit(k) for k in _KINDS]), F.col("type")), F.col("row"), F.col("position"), F.col("column")]
+
+
+def difference_pages(differences: DataFrame, key: str, rows: int = 1000) -> DataFrame:
+    """A pair's differences in pages of so many rows of its result: (key, page, n, differences in order). No page grows with the pair."""
+    page = F.floor(F.col("row") / rows)
+    each = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_order())], "type", "row", "column", "original", "replay")
+    found = differences.groupBy(key, page.alias("page")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(each)).alias("d"))
+    return found.select(key, "page", "n", F.transform("d", lambda d: F.struct(*[d[c].alias(c) for c in ("type", "row", "column", "original", "replay")])).alias("differences"))
+
+
+def first_differences(differences: DataFrame, key: str, n: int = 20, rows: int = 1000) -> DataFrame:
+    """The first n differences of each pair, for display, with their `rank`: picked from each page, and then from what the pages left."""
+    paged = differences.withColumn("_page", F.floor(F.col("row") / rows))
+    for by in ([key, "_page"], [key]):
+        paged = paged.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*_order()))).where(F.col("rank") <= n)
+    return paged.drop("_page")
 
 
 def offline_compare(log: DataFrame, captured: DataFrame, compare_rows_returned: bool = False) -> DataFrame:
@@ -193,9 +258,9 @@ def offline_compare(log: DataFrame, captured: DataFrame, compare_rows_returned:
     if not compare_rows_returned:
         return compare_results(pairs)
     counted = F.coalesce("rows_returned", F.lit(0))
-    n = F.size("replay_rows")
     out = compare_results(pairs.withColumns({"_columns": F.col("replay_columns"), "_rows": F.col("replay_rows"), "replay_columns": F.array().cast(text), "replay_rows": F.array().cast(f"array<{text}>")}))
-    other = F.when((F.col("original_error") == "") & (F.col("replay_error") == "") & (counted != F.size("_rows")), F.array(_difference("row_count", F.lit(0), F.lit(""), counted, F.size("_rows"))))
+    (error, other_error), n = _sides("error", ""), F.greatest(F.size("_rows"), F.lit(0))
+    other = F.when((error == "") & (other_error == "") & (counted != n), _one("row_count", counted, n))
     out = out.withColumn("differences", F.concat("differences", F.coalesce(other, F.array().cast(f"array<{DIFFERENCE}>"))))
     return out.withColumn("match", F.size("differences") == 0).withColumns({"replay_columns": F.col("_columns"), "replay_rows": F.col("_rows")}).drop("_columns", "_rows")
 

@@ -16,6 +16,14 @@ from sqltraffic.scratch import scratch_dir
 PLACE_BITS = 33
 
 
+def range_of(at: str = "at") -> Column:
+    return F.shiftright(at, PLACE_BITS)
+
+
+def place_of(at: str = "at") -> Column:
+    return F.col(at).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+
+
 def _dealt(df: DataFrame, order: list[Column]) -> DataFrame:
     """The rows, packed as `row`, with the number of their range and their place in it, written and read again."""
     spark = df.sparkSession
@@ -23,8 +31,16 @@ def _dealt(df: DataFrame, order: list[Column]) -> DataFrame:
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at"))
     path = scratch_dir(spark, "numbered")
     placed.write.option("compression", "zstd").parquet(path)
-    read = spark.read.schema(placed.schema).parquet(path)
-    return read.select("row", F.shiftright("at", PLACE_BITS).alias("range"), F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place"))
+    return spark.read.schema(placed.schema).parquet(path).select("row", range_of().alias("range"), place_of().alias("place"))
+
+
+def numbered_ranges(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Written rows of several tables, told apart by `keys`, that kept their order in `at` (monotonically_increasing_id when written): `name`, from 0 in each."""
+    ranges = rows.groupBy(*keys, range_of().alias("_range")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(*keys, "_range", before.alias("_before"))
+    # There are as many ranges as tasks that wrote the tables.
+    return rows.withColumn("_range", range_of()).join(F.broadcast(ranges), [*keys, "_range"]).withColumn(name, F.col("_before") + place_of()).drop("_range", "_before", "at")
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -2,39 +2,103 @@
 
 from __future__ import annotations
 
+import re
+import threading
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sqltraffic.scratch import scratch_dir
+
+from .compare import CompareOptions, difference_counts, long_differences, redacted
+from .numbering import numbered_ranges
+
+_ROWS = "at long, cells array<string>, pair int, side string"
+_META = "pair int, query string, original_columns array<string>, replay_columns array<string>, original_affected long, replay_affected long, original_error string, replay_error string"
+
+
+@dataclass(frozen=True)
+class Run:
+    """What came of one query on one side: its columns, and the folder of its rows or its error."""
+
+    columns: list[str]
+    path: str | None
+    error: str
 
-from .compare import CompareOptions, compare_results
 
+def _condition(e: Exception) -> str:
+    if isinstance(e, KeyError):  # a {table} that this side has not
+        return "TABLE_OR_VIEW_NOT_FOUND"
+    found = e.getCondition() if isinstance(e, PySparkException) else None
+    named = [c for c in re.findall(r"\[([A-Z_][A-Z0-9_.]+)\]", str(e)) if c != "TASK_WRITE_FAILED"]
+    return named[0] if named and found in (None, "TASK_WRITE_FAILED") else found or "UNKNOWN"
 
-def captured(spark: SparkSession, query: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """One row: columns, rows in the result's order, affected, error. A query that cannot be analysed gives its error."""
+
+def run_isolated(spark: SparkSession, query: str, tables: dict[str, DataFrame], path: str, timeout: float | None = None) -> Run:
+    """Runs one read as a job of its own, and writes its rows in their order as text. Whatever fails becomes its error.
+
+    A read that cannot be analysed, or fails while it runs, gives `ERROR` and the name of Spark's error; one that takes longer than
+    `timeout` seconds is cancelled and gives an `i/o timeout`, as a lost connection does.
+    """
     try:
         df = spark.sql(query, **tables) if tables else spark.sql(query)
-    except (PySparkException, KeyError) as e:  # a KeyError: a {table} that this side has not
-        name = "TABLE_OR_VIEW_NOT_FOUND" if isinstance(e, KeyError) else e.getCondition() or "UNKNOWN"
-        empty = {"columns": F.array().cast("array<string>"), "rows": F.array().cast("array<array<string>>"), "affected": F.lit(0).cast("long"), "error": F.lit(f"ERROR {name}")}
-        return spark.range(1).select(*[c.alias(n) for n, c in empty.items()])
-    names = df.columns
-    cells = df.toDF(*[f"c{i}" for i in range(len(names))])
-    rows = cells.select(F.monotonically_increasing_id().alias("i"), F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in cells.columns]).alias("r"))
-    gathered = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias("rows"))
-    return gathered.select(F.array(*[F.lit(n) for n in names]).cast("array<string>").alias("columns"), "rows", F.lit(0).cast("long").alias("affected"), F.lit("").alias("error"))
-
-
-def replay_compare(spark: SparkSession, queries: list[str], primary: dict[str, DataFrame], replay: dict[str, DataFrame], options: CompareOptions = CompareOptions()) -> DataFrame:
-    """Runs each distinct read against both sets of tables (named in it as {table}) and compares.
-
-    Results are gathered whole, as the recorder would have them; for results too large for that, compare
-    the tables with diff_tables. The distinct queries are few; each pair is one Spark job.
+        names = df.columns
+        cells = df.toDF(*[f"c{i}" for i in range(len(names))])
+        text = lambda c, kind: F.decode(c, "utf-8") if kind == "binary" else F.col(c).cast("string")
+        cells = cells.select(F.monotonically_increasing_id().alias("at"), F.array(*[F.coalesce(text(c, kind), F.lit("NULL")) for c, kind in cells.dtypes]).cast("array<string>").alias("cells"))
+    except (PySparkException, KeyError) as e:
+        return Run([], None, f"ERROR {_condition(e)}")
+    sc, tag, late = spark.sparkContext, f"replay-{uuid.uuid4().hex}", threading.Event()
+    clock = threading.Timer(timeout, lambda: (late.set(), sc.cancelJobsWithTag(tag))) if timeout else None
+    sc.addJobTag(tag)
+    try:
+        if clock:
+            clock.start()
+        cells.write.option("compression", "zstd").parquet(path)
+    except (PySparkException, Py4JError) as e:
+        return Run([], None, f"i/o timeout: the query took more than {timeout:g} s" if late.is_set() else f"ERROR {_condition(e)}")
+    finally:
+        if clock:
+            clock.cancel()
+        sc.removeJobTag(tag)
+    return Run(names, path, "")
+
+
+def replay_compare(
+    spark: SparkSession, queries: list[str], primary: dict[str, DataFrame], replay: dict[str, DataFrame], options: CompareOptions = CompareOptions(), timeout: float | None = None, at_once: int = 4
+) -> tuple[DataFrame, DataFrame]:
+    """Runs each distinct read against both sets of tables (named in it as {table}) and compares the results by position.
+
+    Gives the outcomes (query, original_error, replay_error, match, n, n_rows, types), a row per read, and all differences (query, type, row,
+    position, column, original, replay). Each read and side is a job of its own, `at_once` of them at the same time; results are tables, so
+    their size is that of any table.
     """
-    sides = ("columns", "rows", "affected", "error")
-    out = None
-    for q in dict.fromkeys(queries):
-        a = captured(spark, q, primary).select(F.lit(1).alias("k"), *[F.col(c).alias(f"original_{c}") for c in sides])
-        b = captured(spark, q, replay).select(F.lit(1).alias("k"), *[F.col(c).alias(f"replay_{c}") for c in sides])
-        pair = a.join(b, "k").drop("k").withColumn("query", F.lit(q))
-        out = pair if out is None else out.unionByName(pair)
-    return compare_results(out, options)
+    folder = scratch_dir(spark, "replay")
+    distinct = list(dict.fromkeys(queries))
+    sides = {"original": primary, "replay": replay}
+    jobs = [(i, q, side) for i, q in enumerate(distinct) for side in sides]
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        runs = list(pool.map(lambda job: run_isolated(spark, job[1], sides[job[2]], f"{folder}/pair={job[0]}/side={job[2]}", timeout), jobs))
+    of = {(i, side): run for (i, _, side), run in zip(jobs, runs, strict=True)}
+    meta = spark.createDataFrame([(i, q, of[i, "original"].columns, of[i, "replay"].columns, 0, 0, of[i, "original"].error, of[i, "replay"].error) for i, q in enumerate(distinct)], _META)
+    paths = [run.path for run in runs if run.path]
+    schema = T._parse_datatype_string(_ROWS)
+    rows = spark.read.schema(schema).option("basePath", folder).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    counts = rows.groupBy("pair").agg(*[F.count_if(F.col("side") == s).alias(f"n_{s}") for s in sides])
+    meta = meta.join(F.broadcast(counts), "pair", "left")  # a row a read
+    names = F.broadcast(meta.select("pair", F.col("original_columns").alias("names")))
+    placed = numbered_ranges(rows, ["pair", "side"], "row").join(names, "pair").select("pair", "side", "row", "names", F.posexplode("cells").alias("position", "value"))
+    placed = placed.withColumn("column", F.get("names", F.col("position")))
+    found = long_differences(meta, placed.where("side = 'original'"), placed.where("side = 'replay'"), "pair", options.ignore_columns)
+    if options.redact_columns or options.redact_all:
+        d = redacted(F.struct("type", "row", "column", "original", "replay"), options.redact_columns, options.redact_all)
+        found = found.withColumn("_d", d).withColumns({c: F.col("_d")[c] for c in ("original", "replay")}).drop("_d")
+    asked = F.broadcast(meta.select("pair", "query", "original_error", "replay_error"))
+    outcomes = difference_counts(meta, found, "pair").join(asked, "pair").select("query", "original_error", "replay_error", "match", "n", "n_rows", "types")
+    return outcomes, found.join(asked.select("pair", "query"), "pair").select("query", "type", "row", "position", "column", "original", "replay")

@@ -148,9 +148,16 @@ SQL = {
     "j3_cidr_join": f"WITH {_LOG}, nets AS (SELECT 'net' || (s_suppkey % 8) AS name, '10.0.' || (s_suppkey % 8) || '.0/' || (24 + s_suppkey % 3) AS cidr FROM supplier GROUP BY ALL) SELECT session_id, seq, name FROM (SELECT *, {_IP} AS ip FROM q WHERE host <> '') JOIN (SELECT name, split_part(split_part(cidr, '/', 1), '.', 3)::BIGINT * 256 + 167772160 AS lo, 1 << (32 - split_part(cidr, '/', 2)::INT) AS size FROM nets) ON ip >= lo AND ip < lo + size",
     "j5_asof_policy": f"WITH {_LOG}, {_POLICY} SELECT session_id, seq, enabled, sample_rate FROM q ASOF LEFT JOIN p ON q.ts >= p.valid_from",
     "j6_admitted_digests": f"WITH {_COMPARED}, f AS (SELECT digest, row_number() OVER (ORDER BY min((ts, session_id, seq)), digest) AS rank FROM c GROUP BY digest) SELECT session_id, seq, digest FROM c WHERE digest IN (SELECT digest FROM f WHERE rank <= 4)",
+    "j2_diff_whole_tables": """WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS "row" FROM orders),
+      s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority, "row" FROM o WHERE o_orderkey <> (SELECT max(o_orderkey) FROM orders))
+      SELECT "row", x.name AS "column", x.a AS original, x.b AS replay
+      FROM (SELECT "row", unnest([{'name': 'o_orderkey', 'a': o.o_orderkey::VARCHAR, 'b': s.o_orderkey::VARCHAR}, {'name': 'o_orderstatus', 'a': o.o_orderstatus, 'b': s.o_orderstatus}, {'name': 'o_orderpriority', 'a': o.o_orderpriority, 'b': s.o_orderpriority}]) AS x
+            FROM o LEFT JOIN s USING ("row")) WHERE x.a IS DISTINCT FROM x.b""",
     "j7_replay_compare": """SELECT 'SELECT n_name FROM {nation} ORDER BY n_nationkey' AS query, count(*) = 0 AS match, count(*) AS n_differences, CASE WHEN count(*) > 0 THEN 'cell_value' END AS type FROM nation WHERE n_nationkey = 3 AND n_name <> 'CHANGED'
       UNION ALL SELECT 'SELECT r_name, count(*) AS n FROM {region} JOIN {nation} ON r_regionkey = n_regionkey GROUP BY r_name ORDER BY r_name', true, 0, NULL
-      UNION ALL SELECT 'SELECT s_name FROM {supplier} ORDER BY s_suppkey', false, 1, 'error'""",
+      UNION ALL SELECT 'SELECT s_name FROM {supplier} ORDER BY s_suppkey', false, 1, 'error'
+      UNION ALL SELECT 'SELECT n_name, 100 DIV part AS share FROM {nation} ORDER BY n_name', false, 1, 'error'
+      UNION ALL SELECT 'SELECT l_orderkey, l_linenumber, l_quantity FROM {lineitem} ORDER BY l_orderkey, l_linenumber', count(*) = 0, count(*), CASE WHEN count(*) > 0 THEN 'cell_value' END FROM lineitem WHERE l_partkey % 100 = 0""",
     "a1_comparison_totals": f"WITH {_COMPARED} SELECT count(*) AS total, count(*) FILTER (NOT ignored AND match) AS matched, count(*) FILTER (NOT ignored AND NOT match) AS differed, count(*) FILTER (ignored) AS ignored FROM c",
     "a2_digest_summary": f"WITH {_DIGESTS} SELECT * FROM z",
     "a3_digest_cap": f"WITH {_COMPARED} SELECT digest, row_number() OVER (ORDER BY min((ts, session_id, seq)), digest) AS rank, count(*) AS count, row_number() OVER (ORDER BY min((ts, session_id, seq)), digest) <= 4 AS admitted FROM c GROUP BY digest",
@@ -200,6 +207,11 @@ SQL = {
     "c1_compare_results": f"WITH {_CAPTURED} SELECT query_id, type, \"row\"::BIGINT AS \"row\", \"column\", original, replay FROM d",
     "c1_matches": f"WITH {_CAPTURED} SELECT query_id, query_id NOT IN (SELECT query_id FROM d) AS match FROM n",
     "c2_compare_long": f"WITH {_CAPTURED} SELECT query_id, type, \"row\"::BIGINT AS \"row\", \"column\", original, replay FROM d",
+    "c2_difference_counts": f"WITH {_CAPTURED} SELECT n.query_id, count(type) = 0 AS match, count(type) AS n, count(DISTINCT CASE WHEN type = 'cell_value' THEN \"row\" END) AS n_rows, coalesce(string_agg(DISTINCT type, ',' ORDER BY type), '') AS types FROM n LEFT JOIN d USING (query_id) GROUP BY n.query_id",
+    "c2_difference_pages": f"""WITH {_CAPTURED} SELECT query_id, "row" // 4 AS page, count(*) AS n, count(*) AS listed, first(type ORDER BY type = 'cell_value', type = 'row_count', "row") AS first_type,
+      first("row" ORDER BY type = 'cell_value', type = 'row_count', "row")::BIGINT AS first_row FROM d GROUP BY 1, 2""",
+    "c2_first_differences": f"""WITH {_CAPTURED}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY type = 'cell_value', type = 'row_count', "row", list_position(['o_orderkey', 'o_orderstatus', 'o_orderpriority'], "column")) AS rank FROM d)
+      SELECT query_id, type, "row"::BIGINT AS "row", "column", original, replay, rank FROM k WHERE rank <= 2""",
     "c3_result_timing": f"WITH {_COMPARED} SELECT session_id, seq, original_time_ms, replay_time_ms, time_diff_ms FROM c",
     "c4_schema_diff": "SELECT DISTINCT o_custkey AS query_id, 'column_count' AS type, '' AS \"column\", '3' AS original, CASE WHEN o_custkey % 31 = 0 THEN '0' ELSE '2' END AS replay FROM orders WHERE o_custkey % 31 = 0 OR o_custkey % 37 = 0 UNION ALL SELECT DISTINCT o_custkey, 'column_name', 'index_1', 'o_orderstatus', 'status' FROM orders WHERE o_custkey % 31 <> 0 AND o_custkey % 37 <> 0 AND o_custkey % 41 = 0",
     "c5_column_drift": f"WITH {_CAPTURED} SELECT \"column\", count(*) AS count, min(\"row\") AS first_row FROM d WHERE type = 'cell_value' GROUP BY 1",

@@ -267,6 +267,16 @@ def j2_diff_tables(spark, sf_dir):
     return compare.diff_tables(primary, other, "query_id", ["o_orderkey"], fixtures.COLUMNS)
 
 
+@query
+def j2_diff_whole_tables(spark, sf_dir):
+    """Tables without a key: the other side has some statuses changed, and lacks the last row."""
+    rows = fixtures.table(spark, sf_dir, "orders").select(*fixtures.COLUMNS)
+    last = rows.agg(F.max("o_orderkey").alias("last"))
+    status = F.when(F.col("o_orderkey") % 97 == 0, "X").otherwise(F.col("o_orderstatus"))
+    other = rows.join(F.broadcast(last)).where("o_orderkey != last").drop("last").withColumn("o_orderstatus", status)
+    return compare.diff_tables(rows, other, None, ["o_orderkey"], fixtures.COLUMNS)
+
+
 @query
 def j3_cidr_join(spark, sf_dir):
     n = F.col("s_suppkey")
@@ -289,11 +299,16 @@ def j6_admitted_digests(spark, sf_dir):
 
 @query
 def j7_replay_compare(spark, sf_dir):
-    reads = ["SELECT n_name FROM {nation} ORDER BY n_nationkey", "SELECT r_name, count(*) AS n FROM {region} JOIN {nation} ON r_regionkey = n_regionkey GROUP BY r_name ORDER BY r_name", "SELECT s_name FROM {supplier} ORDER BY s_suppkey"]
-    primary = {t: fixtures.table(spark, sf_dir, t) for t in ("nation", "region", "supplier")}
-    second = {"nation": primary["nation"].withColumn("n_name", F.when(F.col("n_nationkey") == 3, "CHANGED").otherwise(F.col("n_name"))), "region": primary["region"]}
-    found = replay.replay_compare(spark, reads, primary, second)
-    return found.select("query", "match", F.size("differences").alias("n_differences"), F.get("differences", F.lit(0))["type"].alias("type"))
+    reads = [
+        "SELECT n_name FROM {nation} ORDER BY n_nationkey", "SELECT r_name, count(*) AS n FROM {region} JOIN {nation} ON r_regionkey = n_regionkey GROUP BY r_name ORDER BY r_name", "SELECT s_name FROM {supplier} ORDER BY s_suppkey",
+        "SELECT n_name, 100 DIV part AS share FROM {nation} ORDER BY n_name", "SELECT l_orderkey, l_linenumber, l_quantity FROM {lineitem} ORDER BY l_orderkey, l_linenumber",
+    ]
+    primary = {t: fixtures.table(spark, sf_dir, t) for t in ("nation", "region", "supplier", "lineitem")}
+    quantity = F.when(F.col("l_partkey") % 100 == 0, -1).otherwise(F.col("l_quantity")).cast(primary["lineitem"].schema["l_quantity"].dataType)
+    second = {"nation": primary["nation"].withColumn("n_name", F.when(F.col("n_nationkey") == 3, "CHANGED").otherwise(F.col("n_name"))), "region": primary["region"], "lineitem": primary["lineitem"].withColumn("l_quantity", quantity)}
+    primary["nation"], second["nation"] = primary["nation"].withColumn("part", F.col("n_nationkey") + 1), second["nation"].withColumn("part", F.col("n_nationkey"))
+    outcomes, _ = replay.replay_compare(spark, reads, primary, second)
+    return outcomes.select("query", "match", F.col("n").alias("n_differences"), F.get("types", F.lit(0)).alias("type"))
 
 
 # --- aggregations ----------------------------------------------------------------------------
@@ -459,12 +474,33 @@ def c1_matches(spark, sf_dir):
     return captured(spark, sf_dir).select("query_id", "match")
 
 
-@query
-def c2_compare_long(spark, sf_dir):
+def long_pairs(spark, sf_dir):
+    """The captured pairs without their rows, and their differences by the long form."""
     pairs = fixtures.captured_pairs(spark, sf_dir)
     meta = pairs.withColumns({"n_original": F.size("original_rows"), "n_replay": F.size("replay_rows")}).drop("original_rows", "replay_rows")
-    found = compare.compare_long(meta, compare.cells_of(pairs, "query_id", "original"), compare.cells_of(pairs, "query_id", "replay"), "query_id")
-    return compare.exploded(found, "query_id")
+    return meta, compare.long_differences(meta, compare.cells_of(pairs, "query_id", "original"), compare.cells_of(pairs, "query_id", "replay"), "query_id")
+
+
+@query
+def c2_compare_long(spark, sf_dir):
+    return long_pairs(spark, sf_dir)[1].drop("position")
+
+
+@query
+def c2_difference_counts(spark, sf_dir):
+    meta, found = long_pairs(spark, sf_dir)
+    return compare.difference_counts(meta, found, "query_id").withColumn("types", F.array_join("types", ","))
+
+
+@query
+def c2_difference_pages(spark, sf_dir):
+    pages = compare.difference_pages(long_pairs(spark, sf_dir)[1], "query_id", rows=4)
+    return pages.select("query_id", "page", "n", F.size("differences").alias("listed"), F.get("differences", F.lit(0))["type"].alias("first_type"), F.get("differences", F.lit(0))["row"].alias("first_row"))
+
+
+@query
+def c2_first_differences(spark, sf_dir):
+    return compare.first_differences(long_pairs(spark, sf_dir)[1], "query_id", n=2, rows=4).drop("position")
 
 
 @query

@@ -101,3 +101,68 @@ def test_heartbeats_of_idle_intervals(spark):
     rows = spark.createDataFrame([(0, True, False), (1, False, False), (125, False, True)], "s long, match boolean, ignored boolean").withColumn("ts", F.timestamp_seconds("s"))
     beats = metrics.heartbeats(rows, 60).orderBy("timestamp").collect()
     assert [(b["window_total"], b["window_differed"], b["window_ignored"], b["cumulative_total"]) for b in beats] == [(2, 1, 0, 2), (0, 0, 0, 2), (1, 0, 1, 3)]
+
+
+NULLS = [
+    (_pair(1)[:7] + (None, "ERROR 1146", 1.0, 1.0, "q", "u"), ["error"]),
+    (_pair(2)[:7] + (None, "", 1.0, 1.0, "q", "u"), []),
+    (_pair(3)[:5] + (None, 3) + _pair(3)[7:], ["affected_rows"]),
+    (_pair(4)[:5] + (None, 0) + _pair(4)[7:], []),
+    (_pair(5, x=((None, "alice"),)), ["cell_value"]),
+    (_pair(6, x=((None, "alice"),), y=(("NULL", "alice"),)), []),
+    (_pair(7, y=(("1", None),)), ["cell_value"]),
+    (_pair(8, a=["id", None]), ["column_name"]),
+    (_pair(9, a=["id", None], b=["id", ""]), []),
+    (_pair(10)[:1] + (None,) + _pair(10)[2:], ["column_count"]),
+    (_pair(11)[:3] + (None,) + _pair(11)[4:], ["row_count"]),
+    (_pair(12, y=(("1",),)), ["cell_value"]),
+    (_pair(13)[:4] + ([None],) + _pair(13)[5:], ["cell_value", "cell_value"]),
+]
+
+
+def _long(spark, pairs, **more):
+    df = spark.createDataFrame(pairs, SCHEMA)
+    size = lambda c: F.size(F.coalesce(c, F.array().cast("array<array<string>>")))
+    meta = df.withColumns({"n_original": size(F.col("original_rows")), "n_replay": size(F.col("replay_rows"))}).drop("original_rows", "replay_rows")
+    return meta, compare.long_differences(meta, compare.cells_of(df, "id", "original"), compare.cells_of(df, "id", "replay"), "id", **more)
+
+
+def test_nulls_are_their_stand_ins(spark):
+    found = _results(spark, [p for p, _ in NULLS])
+    assert {i: [d["type"] for d in r["differences"]] for i, r in found.items()} == {p[0]: t for p, t in NULLS}
+    assert found[1]["differences"][0]["original"] == "" and found[3]["differences"][0]["original"] == "0" and found[5]["differences"][0]["original"] == "NULL"
+    assert found[8]["differences"][0]["original"] == "" and found[12]["differences"][0]["replay"] == "NULL"
+
+
+def test_long_form_agrees_with_nested(spark):
+    pairs = [p for p, _ in NULLS] + [(p[0] + 100, *p[1:]) for p, _ in CASES]
+    nested = {i: [(d["type"], d["row"], d["column"], d["original"], d["replay"]) for d in r["differences"]] for i, r in _results(spark, pairs).items()}
+    meta, found = _long(spark, pairs)
+    pages = compare.difference_pages(found, "id", rows=1).orderBy("id", "page").collect()
+    in_pages = {i: [tuple(d) for r in pages if r["id"] == i for d in r["differences"]] for i in nested}
+    assert in_pages == nested
+    counts = {r["id"]: r for r in compare.difference_counts(meta, found, "id").collect()}
+    assert {i: (r["match"], r["n"], list(r["types"])) for i, r in counts.items()} == {i: (not d, len(d), sorted({x[0] for x in d})) for i, d in nested.items()}
+
+
+def test_nulls_in_offline_comparison(spark):
+    log = spark.createDataFrame([(1, 1, "q", None, None, 5), (1, 2, "q", "", 0, None)], "session_id int, seq int, query string, original_error string, original_affected long, rows_returned long")
+    other = spark.createDataFrame([(1, 1, "", 0, ["a"], [["x"]]), (1, 2, None, 3, None, None)], "session_id int, seq int, replay_error string, replay_affected long, replay_columns array<string>, replay_rows array<array<string>>")
+    found = {r["seq"]: [d["type"] for d in r["differences"]] for r in compare.offline_compare(log, other, compare_rows_returned=True).collect()}
+    assert found == {1: ["row_count"], 2: ["affected_rows"]}
+
+
+def test_a_pair_of_very_many_differences(spark):
+    n = 60_000
+    rows = spark.range(n).select(F.lit(1).alias("id"), F.col("id").cast("int").alias("row"), F.explode(F.array(F.lit(0), F.lit(1))).alias("position"))
+    cells = rows.select("id", "row", "position", F.element_at(F.array(F.lit("a"), F.lit("b")), F.col("position") + 1).alias("column"), F.concat("row", F.lit("x")).alias("value"))
+    other = cells.withColumn("value", F.when(F.col("position") == 1, F.lit(None).cast("string")).otherwise(F.concat("row", F.lit("y"))))
+    meta = spark.createDataFrame([(1, ["a", "b"], ["a", "b"], 0, 0, "", "", n, n)], "id int, original_columns array<string>, replay_columns array<string>, original_affected long, replay_affected long, original_error string, replay_error string, n_original int, n_replay int")
+    found = compare.long_differences(meta, cells, other, "id")
+    assert found.count() == 2 * n
+    sizes = found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert sizes < 2 * n
+    pages = compare.difference_pages(found, "id", rows=500)
+    assert pages.agg(F.max("n"), F.count("*"), F.sum("n")).first()[:] == (1000, n // 500, 2 * n)
+    first = compare.first_differences(found, "id", 5).orderBy("rank").collect()
+    assert [(r["row"], r["column"]) for r in first] == [(0, "a"), (0, "b"), (1, "a"), (1, "b"), (2, "a")]

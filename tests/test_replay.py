@@ -1,11 +1,26 @@
-"""Recorded reads run against two sets of tables."""
+"""Recorded reads run against two sets of tables, each as a job of its own."""
 
+import pytest
+from pyspark.sql import functions as F
+
+from sqltraffic.operators.compare import CompareOptions
 from sqltraffic.operators.replay import replay_compare
 
 
-def test_two_sets_of_tables(spark):
+def _found(spark, reads, primary, other, **more):
+    outcomes, differences = replay_compare(spark, reads, primary, other, **more)
+    rows = differences.orderBy("query", "row", "position").collect()
+    return {r["query"]: r for r in outcomes.collect()}, {q: [(r["type"], r["original"], r["replay"]) for r in rows if r["query"] == q] for q in reads}
+
+
+@pytest.fixture(scope="module")
+def sides(spark):
     t = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "id int, name string")
     other = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "id int, name string")
+    return {"t": t, "only": t}, {"t": other}
+
+
+def test_two_sets_of_tables(spark, sides):
     reads = {
         "SELECT name FROM {t} WHERE id < 3 ORDER BY id": [("cell_value", "NULL", "b")],
         "SELECT id FROM {t} WHERE id < 3 ORDER BY id": [],
@@ -15,6 +30,35 @@ def test_two_sets_of_tables(spark):
         "SELECT name FROM {only} ORDER BY 1": [("error", "", "ERROR TABLE_OR_VIEW_NOT_FOUND")],
         "SELECT nothing FROM {t}": [],
     }
-    found = replay_compare(spark, [*reads, *reads], {"t": t, "only": t}, {"t": other}).collect()
-    assert {r["query"]: [(d["type"], d["original"], d["replay"]) for d in r["differences"]] for r in found} == reads
-    assert len(found) == len(reads)
+    outcomes, found = _found(spark, [*reads, *reads], *sides)
+    assert found == reads
+    assert {q: (r["match"], r["n"]) for q, r in outcomes.items()} == {q: (not d, len(d)) for q, d in reads.items()}
+    assert outcomes["SELECT nothing FROM {t}"]["original_error"].startswith("ERROR UNRESOLVED_COLUMN")
+
+
+def test_errors_while_running_stay_with_their_read(spark, sides):
+    reads = {
+        "SELECT 1 DIV (id - 4) AS x FROM {t} ORDER BY id": [("error", "", "ERROR DIVIDE_BY_ZERO")],
+        "SELECT raise_error('no') AS x FROM {t}": [],
+        "SELECT max(id) AS x FROM {t}": [("cell_value", "3", "4")],
+    }
+    outcomes, found = _found(spark, list(reads), *sides)
+    assert found == reads
+    assert outcomes["SELECT raise_error('no') AS x FROM {t}"]["replay_error"] == "ERROR USER_RAISED_EXCEPTION"
+
+
+def test_slow_reads_are_cancelled(spark, sides):
+    slow, quick = "SELECT sum(sqrt(a.id * b.id)) AS x FROM range(3000000) a, range(3000000) b, {t}", "SELECT count(*) AS n FROM {t}"
+    outcomes, found = _found(spark, [slow, quick], *sides, timeout=15.0, at_once=1)
+    assert outcomes[slow]["original_error"].startswith("i/o timeout") and outcomes[slow]["match"]
+    assert found[quick] == [("cell_value", "3", "4")]
+
+
+def test_large_results_meet_by_position(spark):
+    left = spark.range(200_000).select("id", (F.col("id") % 7).alias("v"))
+    right = left.withColumn("v", F.when(F.col("id") % 2 == 0, F.col("v")).otherwise(-F.col("v") - 1))
+    read = "SELECT id, v FROM {t} ORDER BY id DESC"
+    outcomes, differences = replay_compare(spark, [read], {"t": left}, {"t": right}, CompareOptions(redact_columns=["v"]))
+    assert outcomes.first()["n"] == outcomes.first()["n_rows"] == 100_000
+    assert differences.agg(F.min("row"), F.max("row"), F.count_distinct("row")).first()[:] == (0, 199_998, 100_000)
+    assert {r[0] for r in differences.select("original").distinct().collect()} == {"<redacted>"}
