@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Names and kinds of the exposed metrics that tables can tell.
@@ -30,14 +30,19 @@ METRICS = {
 }
 
 
+def beat_counts() -> list[Column]:
+    """A beat's counts of compared statements (ignored, match)."""
+    kinds = {"total": F.count("*"), "matched": F.count_if(~F.col("ignored") & F.col("match")), "differed": F.count_if(~F.col("ignored") & ~F.col("match")), "ignored": F.count_if("ignored")}
+    return [f.alias(f"window_{n}") for n, f in kinds.items()]
+
+
 def heartbeats(results: DataFrame, seconds: int) -> DataFrame:
     """Per interval from the first to the last: its counts, and running totals. Idle intervals count too.
 
     Only the intervals' own rows are ordered in one place: there are as many as beats, not as results.
     """
     start = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / seconds) * seconds)
-    kinds = {"total": F.count("*"), "matched": F.count_if(~F.col("ignored") & F.col("match")), "differed": F.count_if(~F.col("ignored") & ~F.col("match")), "ignored": F.count_if("ignored")}
-    found = results.groupBy(start.alias("timestamp")).agg(*[f.alias(f"window_{n}") for n, f in kinds.items()])
+    found = results.groupBy(start.alias("timestamp")).agg(*beat_counts())
     ends = found.agg(F.min("timestamp").alias("low"), F.max("timestamp").alias("high")).where("low is not null")
     beats = ends.select(F.explode(F.sequence("low", "high", F.expr(f"interval {seconds} seconds"))).alias("timestamp"))
     out = beats.join(found, "timestamp", "left").na.fill(0)
@@ -91,10 +96,11 @@ def metric_snapshot(log: DataFrame, results: DataFrame, funnel: DataFrame, audit
 
 
 def metrics_by_cluster(metrics: DataFrame) -> DataFrame:
-    """Counters summed and gauges averaged, per cluster and over all (`*`)."""
-    value = F.when(F.first("kind") == "counter", F.sum("value")).otherwise(F.avg("value"))
-    grouped = metrics.cube("cluster", "name").agg(F.grouping("cluster").alias("_all"), F.grouping("name").alias("_names"), value.alias("value"))
-    return grouped.where("_names = 0").select(F.when(F.col("_all") == 1, "*").otherwise(F.col("cluster")).alias("cluster"), "name", "value")
+    """Counters summed and gauges averaged, per cluster and over all (`*`). A name that has both kinds is two metrics."""
+    value = F.when(F.col("kind") == "counter", F.sum("value")).otherwise(F.avg("value"))
+    sets = [[F.col("cluster"), F.col("name"), F.col("kind")], [F.col("name"), F.col("kind")]]
+    grouped = metrics.groupingSets(sets, "cluster", "name", "kind").agg(F.grouping("cluster").alias("_all"), value.alias("value"))
+    return grouped.select(F.when(F.col("_all") == 1, "*").otherwise(F.col("cluster")).alias("cluster"), "name", "value")
 
 
 def diff_fraction(results: DataFrame, width: str = "1 hour") -> DataFrame:

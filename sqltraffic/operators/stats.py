@@ -110,14 +110,22 @@ def regressions(results: DataFrame) -> DataFrame:
     return results.groupBy("digest").agg(F.count_if("time_diff_exceeded").alias("exceeded"), F.max("time_diff_ms").alias("max_diff_ms"), F.avg("time_diff_ms").alias("avg_diff_ms"))
 
 
+#: Shares in which a digest of very many rows is cut down before its rows meet.
+SHARES = 256
+
+
+def least_by(rows: DataFrame, k: int, by: str, *ties: str) -> DataFrame:
+    """At most k rows of each digest: those of least `by`, ties by the other columns. Samples of parts can be cut down together again."""
+    cut = rows.withColumn("_share", F.pmod(F.xxhash64(by, *ties), F.lit(SHARES)))
+    for w in (Window.partitionBy("digest", "_share"), Window.partitionBy("digest")):
+        cut = cut.withColumn("_rank", F.row_number().over(w.orderBy(by, *ties))).where(F.col("_rank") <= k)
+    return cut.drop("_share", "_rank")
+
+
 def reservoir_sample(results: DataFrame, k: int = 10_000, seed: int | None = 0) -> DataFrame:
     """At most k rows of each digest, drawn evenly: those of the least hashes of their place and the seed."""
     by = F.rand() if seed is None else F.xxhash64("session_id", "seq", F.lit(seed))
-    # A digest of very many rows is first cut down in shares of its own; then at most k rows of each share are left to order.
-    drawn = results.withColumn("_by", by).withColumn("_share", F.pmod(F.xxhash64("session_id", "seq"), F.lit(256)))
-    for w in (Window.partitionBy("digest", "_share"), Window.partitionBy("digest")):
-        drawn = drawn.withColumn("_rank", F.row_number().over(w.orderBy("_by", "session_id", "seq"))).where(F.col("_rank") <= k)
-    return drawn.drop("_by", "_share", "_rank")
+    return least_by(results.withColumn("_by", by), k, "_by", "session_id", "seq").drop("_by")
 
 
 def rank_digests(summary: DataFrame) -> DataFrame:

@@ -224,8 +224,21 @@ SQL |= {
     "x5_stream_pair": f"WITH {_COMPARED} SELECT session_id, seq, CASE WHEN event_id % 19 <> 0 THEN replay_ms END AS replay_ms FROM c",
     "x7_stream_digest_cap": f"WITH {_LOG}, f AS (SELECT digest FROM q GROUP BY digest ORDER BY min((ts, session_id, seq)) LIMIT 4) SELECT digest, count(*) AS count FROM q JOIN f USING (digest) GROUP BY digest",
     "x8_stream_policy": f"WITH {_LOG}, {_POLICY} SELECT session_id, seq FROM q ASOF JOIN p ON q.ts >= p.valid_from WHERE enabled AND point < sample_rate AND (source_ip = '' OR ((n % 4 <> 1 OR session_id % 8 < 4) AND (n % 2 <> 1 OR session_id % 8 <> 3)))",
-    "x9_stream_report": f"WITH {_COMPARED} SELECT session_id, seq, type FROM c WHERE NOT match AND NOT ignored",
-    "x2_stream_heartbeats": f"WITH {_COMPARED}, h AS (SELECT date_trunc('hour', ts) AS window_start, count(*) AS window_total, count(*) FILTER (NOT ignored AND match) AS window_matched, count(*) FILTER (NOT ignored AND NOT match) AS window_differed, count(*) FILTER (ignored) AS window_ignored FROM c WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1) SELECT *, (sum(window_total) OVER (ORDER BY window_start))::BIGINT AS cumulative_total, (sum(window_differed) OVER (ORDER BY window_start))::BIGINT AS cumulative_differed FROM h",
+    "x9_stream_report": f"""WITH {_COMPARED}, b AS (SELECT date_trunc('day', ts) AS day, count(*) AS n, count(*) FILTER (NOT ignored AND NOT match) AS differed FROM c GROUP BY 1),
+      e AS (SELECT unnest(generate_series((SELECT min(day) FROM b), (SELECT max(day) FROM b), INTERVAL 1 DAY)) AS timestamp)
+      SELECT 'difference' AS type, session_id, seq, type AS kind, NULL::TIMESTAMP AS timestamp, NULL::BIGINT AS window_total, NULL::BIGINT AS cumulative_differed FROM c WHERE NOT match AND NOT ignored
+      UNION ALL SELECT 'heartbeat', NULL, NULL, NULL, timestamp, coalesce(n, 0), (sum(coalesce(differed, 0)) OVER (ORDER BY timestamp))::BIGINT FROM e LEFT JOIN b ON day = timestamp""",
+    "x2_stream_heartbeats": f"""WITH {_COMPARED}, b AS (SELECT date_trunc('hour', ts) AS ts, ignored, match FROM c),
+      e AS (SELECT unnest(generate_series((SELECT min(ts) FROM b), (SELECT max(ts) FROM b), INTERVAL 1 HOUR)) AS timestamp),
+      h AS (SELECT timestamp, count(ts) AS window_total, count(*) FILTER (NOT ignored AND match) AS window_matched, count(*) FILTER (NOT ignored AND NOT match) AS window_differed, count(*) FILTER (ignored) AS window_ignored FROM e LEFT JOIN b ON b.ts = e.timestamp GROUP BY timestamp)
+      SELECT *, (sum(window_total) OVER (ORDER BY timestamp))::BIGINT AS cumulative_total, (sum(window_differed) OVER (ORDER BY timestamp))::BIGINT AS cumulative_differed, 'heartbeat' AS type, 3600::BIGINT AS window_seconds FROM h""",
+    "x3_stream_sketches": f"""WITH {_DIGESTS} SELECT y.digest, y.count, match_count, diff_count, error_count, round(o, 6) AS original_avg_ms, true AS original_p95_near, true AS original_p99_near, true AS replay_p95_near, true AS replay_p99_near, true AS sessions_near
+      FROM y JOIN (SELECT digest, avg(original_time_ms) AS o FROM c GROUP BY 1) USING (digest)""",
+    "x10_stream_sample": f"""WITH {_LOG}, k AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY ('0x' || substr(md5(session_id || ':' || seq), 1, 15))::BIGINT, session_id, seq) AS rank FROM q)
+      SELECT digest, session_id, seq, response_time_ms FROM k WHERE rank <= 20""",
+    "x11_late_rows": f"""WITH {_LOG}, e AS (SELECT epoch_us(min(ts)) AS low, epoch_us(max(ts)) AS high FROM q)
+      SELECT 'late_rows_dropped' AS name, 'counter' AS kind, count(*)::DOUBLE AS value FROM q, e WHERE event_id % 97 = 0 AND (epoch_us(ts) - low) // ((high - low) // 3 + 1) = 0""",
+    "x12_stream_replayed": f"WITH {_GATE.replace('AS event FROM q)', f'AS event FROM q WHERE point < 0.75 AND {_CIDR})')} SELECT session_id, seq, CASE WHEN event_id % 19 <> 0 THEN response_time_ms + ((event_id % 7) - 3) / 2.0::DOUBLE END AS replay_ms FROM g WHERE passes",
     "x3_stream_digest_table": f"WITH {_DIGESTS} SELECT y.digest, y.count, match_count, diff_count, error_count, round(o, 9) AS original_avg_ms, round(r, 9) AS replay_avg_ms FROM y JOIN (SELECT digest, avg(original_time_ms) AS o, avg(replay_time_ms) AS r FROM c GROUP BY 1) USING (digest)",
     "x3_stream_summary": f"WITH {_LOG} SELECT count(*) AS total, count(*) FILTER (error <> '') AS errors, count(DISTINCT digest) AS digests FROM q",
 }

@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqltraffic.functions import statements
-from sqltraffic.operators import compare, gates, metrics, replay, sessions, stats
+from sqltraffic.operators import compare, gates, metrics, replay, sessions, sketches, stats
 from sqltraffic.operators.compare import CompareOptions
 from sqltraffic.plans import fixtures, oracle
 from sqltraffic.scratch import scratch_dir
 from sqltraffic.sources import query_log as logs
 from sqltraffic.sources import reports
-from sqltraffic.streaming import jobs
+from sqltraffic.streaming import jobs, kept, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 IGNORE = ["now\\(\\)"]
+DAY = 86_400
 ALLOW, EXCLUDE = ["10.0.0.0/15"], ["10.0.1.0/25"]
 
 
@@ -64,20 +65,20 @@ def written_log(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def in_batches(spark: SparkSession, df: DataFrame, by: str, files: int = 3, close: bool = False) -> tuple[DataFrame, str]:
+def in_batches(spark: SparkSession, df: DataFrame, by: str, files: int = 3, close: int | None = None, last: dict[str, object] | None = None) -> tuple[DataFrame, str]:
     """A table as a stream that arrives in files, in order of a time column; and a folder for checkpoints.
 
     The files are written one after another, since a stream takes them by their age. With `close`, a last file has
-    one row of nulls a day after the end, which takes the watermark past all others.
+    one row so many seconds after the end, of nulls but for what `last` gives, which takes the watermark past all others.
     """
     path = scratch_dir(spark, "stream")
     ends = df.agg(F.unix_micros(F.min(by)).alias("low"), F.unix_micros(F.max(by)).alias("high")).first()
     span = (ends["high"] - ends["low"]) // files + 1
     for i in range(files):
         df.where(F.floor((F.unix_micros(by) - ends["low"]) / span) == i).coalesce(1).write.mode("append").parquet(path)
-    if close and ends["high"] is not None:
-        after = F.timestamp_micros(F.lit(ends["high"] + 86_400_000_000))
-        spark.range(1).select(*[(after if c == by else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in df.columns]).coalesce(1).write.mode("append").parquet(path)
+    if close is not None and ends["high"] is not None:
+        values = {c: F.lit(v) for c, v in (last or {}).items()} | {by: F.timestamp_micros(F.lit(ends["high"] + close * 1_000_000))}
+        spark.range(1).select(*[values.get(c, F.lit(None)).cast(df.schema[c].dataType).alias(c) for c in df.columns]).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path), scratch_dir(spark, "checkpoint")
 
 
@@ -544,10 +545,15 @@ def x1_stream_digest_counts(spark, sf_dir):
     return found.select("digest", "count", F.round("avg_ms", 9).alias("avg_ms"))
 
 
+#: A closing row as late as this, and as long as an interval, after the end takes the watermark just past the last interval.
+LATE = 600
+
+
 @query
 def x2_stream_heartbeats(spark, sf_dir):
-    stream, checkpoint = in_batches(spark, compared(spark, sf_dir).select("ts", "ignored", "match"), "ts")
-    return metrics.running_totals(drained(jobs.stream_heartbeats(stream, "1 hour"), checkpoint), "window_start")
+    stream, checkpoint = in_batches(spark, compared(spark, sf_dir).select("ts", "ignored", "match"), "ts", close=3600 + LATE)
+    with stateful.timed_state(spark):
+        return drained(stateful.stream_heartbeats(stream, 3600), checkpoint)
 
 
 @query
@@ -564,6 +570,21 @@ def x3_stream_digest_table(spark, sf_dir):
     return found.select("digest", "count", "match_count", "diff_count", "error_count", *[F.round(f"{s}_avg_ms", 9).alias(f"{s}_avg_ms") for s in ("original", "replay")])
 
 
+@query
+def x3_stream_sketches(spark, sf_dir):
+    """Counts are exact; of the percentiles and distinct sessions, whether they are as near as the sketches promise."""
+    rows = compared(spark, sf_dir).select("ts", "digest", "session_id", "match", "differences", "original_time_ms", "replay_time_ms")
+    stream, checkpoint = in_batches(spark, rows, "ts")
+    kept.stream_sketches(stream, checkpoint, f"{checkpoint}-sketches").awaitTermination()
+    found = sketches.sketch_summary(sketches.merged(spark.read.parquet(f"{checkpoint}-sketches"), "digest"))
+    sides = [(s, p) for s in ("original", "replay") for p in (95, 99)]
+    asked = rows.join(found.select("digest", "n_sessions", *[f"{s}_p{p}_ms" for s, p in sides]), "digest")
+    # A rank of p lies between the shares of values below the one that was read, and up to it.
+    near = [((F.avg((F.col(f"{s}_time_ms") < F.col(f"{s}_p{p}_ms")).cast("int")) <= p / 100 + 0.02) & (F.avg((F.col(f"{s}_time_ms") <= F.col(f"{s}_p{p}_ms")).cast("int")) >= p / 100 - 0.02)).alias(f"{s}_p{p}_near") for s, p in sides]
+    exact = asked.groupBy("digest").agg(*near, (F.abs(F.max("n_sessions") / F.count_distinct("session_id") - 1) < 0.1).alias("sessions_near"))
+    return found.select("digest", *sketches.COUNTS, F.round("original_avg_ms", 6).alias("original_avg_ms")).join(exact, "digest")
+
+
 @query
 def x4_stream_session_gate(spark, sf_dir):
     stream, checkpoint = in_batches(spark, fixtures.query_log(spark, sf_dir), "ts")
@@ -572,9 +593,9 @@ def x4_stream_session_gate(spark, sf_dir):
 
 def stream_paired(spark, sf_dir):
     """All statements with their replays, those of the end too; the closing rows are taken out."""
-    primary, checkpoint = in_batches(spark, fixtures.query_log(spark, sf_dir), "ts", close=True)
+    primary, checkpoint = in_batches(spark, fixtures.query_log(spark, sf_dir), "ts", close=DAY)
     replies = _replies(spark, sf_dir).select(*KEYS, "replay_ms", (F.col("ts") + F.expr("interval 1 second")).alias("replay_ts"))
-    other, _ = in_batches(spark, replies, "replay_ts", close=True)
+    other, _ = in_batches(spark, replies, "replay_ts", close=DAY)
     paired = drained(jobs.stream_pair(primary.select(*KEYS, "event_id", "ts"), other), checkpoint)
     return paired.where("event_id is not null").drop("event_id")
 
@@ -600,10 +621,53 @@ def x8_stream_policy(spark, sf_dir):
 
 @query
 def x9_stream_report(spark, sf_dir):
-    rows = compare.emit_filter(compared(spark, sf_dir)).select(*KEYS, "ts", F.get("differences", F.lit(0))["type"].alias("type"))
-    stream, checkpoint = in_batches(spark, rows, "ts")
-    jobs.stream_report(stream, checkpoint, f"{checkpoint}-out").awaitTermination()
-    return spark.read.schema("session_id long, seq long, type string, batch long").json(f"{checkpoint}-out").select(*KEYS, "type")
+    """Differences, as they come, and heartbeats of days, in one report of committed batches."""
+    rows = compared(spark, sf_dir).select(*KEYS, "ts", "ignored", "match", F.get("differences", F.lit(0))["type"].alias("kind"))
+    stream, checkpoint = in_batches(spark, rows, "ts", close=DAY + LATE)
+    differences = compare.emit_filter(stream).select(F.lit("difference").alias("type"), *KEYS, "kind")
+    beats = stateful.stream_heartbeats(stream, DAY).select("type", "timestamp", "window_total", "cumulative_differed")
+    with stateful.timed_state(spark):
+        kept.stream_report(differences.unionByName(beats, allowMissingColumns=True), checkpoint, f"{checkpoint}-report").awaitTermination()
+    return kept.read_report(spark, f"{checkpoint}-report", "type string, session_id long, seq long, kind string, timestamp timestamp, window_total long, cumulative_differed long")
+
+
+@query
+def x10_stream_sample(spark, sf_dir):
+    log = stats.with_digest(fixtures.query_log(spark, sf_dir)).select("digest", *KEYS, "ts", "response_time_ms")
+    stream, checkpoint = in_batches(spark, log, "ts")
+    by = F.conv(F.substring(F.md5(F.concat_ws(":", *KEYS)), 1, 15), 16, 10).cast("long")
+    kept.stream_sample(stream, by, KEYS, 20, checkpoint, f"{checkpoint}-sample").awaitTermination()
+    return kept.read_sample(spark, f"{checkpoint}-sample").select("digest", *KEYS, "response_time_ms")
+
+
+@query
+def x11_late_rows(spark, sf_dir):
+    """Some statements of the first third come with the last file: the session gate drops them, and the drops are counted."""
+    log = fixtures.query_log(spark, sf_dir)
+    ends = log.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    third = F.floor((F.unix_micros("ts") - F.unix_micros("low")) / (F.floor((F.unix_micros("high") - F.unix_micros("low")) / 3) + 1)) == 0
+    held = log.join(F.broadcast(ends)).withColumn("arrives", F.when(third & (F.col("event_id") % 97 == 0), F.col("high")).otherwise(F.col("ts"))).drop("low", "high")
+    stream, checkpoint = in_batches(spark, held, "arrives")
+    late = kept.LateRows()
+    spark.streams.addListener(late)
+    try:
+        drained(jobs.stream_session_gate(stream), checkpoint)
+        late.ended()
+    finally:
+        spark.streams.removeListener(late)
+    return late.table(spark).groupBy("name", "kind").agg(F.sum("value").alias("value"))
+
+
+@query
+def x12_stream_replayed(spark, sf_dir):
+    columns = [*KEYS, "ts", "query", "source_ip", "event_id"]
+    log, checkpoint = in_batches(spark, fixtures.query_log(spark, sf_dir).select(*columns), "ts", close=DAY, last={"session_id": -1, "seq": 1, "event_id": -1, "query": "SELECT 1", "source_ip": ""})
+    replies = _replies(spark, sf_dir).select(*KEYS, "replay_ms", (F.col("ts") + F.expr("interval 1 second")).alias("replay_ts"))
+    other, _ = in_batches(spark, replies, "replay_ts", close=DAY)
+    gate = (F.col("event_id") < 0) | (gates.sample_point(F.col("event_id")) < 0.75) & gates.cidr_passes(F.col("source_ip"), ALLOW, EXCLUDE)
+    with stateful.timed_state(spark):
+        found = drained(stateful.stream_replayed(log, other, gate), checkpoint)
+    return found.where("session_id >= 0").select(*KEYS, "replay_ms")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

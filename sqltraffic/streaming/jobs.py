@@ -22,16 +22,6 @@ def stream_digest_counts(log: DataFrame) -> DataFrame:
     )
 
 
-def stream_heartbeats(results: DataFrame, interval: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Counts of compared statements (ts, ignored, match) in each interval, once the watermark has passed it (append mode).
-
-    Running totals are sums over these rows, which the reader of the sink makes: see metrics.running_totals.
-    """
-    kinds = {"total": F.count("*"), "matched": F.count_if(~F.col("ignored") & F.col("match")), "differed": F.count_if(~F.col("ignored") & ~F.col("match")), "ignored": F.count_if("ignored")}
-    beats = results.withWatermark("ts", late).groupBy(F.window("ts", interval).alias("w")).agg(*[f.alias(f"window_{n}") for n, f in kinds.items()])
-    return beats.select(F.col("w.start").alias("window_start"), *[f"window_{n}" for n in kinds])
-
-
 def stream_summary(log: DataFrame) -> DataFrame:
     """Running totals, for complete mode."""
     digest = statements.digest(F.col("query"))
@@ -130,8 +120,3 @@ def stream_policy(log: DataFrame, policy: Callable[[], DataFrame], key: str, che
         ruled.where(inside & (gates.sample_point(F.col(key)) < F.col("sample_rate"))).drop("allow", "exclude").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return each_batch(log, work, checkpoint)
-
-
-def stream_report(results: DataFrame, checkpoint: str, out: str) -> StreamingQuery:
-    """Difference rows, each batch in a folder of its number: run again, it is written over."""
-    return each_batch(results, lambda batch, number: batch.write.mode("overwrite").json(f"{out}/batch={number}"), checkpoint)
