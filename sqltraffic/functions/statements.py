@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fingerprint -----------------------------------------------------------------------------
 _SINGLE = r"'[^'\\]*+(?:(?:''|\\[\s\S])[^'\\]*+)*+\\?'?"
@@ -48,32 +52,79 @@ def _replaced(token: Column) -> Column:
     )
 
 
-def digest(query: Column) -> Column:
-    """The statement with literals as `?`, comments removed, blanks squeezed, in lower case."""
+def _open_parentheses(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("("), F.lit("")))
+
+
+def _squeezed(joined: Column) -> Column:
+    return F.regexp_replace(F.trim(F.lower(joined)), " {2,}", " ")
+
+
+def digest(query: Column, exact: bool = False) -> Column:
+    """The statement with literals as `?`, comments removed, blanks squeezed, in lower case.
+
+    IN lists may be nested DEEPEST deep. With `exact`, statements of more parentheses than that go through a scanner in Python workers, which
+    has no such bound; the others stay native, and are sent there as nulls.
+    """
     trimmed = F.regexp_replace(F.coalesce(query, F.lit("")), r"\A[\s\x85\xA0]+|[\s\x85\xA0]+\z", "")
     # More parentheses than the shorter pattern can nest are rare; they take the longer one.
-    shallow = F.length(trimmed) - F.length(F.replace(trimmed, F.lit("("), F.lit(""))) <= IN_DEPTH + 1
+    shallow = _open_parentheses(trimmed) <= IN_DEPTH + 1
     tokens = F.when(shallow, F.regexp_extract_all(trimmed, F.lit(TOKENS), F.lit(0))).otherwise(F.regexp_extract_all(trimmed, F.lit(DEEP_TOKENS), F.lit(0)))
-    joined = F.array_join(F.transform(tokens, _replaced), "")
-    return F.regexp_replace(F.trim(F.lower(joined)), " {2,}", " ")
+    native = _squeezed(F.array_join(F.transform(tokens, _replaced), ""))
+    if not exact:
+        return native
+    deep = _open_parentheses(trimmed) > DEEPEST
+    return F.when(deep, _squeezed(_scanned(F.when(deep, trimmed)))).otherwise(native)
+
+
+#: The same token kinds for the scanner, but that of an IN list is its beginning alone; and what counts inside a list.
+_PIECE = re.compile(_TOKENS.replace(r"[ \t]*+\({}(?:\)|\z)", r"[ \t]*+\(").replace(r"\z", r"\Z"), re.ASCII)
+_MARK = re.compile(rf"[()]|{_IN_QUOTED}".replace(r"\z", r"\Z"))
+
+
+def scan(text: str) -> str:
+    """A trimmed statement's tokens put together again with their stand-ins, in one pass; an IN list's end is found by counting."""
+    out, at = [], 0
+    while at < len(text):
+        token = _PIECE.match(text, at)[0]
+        at += len(token)
+        if token[:2] == "/*" or re.match(r"--(?:[ \t\n]|\Z)", token):
+            continue
+        if token[0] in " \t\n\r":
+            out.append(" ")
+        elif token[0] in "'\"" or re.match("-?[0-9]", token):
+            out.append("?")
+        elif len(token) > 2 and token[:2] in ("IN", "In", "iN", "in") and token[-1] == "(":
+            depth, end = 1, len(text)
+            for mark in _MARK.finditer(text, at):
+                depth += {"(": 1, ")": -1}.get(mark[0], 0)
+                if not depth:
+                    end = mark.end()
+                    break
+            at = end
+            out.append(token[:-1].replace("\t", " ") + "(?)")
+        else:
+            out.append(token)
+    return "".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def _scanned(texts: pd.Series) -> pd.Series:
+    return texts.map(scan, na_action="ignore")
 
 
 # --- classes ---------------------------------------------------------------------------------
 SELECT, SESSION_STATE, TEMP_TABLE, TRANSACTION = "Select", "SessionState", "TempTable", "Transaction"
 DML, DDL, ADMIN, UNKNOWN = "DML", "DDL", "Admin", "Unknown"
-#: Keywords of each class: fixed values. Phrases come before the words that they begin with.
-PHRASES = [
-    (TRANSACTION, [r"START\s+TRANSACTION", r"RELEASE\s+SAVEPOINT"]),
-    (TEMP_TABLE, [r"(?:CREATE|DROP|ALTER|TRUNCATE)\s+TEMPORARY"]),
-    (DML, [r"LOAD\s+DATA"]),
-]
-WORDS = [
-    (SELECT, "SELECT SHOW DESCRIBE DESC EXPLAIN WITH"),
-    (SESSION_STATE, "SET USE PREPARE EXECUTE DEALLOCATE DO HELP"),
-    (TRANSACTION, "BEGIN COMMIT ROLLBACK SAVEPOINT"),
-    (DML, "INSERT UPDATE DELETE REPLACE MERGE"),
-    (DDL, "CREATE DROP ALTER TRUNCATE RENAME"),
-    (ADMIN, "GRANT REVOKE FLUSH RESET LOCK UNLOCK CALL KILL PURGE"),
+#: Keywords of each class, as fixed values in natural order. A phrase's words may be any blanks apart.
+KEYWORDS = [
+    (SELECT, ["SELECT", "SHOW", "DESCRIBE", "DESC", "EXPLAIN", "WITH"]),
+    (SESSION_STATE, ["SET", "USE", "PREPARE", "EXECUTE", "DEALLOCATE", "DO", "HELP"]),
+    (TRANSACTION, ["BEGIN", "START TRANSACTION", "COMMIT", "ROLLBACK", "SAVEPOINT", "RELEASE SAVEPOINT"]),
+    (TEMP_TABLE, ["CREATE TEMPORARY", "DROP TEMPORARY", "ALTER TEMPORARY", "TRUNCATE TEMPORARY"]),
+    (DML, ["INSERT", "UPDATE", "DELETE", "REPLACE", "MERGE", "LOAD DATA"]),
+    (DDL, ["CREATE", "DROP", "ALTER", "RENAME", "TRUNCATE"]),
+    (ADMIN, ["GRANT", "REVOKE", "FLUSH", "RESET", "LOCK", "UNLOCK", "CALL", "KILL", "PURGE"]),
 ]
 _END = r"(?:[ \t\n\r;(]|\z)"
 
@@ -87,11 +138,9 @@ def category(query: Column) -> Column:
     """The statement's class by its leading keyword or phrase."""
     text = F.upper(bare(query))
     out = None
-    for name, patterns in PHRASES:
-        test = text.rlike(rf"\A(?:{'|'.join(patterns)}){_END}")
+    for name, keywords in KEYWORDS:
+        test = text.rlike(rf"\A(?:{'|'.join(k.replace(' ', r'\s+') for k in keywords)}){_END}")
         out = F.when(test, F.lit(name)) if out is None else out.when(test, F.lit(name))
-    for name, words in WORDS:
-        out = out.when(text.rlike(rf"\A(?:{'|'.join(words.split())}){_END}"), F.lit(name))
     return out.otherwise(F.lit(UNKNOWN))
 
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sqltraffic.functions import network, statements
@@ -30,11 +29,20 @@ def session_safe(log: DataFrame) -> DataFrame:
     return log.where(statements.category(F.col("query")).isin(safe))
 
 
+def checked_pattern(spark: SparkSession, pattern: str) -> str:
+    """The pattern, if the engine that will run it can compile it."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException as e:
+        raise ValueError(f"not a regular expression: {pattern!r}: {e}") from None
+    return pattern
+
+
 def mark_ignored(results: DataFrame, patterns: list[str]) -> DataFrame:
-    """`ignored` where a pattern matches anywhere in the query; a bad pattern is an error at once."""
+    """`ignored` where a pattern matches anywhere in the query. A pattern that Spark's own regular expressions refuse is an error at once."""
     hit = F.lit(False)
     for p in patterns:
-        re.compile(p)
+        checked_pattern(results.sparkSession, p)
         hit = hit | F.col("query").rlike(f"(?i){p}")
     return results.withColumn("ignored", hit)
 

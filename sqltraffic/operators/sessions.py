@@ -72,10 +72,14 @@ def is_transport_error(error: Column) -> Column:
     return (error != "") & ~error.rlike(r"(?i)\AERROR [0-9]+")
 
 
-def teardown_effect(results: DataFrame) -> DataFrame:
-    """`dropped`: statements after the first transport error of their session."""
-    broken = F.max(is_transport_error(F.col("error"))).over(earlier())
-    return results.withColumn("dropped", F.coalesce(broken, F.lit(False)))
+def teardown_effect(results: DataFrame, timeout_ms: float | None = None, time: str = "replay_ms") -> DataFrame:
+    """`dropped`: statements after the first transport error of their session.
+
+    With a timeout, a replay that took longer tears its session down too, and has no result itself: it and all after it are dropped.
+    """
+    late = F.coalesce(F.col(time) > timeout_ms, F.lit(False)) if timeout_ms is not None else F.lit(False)
+    broken = F.coalesce(F.max(is_transport_error(F.col("error")) | late).over(earlier()), F.lit(False))
+    return results.withColumn("dropped", broken | late)
 
 
 def _in_transaction(log: DataFrame) -> DataFrame:

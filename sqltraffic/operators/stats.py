@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqltraffic.functions import statements
+from sqltraffic.scratch import scratch_dir
 
 
 def round2(x: Column) -> Column:
@@ -22,14 +23,22 @@ def _slice(v: Column) -> Column:
 
 
 def nearest_ranks(rows: DataFrame, by: list[str], columns: list[str], points: dict[str, float]) -> DataFrame:
-    """Exact percentiles by nearest rank, as `{column}_{point}`, of each group with a value that is not null.
+    """Exact percentiles by nearest rank, as `{column}_{point}`, of each group with a value that is not null."""
+    return _ranks(_counted(rows, by, columns), by, columns, points)
 
-    Equal values are counted first. Then slices of values are put in order by their counts, and only the slices that hold
-    a wanted rank are ordered inside: no task holds or sorts a whole group, however many values it has.
-    """
+
+def _counted(rows: DataFrame, by: list[str], columns: list[str], **more: Column) -> DataFrame:
+    """The rows once for each of the columns: equal values of a group as one row, with their number `_n` and what else is aggregated."""
+    kept = [c for c in rows.columns if c not in by]
+    each = rows.select(*by, *kept, F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("_at", "_v"))
+    return each.groupBy(*by, F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("_at") + 1).alias("_of"), "_v").agg(F.count("*").alias("_n"), *[c.alias(n) for n, c in more.items()])
+
+
+def _ranks(counted: DataFrame, by: list[str], columns: list[str], points: dict[str, float]) -> DataFrame:
+    """Slices of values are put in order by their counts, and only the slices that hold a wanted rank are ordered inside: no task
+    holds or sorts a whole group, however many values it has."""
     keys = [*by, "_of"]
-    each = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("_of"), F.col(c).cast("double").alias("_v")) for c in columns])).alias("_e")).select(*by, "_e.*")
-    counts = each.where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_n")).withColumn("_slice", _slice(F.col("_v")))
+    counts = counted.where("_v is not null").select(*keys, "_v", "_n", _slice(F.col("_v")).alias("_slice"))
     group = Window.partitionBy(*keys)
     slices = counts.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_n")).select(
         *keys, "_slice", "_n", F.sum("_n").over(group).alias("_all"), (F.sum("_n").over(group.orderBy("_slice")) - F.col("_n")).alias("_before")
@@ -42,9 +51,16 @@ def nearest_ranks(rows: DataFrame, by: list[str], columns: list[str], points: di
     return inside.groupBy(*by).agg(*[F.min(F.when((F.col("_of") == c) & (F.col("_upto") >= r), F.col("_v"))).alias(f"{c}_{n}") for c in columns for n, r in rank.items()])
 
 
-def _with_ranks(found: DataFrame, rows: DataFrame, by: list[str], columns: list[str], points: dict[str, float]) -> DataFrame:
+def _written(counted: DataFrame, name: str) -> DataFrame:
+    """Counted values, written once: all statistics of a table come from them, and the table itself is read once."""
+    spark, path = counted.sparkSession, scratch_dir(counted.sparkSession, name)
+    counted.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(counted.schema).parquet(path)
+
+
+def _with_ranks(found: DataFrame, counted: DataFrame, by: list[str], columns: list[str], points: dict[str, float]) -> DataFrame:
     """Groups with their percentiles; a group's key may be null."""
-    ranks = nearest_ranks(rows, by, columns, points)
+    ranks = _ranks(counted, by, columns, points)
     ranks = ranks.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(by)})
     return found.join(ranks, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)], "left").drop(*[f"_k{i}" for i in range(len(by))])
 
@@ -66,19 +82,21 @@ def with_digest(results: DataFrame) -> DataFrame:
 def digest_summary(results: DataFrame) -> DataFrame:
     """Counts, and time averages and nearest-rank percentiles of both sides, by digest.
 
-    The overhead is the difference of the rounded figures. Needs digest, query, match, differences and both times.
+    The overhead is the difference of the rounded figures. Needs digest, query, match, differences and both times. The results are read
+    once: equal times of a digest are counted and written, and everything is worked out from that.
     """
-    has_error = F.exists("differences", lambda d: d["type"] == "error")
     sides = {side: f"{side}_time_ms" for side in ("original", "replay")}
-    counted = results.groupBy("digest").agg(
-        F.min_by("query", F.struct("ts", "session_id", "seq")).alias("sample_query"),
-        F.count("*").alias("count"),
-        F.count_if("match").alias("match_count"),
-        F.count_if(~F.col("match")).alias("diff_count"),
-        F.count_if(has_error).alias("error_count"),
-        *[F.avg(c).alias(f"{c}_avg") for c in sides.values()],
-    )
-    ranked = _with_ranks(counted, results, ["digest"], list(sides.values()), {"p95": 0.95, "p99": 0.99})
+    rows = results.select("digest", *sides.values(), "query", F.struct("ts", "session_id", "seq").alias("at"), "match", F.exists("differences", lambda d: d["type"] == "error").alias("failed"))
+    marks = {"matched": F.count_if("match"), "differed": F.count_if(~F.col("match")), "failed": F.count_if("failed"), "first": F.min(F.struct("at", "query"))}
+    counted = _written(_counted(rows, ["digest"], list(sides.values()), **marks), "times")
+    one = F.col("_of") == sides["original"]  # each result stands there once for each side
+    of = lambda c: F.coalesce(F.sum(F.when(one, F.col(c))), F.lit(0))
+    mean = lambda c: F.sum(F.when(F.col("_of") == c, F.col("_v") * F.col("_n"))) / F.sum(F.when((F.col("_of") == c) & F.col("_v").isNotNull(), F.col("_n")))
+    totals = counted.groupBy("digest").agg(
+        F.min("first")["query"].alias("sample_query"), of("_n").alias("count"), of("matched").alias("match_count"), of("differed").alias("diff_count"), of("failed").alias("error_count"),
+        *[mean(c).alias(f"{c}_avg") for c in sides.values()],
+    )
+    ranked = _with_ranks(totals, counted, ["digest"], list(sides.values()), {"p95": 0.95, "p99": 0.99})
     times = [round2(F.col(f"{c}_{n}")).alias(f"{s}_{n}_ms") for s, c in sides.items() for n in ("avg", "p95", "p99")]
     found = ranked.select("digest", "sample_query", "count", "match_count", "diff_count", "error_count", *times)
     return found.withColumns({f"overhead_{n}_ms": round2(F.col(f"replay_{n}_ms") - F.col(f"original_{n}_ms")) for n in ("avg", "p95", "p99")})
@@ -150,19 +168,24 @@ def unique_digests(log: DataFrame, approximate: bool = False) -> DataFrame:
 
 # --- latency ---------------------------------------------------------------------------------
 def latency_stats(timings: DataFrame) -> DataFrame:
-    """Per path and query: successes' count, average, percentiles, range, sample deviation; and errors. Whole nanoseconds."""
-    t = timings.withColumn("ok", F.when(F.col("error") == "", F.col("duration_ns")))
-    counted = t.groupBy("path", "query").agg(
-        F.count("ok").alias("n"),
-        F.floor(F.avg("ok")).alias("avg_ns"),
-        F.min("ok").alias("min_ns"),
-        F.max("ok").alias("max_ns"),
-        F.floor(F.coalesce(F.stddev_samp("ok"), F.lit(0.0))).alias("stddev_ns"),
-        F.count_if(F.col("error") != "").alias("errors"),
-    )
+    """Per path and query: successes' count, average, percentiles, range, sample deviation; and errors. Whole nanoseconds.
+
+    The timings are read once: equal durations are counted and written, and everything is worked out from that.
+    """
+    by = ["path", "query"]
+    rows = timings.select(*by, F.when(F.col("error") == "", F.col("duration_ns")).alias("ok"), (F.col("error") != "").alias("failed"))
+    counted = _written(_counted(rows, by, ["ok"], failed=F.count_if("failed")), "durations")
+    n = F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))), F.lit(0))
+    means = counted.groupBy(*by).agg(n.alias("n"), F.try_divide(F.sum(F.col("_v") * F.col("_n")), n).alias("mean"), F.min("_v").cast("long").alias("min_ns"), F.max("_v").cast("long").alias("max_ns"), F.sum("failed").alias("errors"))
+    means = means.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(by)})
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    spread = counted.join(means, same).groupBy(*by, "n", "mean", "min_ns", "max_ns", "errors").agg(F.sum((F.col("_v") - F.col("mean")) ** 2 * F.col("_n")).alias("squares"))
+    deviation = F.sqrt(F.try_divide(F.col("squares"), F.col("n") - 1))
     points = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
-    ranked = _with_ranks(counted, t, ["path", "query"], ["ok"], points)
-    return ranked.select("path", "query", "n", "avg_ns", *[F.col(f"ok_{p}").cast("long").alias(f"{p}_ns") for p in points], "min_ns", "max_ns", "stddev_ns", "errors")
+    ranked = _with_ranks(spread, counted, by, ["ok"], points)
+    return ranked.select(
+        *by, "n", F.floor("mean").alias("avg_ns"), *[F.col(f"ok_{p}").cast("long").alias(f"{p}_ns") for p in points], "min_ns", "max_ns", F.floor(F.coalesce(deviation, F.lit(0.0))).alias("stddev_ns"), "errors"
+    )
 
 
 def latency_overhead(stats: DataFrame) -> DataFrame:

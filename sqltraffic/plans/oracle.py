@@ -127,6 +127,7 @@ SQL = {
     "s7_retain_log": f"WITH {_LOG} SELECT session_id, seq, query FROM q WHERE ts::DATE > (SELECT max(ts::DATE) FROM events) - 7",
     "s8_export_query_log": f"WITH {_LOG} SELECT ts AS timestamp, session_id, \"user\", \"database\", query, floor(response_time_ms * 1000.0::DOUBLE) / 1000.0::DOUBLE AS response_time_ms, error, '<redacted>' AS first_arg FROM q",
     "p1_digest_catalog": f"WITH {_LOG} SELECT digest, arg_min(query, (ts, session_id, seq)) AS sample_query, count(*) AS count, min(ts) AS first_seen, max(ts) AS last_seen FROM q GROUP BY digest",
+    "p1_deep_digests": "SELECT 'select ? from t where id in (?) and kind = ?' AS digest, count(*) AS count FROM events WHERE event_id % 10 = 0 HAVING count(*) > 0",
     "p2_statement_mix": f"WITH {_LOG} SELECT category, \"user\", \"database\", count(*) AS count FROM q GROUP BY ALL",
     "p3_replayable_reads": f"WITH {_LOG} SELECT session_id, seq, query FROM q WHERE category = 'Select'",
     "p4_session_safe": f"WITH {_LOG} SELECT session_id, seq, query FROM q WHERE category IN {_SAFE}",
@@ -187,6 +188,7 @@ SQL = {
     "a14_unique_digests": f"WITH {_LOG} SELECT count(DISTINCT digest) AS unique_digests FROM q",
     "a15_reservoir_sample": f"WITH {_LOG} SELECT digest, least(count(*), 100) AS sampled FROM q GROUP BY digest",
     "w1_sessionize": f"WITH {_LOG} SELECT session_id, event_id, seq FROM q",
+    "w1_file_order": "SELECT user_id AS session_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('hour', ts), event_id) AS seq FROM events",
     "w2_replay_schedule": f"""WITH {_LOG}, g AS (SELECT session_id, seq, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY session_id ORDER BY seq))) / 1000.0::DOUBLE / 20000.0::DOUBLE AS gap FROM q WHERE category = 'Select'),
       h AS (SELECT session_id, seq, CASE WHEN gap > 0 AND gap < 10000 THEN gap ELSE 0 END AS wait_ms FROM g)
       SELECT session_id, seq, round(wait_ms, 6) AS wait_ms, round(sum(wait_ms) OVER (PARTITION BY session_id ORDER BY seq), 6) AS offset_ms FROM h""",
@@ -199,6 +201,7 @@ SQL = {
     "w6_counter_rates": f"WITH {_METRICS} SELECT * FROM (SELECT ts, cluster, name, (CASE WHEN value >= lag(value) OVER w THEN value - lag(value) OVER w ELSE value END) / ((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6) AS rate FROM m WHERE kind = 'counter' WINDOW w AS (PARTITION BY cluster, name ORDER BY ts)) WHERE rate IS NOT NULL",
     "w7_active_sessions": f"WITH {_LOG}, e AS (SELECT session_id, min(ts) AS a, max(ts) AS b FROM q GROUP BY 1), s AS (SELECT ts, sum(step) AS step FROM (SELECT a AS ts, 1 AS step FROM e UNION ALL SELECT b, -1 FROM e) GROUP BY ts) SELECT ts, (sum(step) OVER (ORDER BY ts))::BIGINT AS active FROM s",
     "w8_teardown_effect": f"WITH {_LOG} SELECT session_id, seq, coalesce(max((error LIKE 'i/o%')::INT) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS dropped FROM q",
+    "w8_replay_timeouts": f"WITH {_COMPARED} SELECT session_id, seq, replay_ms > 200 OR coalesce(max((replay_error LIKE 'i/o%' OR replay_ms > 200)::INT) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS dropped FROM c",
     "w9_transaction_spans": f"WITH {_TRANSACTIONS}, l AS (SELECT *, coalesce(lag(in_transaction) OVER (PARTITION BY session_id ORDER BY seq), false) AND edge IS NOT DISTINCT FROM false AS ends FROM b) SELECT session_id, span::BIGINT AS span, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS statements, bool_or(ends) AS ended FROM l WHERE in_transaction OR ends GROUP BY session_id, span",
     "w10_lifetime_audit": f"WITH {_LOG}, {_AUDIT} SELECT session_id, first_late, closed_at, coalesce(closed_at, 1 << 30) > first_late AS postponed FROM l",
     "t1_rank_digests": f"WITH {_DIGESTS} SELECT * FROM z",

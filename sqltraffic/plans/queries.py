@@ -170,6 +170,15 @@ def p1_digest_catalog(spark, sf_dir):
     return gates.digest_catalog(fixtures.query_log(spark, sf_dir))
 
 
+@query
+def p1_deep_digests(spark, sf_dir):
+    """Lists nested as deep as an event's number, up to some hundreds: all of a kind have one digest."""
+    n = (F.col("event_id") % 400 + 1).cast("int")
+    log = fixtures.query_log(spark, sf_dir).where("event_id % 10 = 0")
+    deep = F.concat(F.lit("SELECT "), F.col("session_id").cast("string"), F.lit(" FROM t WHERE id IN "), F.repeat(F.lit("("), n), F.lit("1"), F.repeat(F.lit(")"), n), F.lit(" AND kind = 'k"), (F.col("event_id") % 3).cast("string"), F.lit("'"))
+    return log.groupBy(statements.digest(deep, exact=True).alias("digest")).agg(F.count("*").alias("count"))
+
+
 @query
 def p2_statement_mix(spark, sf_dir):
     return gates.statement_mix(fixtures.query_log(spark, sf_dir))
@@ -401,6 +410,16 @@ def w1_sessionize(spark, sf_dir):
     return sessions.sessionize(fixtures.query_log(spark, sf_dir).drop("seq"), "event_id").select("session_id", "event_id", "seq")
 
 
+@query
+def w1_file_order(spark, sf_dir):
+    """Statements whose times are told to the hour alone keep their lines' order, file by file."""
+    path = scratch_dir(spark, "log")
+    log = fixtures.query_log(spark, sf_dir).select(F.date_trunc("hour", "ts").alias("timestamp"), F.to_date("ts").alias("date"), "session_id", "query", F.col("event_id").alias("rows_returned"))
+    log.repartition("date").sortWithinPartitions("date", "rows_returned").write.partitionBy("date").option("timestampFormat", reports.STAMP).json(path)
+    read = logs.read_query_log(spark, path, placed=True, longest=1 << 20).withColumnRenamed("timestamp", "ts")
+    return sessions.sessionize(read, *logs.PLACE).select("session_id", F.col("rows_returned").alias("event_id"), "seq")
+
+
 @query
 def w2_replay_schedule(spark, sf_dir):
     plan = sessions.replay_schedule(fixtures.query_log(spark, sf_dir), 20000.0)
@@ -439,6 +458,12 @@ def w8_teardown_effect(spark, sf_dir):
     return sessions.teardown_effect(fixtures.query_log(spark, sf_dir)).select(*KEYS, "dropped")
 
 
+@query
+def w8_replay_timeouts(spark, sf_dir):
+    pairs = fixtures.result_pairs(spark, sf_dir)
+    return sessions.teardown_effect(pairs.withColumn("error", F.col("replay_error")), timeout_ms=200.0).select(*KEYS, "dropped")
+
+
 @query
 def w9_transaction_spans(spark, sf_dir):
     return sessions.transaction_spans(fixtures.query_log(spark, sf_dir))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamReader
@@ -21,9 +19,29 @@ def _clean(rows: DataFrame) -> DataFrame:
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT).na.fill(DEFAULTS)
 
 
-def read_query_log(spark: SparkSession, path: str) -> DataFrame:
-    """A log of JSON lines, compressed or not. A malformed line is left out whole; unknown keys are ignored."""
-    return _clean(spark.read.schema(_READ).option("columnNameOfCorruptRecord", CORRUPT).json(path))
+#: Where a line stands: its file, the block of the file that was read at once, and its place among what that task read.
+PLACE = ("file", "block", "place")
+
+
+def read_query_log(spark: SparkSession, path: str, placed: bool = False, longest: int | None = None) -> DataFrame:
+    """A log of JSON lines, compressed or not. A malformed line is left out whole; unknown keys are ignored.
+
+    With `placed`, the columns PLACE tell the lines' order, however the files are split. With `longest`, a line of more bytes fails
+    the read; without it such lines are read like all others.
+    """
+    if longest is None:
+        rows = spark.read.schema(_READ).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    else:
+        lines = spark.read.text(path)
+        fits = F.when(F.octet_length("value") <= longest, F.col("value")).otherwise(F.raise_error(F.concat(F.lit(f"a line of more than {longest} bytes in "), F.col("_metadata.file_name"))))
+        rows = lines.select(*_places(placed), F.from_json(fits, _READ, {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}).alias("entry")).where("entry is not null")
+        return _clean(rows.select("entry.*", *(PLACE if placed else ())))
+    return _clean(rows.select("*", *_places(placed)))
+
+
+def _places(placed: bool) -> list[Column]:
+    columns = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return [c.alias(n) for c, n in zip(columns, PLACE, strict=True)] if placed else []
 
 
 def log_quality(spark: SparkSession, path: str, longest: int = 16 << 20) -> DataFrame:
@@ -72,8 +90,22 @@ def write_query_log(log: DataFrame, path: str, rows_per_file: int = 1_000_000, c
     dated.write.option("maxRecordsPerFile", rows_per_file).option("compression", compression).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").partitionBy("date").mode("append").json(path)
 
 
+#: Spark's setting that takes extremes of a partition column from the folders' names alone.
+BY_NAMES = "spark.sql.optimizer.metadataOnly"
+
+
+def newest_day(log: DataFrame) -> DataFrame:
+    """The latest `date`; over a log in day folders no file is read for it."""
+    return log.agg(F.max("date").alias("date"))
+
+
 def retain_log(log: DataFrame, max_age_days: int) -> DataFrame:
-    """The log's latest days. Over a log in day folders the newest is told by their names, and the others are not read."""
-    named = [m[1] for f in log.inputFiles() if (m := re.search(r"/date=(\d{4}-\d{2}-\d{2})/", f))]
-    newest = max(named) if named else log.agg(F.max("date")).first()[0]
+    """The log's latest days; older folders are not read."""
+    spark = log.sparkSession
+    before = spark.conf.get(BY_NAMES)
+    spark.conf.set(BY_NAMES, "true")
+    try:
+        newest = newest_day(log).first()["date"]
+    finally:
+        spark.conf.set(BY_NAMES, before)
     return log.where(F.col("date") > F.date_sub(F.lit(newest).cast("date"), max_age_days))

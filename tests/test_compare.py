@@ -166,3 +166,19 @@ def test_a_pair_of_very_many_differences(spark):
     assert pages.agg(F.max("n"), F.count("*"), F.sum("n")).first()[:] == (1000, n // 500, 2 * n)
     first = compare.first_differences(found, "id", 5).orderBy("rank").collect()
     assert [(r["row"], r["column"]) for r in first] == [(0, "a"), (0, "b"), (1, "a"), (1, "b"), (2, "a")]
+
+
+def test_patterns_are_those_that_will_run(spark):
+    rows = spark.createDataFrame([("select NOW()",), ("select 1",)], "query string")
+    assert [r["ignored"] for r in gates.mark_ignored(rows, ["\\p{Alpha}+\\(\\)"]).collect()] == [True, False]
+    for bad in ("(?P<x>a)", "("):
+        with pytest.raises(ValueError, match="regular expression"):
+            gates.mark_ignored(rows, [bad])
+
+
+def test_timeouts_tear_sessions_down(spark):
+    rows = [(1, 1, "", 5.0), (1, 2, "", 90.0), (1, 3, "", 5.0), (2, 1, "", None), (2, 2, "i/o timeout", 5.0), (2, 3, "", 1.0), (3, 1, "ERROR 1064 (42000)", 5.0), (3, 2, "", 50.0)]
+    df = spark.createDataFrame(rows, "session_id int, seq int, error string, replay_ms double")
+    dropped = lambda **more: {(r["session_id"], r["seq"]) for r in sessions.teardown_effect(df, **more).where("dropped").collect()}
+    assert dropped() == {(2, 3)}
+    assert dropped(timeout_ms=50.0) == {(1, 2), (1, 3), (2, 3)}

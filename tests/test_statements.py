@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +107,106 @@ def test_deep_in_lists(spark):
     nested = lambda d: "x" if not d else "(" + ", ".join(nested(d - 1 if j == 0 else rng.randrange(d)) for j in range(rng.randint(1, 2))) + ")"
     cases = [f"select a from t where b in {nested(d)} and c = d" for d in [*range(1, 12), 40, 150]]
     assert _values(spark, cases, statements.digest) == [_squeezed(c) for c in cases]
+
+
+def _quoted_end(q, at, sign):
+    """Behind a quoted text that begins at `at`: a doubled sign and a backslashed one do not end it."""
+    at += 1
+    while at < len(q):
+        if q[at] == "\\" and at + 1 < len(q):
+            at += 2
+        elif q[at] == sign and q[at + 1 : at + 2] == sign:
+            at += 2
+        elif q[at] == sign:
+            return at + 1
+        else:
+            at += 1
+    return at
+
+
+def _list_end(q, at):
+    """Behind the parenthesis that closes a list whose inside begins at `at`. Inside, a backslash takes the next sign with it only in single quotes."""
+    depth = 1
+    while at < len(q) and depth:
+        if q[at] == "'":
+            at += 1
+            while at < len(q) and q[at] != "'":
+                at += 2 if q[at] == "\\" else 1
+        elif q[at] in "()":
+            depth += 1 if q[at] == "(" else -1
+        at += 1
+    return min(at, len(q))
+
+
+def _number_end(q, at):
+    digits = "0123456789"
+    if q[at] == "0" and q[at + 1 : at + 2] in ("x", "X"):
+        at += 2
+        while q[at : at + 1] and q[at] in digits + "abcdefABCDEF":
+            at += 1
+        return at
+    at += q[at] == "-"
+
+    def run(at):
+        while q[at : at + 1] and q[at] in digits:
+            at += 1
+        return at
+
+    at = run(at)
+    if q[at : at + 1] == ".":
+        at = run(at + 1)
+    if q[at : at + 1] and q[at] in "eE":
+        at += 1
+        at = run(at + 1 if q[at : at + 1] in ("+", "-") and q[at : at + 1] else at)
+    return at
+
+
+def _slow_digest(q):
+    """Sign by sign, by the rules as they are told."""
+    q, out, at = q.strip(), "", 0
+    while at < len(q):
+        c, rest = q[at], q[at:]
+        if rest.startswith("/*"):
+            end = q.find("*/", at + 2)
+            at = len(q) if end < 0 else end + 2
+        elif rest.startswith("--") and (len(rest) == 2 or rest[2] in " \t\n"):
+            end = q.find("\n", at)
+            at = len(q) if end < 0 else end
+        elif c in " \t\n\r":
+            out, at = out + " ", at + 1
+        elif c in "'\"":
+            out, at = out + "?", _quoted_end(q, at, c)
+        elif c in "0123456789" or c == "-" and rest[1:2] and rest[1] in "0123456789" and (at == 0 or q[at - 1] in "=(,><+-*/ \t\n\r"):
+            out, at = out + "?", _number_end(q, at)
+        elif rest[:2].upper() == "IN" and rest[2:].lstrip(" \t").startswith("("):
+            inside = q.index("(", at) + 1
+            out, at = out + rest[:2] + " " * (inside - 1 - at - 2) + "(?)", _list_end(q, inside)
+        else:
+            out, at = out + c, at + 1
+    out = out.strip(" ").lower()
+    while "  " in out:
+        out = out.replace("  ", " ")
+    return out
+
+
+PARTS = ["select", "IN", "in (", "iN\t(", "IN\n(", "(", ")", "((", "'", "''", '"', "\\", "a", "x1", "_", "0x1F", "0xg", "12", "3.5", "1e5", "2E-", ".", "-", "-7", "--", "-- c\n", "--x", "/*", "*/", "/", "*", "=", ",", " ", "  ", "\t", "\n", "\r", ";", "é", "join", "min(1)"]
+
+
+def test_digest_fuzz(spark):
+    """Against a slow model of all rules: the native form as deep as it goes, the exact one at any depth."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randrange(1, 25))) for _ in range(4000)]
+    texts += ["a in " + "(" * n + "1, ')', (2" + ")" * rng.randrange(n + 2) + " b" for n in (1, 5, 6, 7, 8, 150, 199)]
+    want = [_slow_digest(q) for q in texts]
+    for exact in (False, True):
+        got = _values(spark, texts, lambda q: statements.digest(q, exact))  # noqa: B023
+        assert [(q, g, w) for q, g, w in zip(texts, got, want, strict=True) if g != w] == []
+    scanned = [re.sub(" {2,}", " ", statements.scan(q.strip()).lower().strip(" ")) for q in texts]
+    assert [(q, g, w) for q, g, w in zip(texts, scanned, want, strict=True) if g != w] == []
+
+
+def test_exact_digest_of_deep_lists(spark):
+    deep = ["SELECT 1 WHERE a IN " + "(" * n + "'x)', 2" + ")" * n + " AND b = 'c'" for n in (201, 250, 10_000)]
+    deep += ["a IN (" + "(" * 500 + "1" + ")" * 400, "(" * 300 + "a = 1" + ")" * 300]
+    assert _values(spark, deep, lambda q: statements.digest(q, exact=True)) == ["select ? where a in (?) and b = ?"] * 3 + ["a in (?)", "(" * 300 + "a = ?" + ")" * 300]
+    assert _values(spark, [None, "", "select 1"], lambda q: statements.digest(q, exact=True)) == ["", "", "select ?"]
