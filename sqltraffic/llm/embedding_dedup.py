@@ -6,13 +6,14 @@ refined: around each vector, its neighbours and those that have it as theirs are
 each other, and pairs better than the worst in either list are put in; rounds go on until few lists change. All
 pairs of cosine THRESHOLD or more that were met on the way are kept, also those that no list has room for; they make components.
 
-Links are counted in the whole component: its members are compared in pairs of blocks. An audit compares AUDIT_STEP-th
-vectors with all of their label, in blocks; labels of whose links less than RECALL were found are
-refined again with lists twice as long. Labels that are still short after TRIES, and
-those of WHOLE classes at most, are compared in full, in pairs of blocks.
+Links are counted in the whole component: its members are compared in pairs of blocks. An audit compares some
+vectors of each label (every AUDIT_STEP-th, or AUDIT_LEAST at the least) with all of it, in blocks. Labels of whose links less than RECALL were found are
+refined again: lists that are full of links are saturated, and get twice the room; other orders are drawn. Labels that are still short after
+TRIES are compared in full, in pairs of blocks.
 
 Vectors that are null, of length zero or with null or non-finite components, and those without a label or an id,
-have no links and are their own component. Rows that repeat count as vectors of their own. An
+have no links and are their own component. Rows that repeat count as vectors of their own. Neighbours of equal cosine are told apart by their
+ids. Labels may be of any type that can be compared; vectors are arrays of floats or doubles. An
 empty table gives no rows; other columns are left out.
 """
 
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import settled, width
+from .common import settled, width, with_groups
 from .components import components
 
 THRESHOLD = 0.93
@@ -34,9 +36,9 @@ LIST, ORDERS, REACH, BITS = 8, 6, 3, 24
 ROUNDS, FEW, TRIES = 3, 0.02, 3
 #: Vectors that are compared with each other in one task: around a vector, and of a component.
 AROUND, BLOCK = 256, 1024
-#: Classes of a label that is compared in full at once: one block.
-WHOLE = 1024
-AUDIT_STEP, RECALL, QUERIES = 50, 0.97, 256
+#: One class in so many is audited, but so many of a label at the least.
+AUDIT_STEP, AUDIT_LEAST = 50, 32
+RECALL, QUERIES = 0.97, 256
 EDGES = "a long, b long, sim double"
 
 
@@ -47,75 +49,73 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _named() -> Column:
+    """A class by 128 bits of its label and vector."""
+    halves = [F.hex(F.xxhash64(F.lit(turn), "label", "vector")) for turn in (1, 2)]
+    return F.when(F.col("vector").isNotNull(), F.concat_ws("-", *halves))
+
+
 def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All rows with their class, and a row (class, label, vector, copies) for each class."""
+    """All rows with the name of their class, and a row (class, label, vector, copies, name) for each class."""
     fine = F.size("embedding") > 0
     fine &= F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select("vec_id", "label", F.when(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & fine, F.col("embedding")).alias("vector"))
-    groups = rows.where("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("class"), F.count("*").alias("copies"))
-    groups = settled(groups, "vectors")
-    return rows, groups
+    groups = rows.where("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").cast("long").alias("class"), F.count("*").alias("copies"))
+    groups = settled(groups.withColumn("name", _named()), "vectors")
+    return rows.select("vec_id", _named().alias("name")), groups
 
 
 def first_graph(groups: DataFrame, reach: int = REACH, seed: int = 3) -> DataFrame:
-    """Edges between vectors that stand close in one of the sorted orders."""
-    parts = width(groups.sparkSession)
-    edges = None
-    for turn in range(ORDERS):
-
-        def sign(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sizes = np.array([len(v) for v in batch.column("vector")])
+    """Edges between vectors that stand close in one of the sorted orders. All orders are one table, so they are dealt and sorted at once."""
+    rows = groups.select("class", "label", "vector")
+    order = ["turn", "label", "size", "key"]
+    signs = T.StructType([*rows.schema, *[T.StructField(c, T.LongType()) for c in ("turn", "size", "key")]])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([len(v) for v in batch.column("vector")], np.int64)
+            for turn in range(ORDERS):
                 keys = np.zeros(batch.num_rows, np.int64)
                 for size in np.unique(sizes):
                     at = np.flatnonzero(sizes == size)
                     planes = np.random.default_rng((seed, turn, int(size))).normal(size=(int(size), BITS))
                     keys[at] = ((_matrix(batch.column("vector").take(pa.array(at))) @ planes) > 0) @ (1 << np.arange(BITS))
-                yield pa.RecordBatch.from_arrays([*batch.select(["class", "label", "vector"]).columns, pa.array(keys), pa.array(sizes)], names=["class", "label", "vector", "key", "size"])
-
-        def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = None
-            for batch in batches:
-                table = pa.Table.from_batches([*([held] if held else []), batch]).combine_chunks()
-                label, size, name = (table.column(c).to_numpy() for c in ("label", "size", "class"))
-                a, b = [], []
-                for step in range(1, reach + 1):
-                    at = np.flatnonzero((label[:-step] == label[step:]) & (size[:-step] == size[step:]))
-                    a.append(at)
-                    b.append(at + step)
-                a, b = np.concatenate(a), np.concatenate(b)
-                sims = np.empty(len(a))
-                for n in np.unique(size):
-                    own = np.flatnonzero(size == n)
-                    place = np.zeros(len(size), np.int64)
-                    place[own] = np.arange(len(own))
-                    x, at = _matrix(table.column("vector").take(pa.array(own))), size[a] == n
-                    sims[at] = np.einsum("ij,ij->i", x[place[a[at]]], x[place[b[at]]])
-                yield pa.RecordBatch.from_arrays([pa.array(name[a]), pa.array(name[b]), pa.array(sims)], names=["a", "b", "sim"])
-                held = table.slice(max(0, len(table) - reach)).to_batches()[0] if len(table) else None
-
-        signed = groups.select("class", "label", "vector").mapInArrow(sign, "class long, label int, vector array<float>, key long, size long")
-        some = signed.repartitionByRange(parts, "label", "size", "key").sortWithinPartitions("label", "size", "key", "class").mapInArrow(link, EDGES)
-        edges = some if edges is None else edges.unionByName(some)
-    return edges
+                more = [np.full(batch.num_rows, turn, np.int64), sizes, keys]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, more)], names=signs.names)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([*([held] if held else []), batch]).combine_chunks()
+            same = [table.column(c).to_numpy() for c in ("turn", "label", "size")]
+            size, name = same[-1], table.column("class").to_numpy()
+            pairs = [(at, at + step) for step in range(1, reach + 1) for at in [np.flatnonzero(np.logical_and.reduce([c[:-step] == c[step:] for c in same]))]]
+            a, b = (np.concatenate(side) for side in zip(*pairs, strict=True))
+            sims = np.empty(len(a))
+            for n in np.unique(size):
+                own = np.flatnonzero(size == n)
+                place = np.zeros(len(size), np.int64)
+                place[own] = np.arange(len(own))
+                x, at = _matrix(table.column("vector").take(pa.array(own))), size[a] == n
+                sims[at] = np.einsum("ij,ij->i", x[place[a[at]]], x[place[b[at]]])
+            yield pa.RecordBatch.from_arrays([pa.array(name[a]), pa.array(name[b]), pa.array(sims)], names=["a", "b", "sim"])
+            held = table.slice(max(0, len(table) - reach)).to_batches()[0] if len(table) else None
+
+    dealt = rows.mapInArrow(sign, signs).repartitionByRange(width(groups.sparkSession), *order)
+    return dealt.sortWithinPartitions(*order, "class").mapInArrow(link, EDGES)
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
 
 
-def best_lists(edges: DataFrame, length: int) -> DataFrame:
-    """(a, near, worst): each vector's `length` best neighbours, as (sim, b), and the last one's cosine."""
-    found = _both_ways(edges).groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    ranked = F.row_number().over(_by_sim())
-    kept = found.withColumn("rank", ranked).where(F.col("rank") <= length)
-    return kept.groupBy("a").agg(F.collect_list(F.struct("sim", "b")).alias("near"), F.when(F.count("*") == length, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst"))
-
-
-def _by_sim():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+def best_lists(edges: DataFrame, rooms: DataFrame) -> DataFrame:
+    """(a, room, near, worst): each vector's best neighbours, as (sim, b), as many as it has room for, and the last one's cosine."""
+    found = _both_ways(edges).groupBy("a", "b").agg(F.max("sim").alias("sim")).join(rooms, "a")
+    ranked = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
+    kept = found.withColumn("rank", ranked).where(F.col("rank") <= F.col("room"))
+    full = F.when(F.count("*") == F.col("room"), F.min("sim")).otherwise(F.lit(-2.0))
+    return kept.groupBy("a", "room").agg(F.collect_list(F.struct("sim", "b")).alias("near"), full.alias("worst"))
 
 
 def refine(groups: DataFrame, lists: DataFrame) -> DataFrame:
@@ -136,21 +136,27 @@ def refine(groups: DataFrame, lists: DataFrame) -> DataFrame:
     return dealt.select("center", "part", "member", "worst", "vector").groupBy("center", "part").applyInArrow(compare, EDGES)
 
 
-def descend(groups: DataFrame, length: int) -> DataFrame:
-    """All links (a, b) among the pairs that the graph and its rounds have compared."""
+def descend(groups: DataFrame, rooms: DataFrame, turn: int = 0) -> tuple[DataFrame, DataFrame]:
+    """All links (a, b) among the pairs that the graph and its rounds have compared, and the lists of the last round."""
     n = groups.count()
-    found = settled(first_graph(groups, reach=max(REACH, length // 3)), "first-edges")
-    lists = settled(best_lists(found, length), "lists")
+    found = settled(first_graph(groups, REACH << turn, seed=3 + turn), "first-edges")
+    lists = settled(best_lists(found, rooms), "lists")
     for _ in range(ROUNDS):
         old = lists.select("a", F.explode("near").alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.sim").alias("sim"))
         new = settled(refine(groups, lists), "new-edges")
         found = found.unionByName(new)
-        better = settled(best_lists(old.unionByName(new), length), "lists")
+        better = settled(best_lists(old.unionByName(new), rooms), "lists")
         changed = better.select("a", "worst").join(lists.select("a", F.col("worst").alias("before")), "a").where("worst > before + 1e-12").count()
         lists = better
         if changed < FEW * n:
             break
-    return found.where(F.col("sim") >= THRESHOLD).select("a", "b")
+    return found.where(F.col("sim") >= THRESHOLD).select("a", "b"), lists
+
+
+def enlarged(rooms: DataFrame, lists: DataFrame) -> DataFrame:
+    """Twice the room for vectors whose lists are full of links."""
+    saturated = lists.where(F.col("worst") >= THRESHOLD).select("a", F.lit(2).alias("times"))
+    return rooms.join(saturated, "a", "left").select("a", (F.col("room") * F.coalesce("times", F.lit(1))).alias("room"))
 
 
 def label_edges(groups: DataFrame) -> DataFrame:
@@ -199,8 +205,9 @@ def component_links(groups: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def audit(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """Labels of which `found` counts less than RECALL of the links of each AUDIT_STEP-th class (with all of its label)."""
-    asked = groups.where(F.col("class") % AUDIT_STEP == 0)
+    """Labels of which `found` counts less than RECALL of the links of the audited classes (with all of their label)."""
+    steps = groups.groupBy("label").agg(F.greatest(F.lit(1), F.least(F.lit(AUDIT_STEP), F.floor(F.count("*") / AUDIT_LEAST))).alias("step"))
+    asked = groups.join(steps, "label").where(F.pmod(F.xxhash64("class"), F.col("step")) == 0).drop("step")
     blocks = asked.groupBy("label").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
     slices = groups.groupBy("label").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("slices"))
     both = blocks.join(slices, "label")
@@ -232,17 +239,19 @@ def _joined(groups: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept. `vectors`: vec_id, embedding, label."""
     rows, groups = _classes(vectors)
-    small = groups.groupBy("label").count().where(F.col("count") <= WHOLE)
-    edges = settled(label_edges(groups.join(small, "label", "left_semi")), "label-edges")
-    unsure, length, turn = settled(groups.join(small, "label", "left_anti"), "vectors"), LIST, 0
-    while turn < TRIES and not unsure.isEmpty():
-        edges = edges.unionByName(descend(unsure, length))
+    unsure, rooms, edges = groups, groups.select(F.col("class").alias("a"), F.lit(LIST).alias("room")), None
+    for turn in range(TRIES):
+        found, lists = descend(unsure, rooms, turn)
+        edges = found if edges is None else edges.unionByName(found)
         of, links = _joined(groups, edges)
-        unsure, length, turn = settled(unsure.join(audit(unsure, links), "label", "left_semi"), "vectors"), 2 * length, turn + 1
-    if not turn or not unsure.isEmpty():
+        unsure = settled(unsure.join(audit(unsure, links), "label", "left_semi"), "vectors")
+        if unsure.isEmpty():
+            break
+        rooms = settled(enlarged(rooms, lists).join(unsure.select(F.col("class").alias("a")), "a", "left_semi"), "rooms")
+    else:
         of, links = _joined(groups, edges.unionByName(label_edges(unsure)))
     known = groups.join(links, "class", "left").join(of.withColumnRenamed("node", "class"), "class", "left")
-    known = known.select("label", "vector", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component_id"))
-    joined = rows.join(known, ["label", "vector"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    known = settled(known.select("name", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component_id")), "known")
+    linked = with_groups(rows.where("name is not null"), known, "name", "copies").select("vec_id", "n_links", "component_id")
+    alone = rows.where("name is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
+    return linked.unionByName(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

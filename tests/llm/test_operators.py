@@ -245,24 +245,61 @@ def _halves(rng, n):
 def test_links_that_no_list_has_room_for(spark, monkeypatch):
     """A link across that the first graph has met stays, though both ends have enough closer ones."""
     first = embedding_dedup.first_graph
-    monkeypatch.setattr(embedding_dedup, "first_graph", lambda groups, reach: first(groups, reach).union(spark.createDataFrame([(0, 40, 0.94)], embedding_dedup.EDGES)))
+    monkeypatch.setattr(embedding_dedup, "first_graph", lambda groups, reach, seed: first(groups, reach, seed).union(spark.createDataFrame([(0, 40, 0.94)], embedding_dedup.EDGES)))
     df = spark.createDataFrame(_halves(np.random.default_rng(4), 40), "vec_id long, embedding array<float>, label int")
     rows, groups = embedding_dedup._classes(df)
-    found = {(r["a"], r["b"]) for r in embedding_dedup.descend(groups, embedding_dedup.LIST).collect()}
+    rooms = groups.selectExpr("class a", f"{embedding_dedup.LIST} room")
+    edges, lists = embedding_dedup.descend(groups, rooms)
+    found = {(r["a"], r["b"]) for r in edges.collect()}
     assert (0, 40) in found
+    wider = {r["a"]: r["room"] for r in embedding_dedup.enlarged(rooms, lists).collect()}
+    assert set(wider.values()) == {2 * embedding_dedup.LIST} and len(wider) == 80
 
 
 @pytest.mark.parametrize("blind", [False, True])
 def test_embeddings_of_large_labels(spark, monkeypatch, blind):
     """Descent, and where it finds nothing at all, labels in full over several blocks."""
-    for name, value in {"WHOLE": 0, "BLOCK": 32, "AUDIT_STEP": 5}.items():
-        monkeypatch.setattr(embedding_dedup, name, value)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
     if blind:
-        monkeypatch.setattr(embedding_dedup, "descend", lambda groups, length: groups.selectExpr("class a", "class b").limit(0))
+        nothing = lambda groups, rooms, turn: (groups.selectExpr("class a", "class b").limit(0), rooms.selectExpr("a", "0D worst"))
+        monkeypatch.setattr(embedding_dedup, "descend", nothing)
     df = spark.createDataFrame(_halves(np.random.default_rng(4), 40), "vec_id long, embedding array<float>, label int")
     assert {tuple(r) for r in embedding_dedup.near_duplicates(df).collect()} == {(i, 79, 0, i == 0) for i in range(80)}
 
 
+@pytest.mark.parametrize("label, vector", [("string", "array<double>"), ("long", "array<float>")])
+def test_embeddings_of_other_types(spark, label, vector):
+    """Labels and vectors of other types, names that clash with the operator's own, hot copies, and neighbours of equal cosine."""
+    rng = np.random.default_rng(9)
+    near = [(i, [1.0, 0.0, 0.05 * (i % 3)], 1) for i in range(40)] + [(100 + i, [0.0, 1.0, 0.0], 1) for i in range(60)]
+    rows = near + [(200 + i, [float(x) for x in rng.normal(size=3)], 2) for i in range(30)]
+    rows = [(i, v, f"l{x}" if label == "string" else x, 0, "c") for i, v, x in rows]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding {vector}, label {label}, copies int, class string").selectExpr("vec_id", "embedding", "label", "copies", "class", "'n' as name", "1 as a")
+    x = {r[0]: np.array(r[1]) / np.linalg.norm(r[1]) for r in rows}
+    of = {r[0]: r[2] for r in rows}
+    want = {i: sum(i != j and of[i] == of[j] and x[i] @ x[j] >= 0.93 for j in x) for i in x}
+    assert {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df).collect()} == want
+
+
+def test_the_descent_runs_on_the_given_vectors(spark, monkeypatch):
+    """Each label goes through it, and what it finds by itself is nine tenths of the links of each at the least."""
+    given = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    rng = np.random.default_rng(8)
+    shaken = [(10_000 + 1000 * c + i, [float(x) for x in np.array(v) * (1 + rng.normal(size=len(v)) * 0.2)], label) for c in range(12) for i, v, label in given if i % 5 == 0 and v is not None]
+    vectors = spark.createDataFrame(given + shaken, "vec_id long, embedding array<float>, label int")
+    descend, seen = embedding_dedup.descend, []
+    monkeypatch.setattr(embedding_dedup, "descend", lambda groups, rooms, turn: seen.append((groups, *descend(groups, rooms, turn))) or seen[-1][1:])
+    monkeypatch.setattr(embedding_dedup, "label_edges", None)
+    embedding_dedup.near_duplicates(vectors).count()
+    groups, edges, _ = seen[0]
+    rows = {r["class"]: (r["label"], np.array(r["vector"]) / np.linalg.norm(r["vector"])) for r in groups.collect()}
+    assert {label for label, _ in rows.values()} == {r[0] for r in vectors.select("label").distinct().collect() if r[0] is not None}
+    found = {(min(r), max(r)) for r in map(tuple, edges.select("a", "b").collect())}
+    true = Counter(label for i, (label, x) in rows.items() for j, (other, y) in rows.items() if i < j and label == other and x @ y >= 0.93)
+    got = Counter(rows[a][0] for a, _ in found)
+    assert true and all(got[label] >= 0.9 * n for label, n in true.items())
+
+
 def test_mixing(docs, none):
     got = mixing.taken_words(docs, block=16).collect()
     sizes = Counter()
