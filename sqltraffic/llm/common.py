@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from threading import Lock
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +34,49 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 #: Spark's setting that removes an execution's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_passing: list[list[str]] = []
+#: The tables that pass, of the work that this thread (or whoever hands its context on) is at.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 @contextmanager
 def passing_tables(spark: SparkSession) -> Iterator[None]:
-    """What is settled inside is deleted at the end, but for tables that stay: those that the outcome is read from."""
-    _passing.append([])
+    """What is settled inside is deleted at the end, but for tables that stay: those that the outcome is read from.
+
+    Tables that other threads settle meanwhile are theirs, and stay.
+    """
+    mine: list[str] = []
+    token = _passing.set(mine)
     try:
         yield
     finally:
-        for path in map(spark._jvm.org.apache.hadoop.fs.Path, _passing.pop()):
+        _passing.reset(token)
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, mine):
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_cleaning: dict[str, tuple[int, str]] = {}
+_lock = Lock()
+
+
+@contextmanager
+def _cleanup(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with their execution while anything is inside; the last one out puts the session's own setting back."""
+    name = str(spark._jsparkSession.sessionUUID())
+    with _lock:
+        inside, before = _cleaning.get(name, (0, spark.conf.get(CLEANUP)))
+        _cleaning[name] = inside + 1, before
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            inside, before = _cleaning.pop(name)
+            if inside > 1:
+                _cleaning[name] = inside - 1, before
+            else:
+                spark.conf.set(CLEANUP, before)
+
+
 def settled(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and a lost
     executor costs no more than its own tasks. Tables with whole texts are a good part of the disk, so they are packed well.
@@ -54,14 +85,11 @@ def settled(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleanup(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    if _passing and not stays:
-        _passing[-1].append(path)
+    passing = _passing.get()
+    if passing is not None and not stays:
+        passing.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -44,13 +44,16 @@ class ByteNetwork:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, n: int, chars: int, doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and weights of at most n documents of either label, each cut at `chars`."""
+    """Texts, labels and weights of at most n documents of either label, each cut at `chars`.
+
+    Of rows that share an id one text is learned from, the first in order; of labels of one id the greater. Null texts are empty.
+    """
     known = labels.where(F.col(label).isin(0, 1) & learnable).groupBy(F.col("doc_id").alias("id")).agg(F.max(label).cast("int").alias("label"))
     known = docs.select(F.col(doc_id).alias("id")).join(known, "id").distinct()
     shares = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = smallest_by_hash(known, "label", "id", n)
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.substring(F.col(text), 1, chars), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
-    # At most 2 n rows of `chars` characters.
+    rows = rows.groupBy("label", "id").agg(F.min("text").alias("text"))  # n ids a label: at most 2 n rows of `chars` characters, however often an id repeats
     found = sorted(rows.collect(), key=lambda r: (r["label"], r["id"], r["text"]))
     y = np.array([r["label"] for r in found], np.float64)
     weights = np.array([shares[r["label"]] / max(1, (y == r["label"]).sum()) for r in found])
