@@ -8,9 +8,11 @@ equals the first by name. Whole texts are parsed, in lanes of LANE symbols that
 by side; a worker holds one table of states by symbols, written in place, and the texts of one
 portion, however long a single text is.
 
-Symbols are lower-cased letters; a run of anything else is one blank. A text that is null or has
+Symbols are lower-cased letters; a run of anything else is one blank. Up to SINGLES different letters of all samples are a code each. Scripts of more
+have a code each for the COMMON most frequent letters, and two or three codes, like the bytes of UTF-8, for the others: some sixteen thousand
+letters stay apart in tables of SYMBOLS columns. A letter that no sample has is a code that no automaton goes on with. A text that is null or has
 no letter is `und` with score 0. If no row can be learned from, every text is. Rows with a null
-language are not learned from. Of rows that share an id and a language one text is learned from, the
+language or a null id are not learned from. Of rows that share an id and a language one text is learned from, the
 first in order. Repeated rows are judged alike; other columns, whatever their names, are carried along.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 import uuid
 from array import array
 from dataclasses import dataclass
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,8 @@ from .common import kept, scored, smallest_by_hash
 
 LEARN_DOCS, LEARN_CHARS, DOC_CHARS = 150, 40_000, 2_000
 LANE, SYMBOLS = 512, 64
+#: Letters of one code: all of them, if there are no more than this, or else the most frequent. Codes that begin a pair, and a triple.
+SINGLES, COMMON, PAIRS, TRIPLES = SYMBOLS - 2, 40, 18, 4
 #: Lanes that are advanced side by side, and rows of a table that are filled at once.
 AT_ONCE = 8192
 UNDETERMINED = "und"
@@ -59,12 +64,22 @@ def learn(docs: DataFrame, learnable: Column, doc_id: str = "doc_id", text: str
     return LanguageModel(tuple(names), tuple(joined[k] for k in names))
 
 
+def _codes(letters: list[str]) -> dict[str, tuple[int, ...]]:
+    """Codes of letters that come by frequency; 0 is no letter, 1 a letter not in the samples. Letters beyond the last triple are left out."""
+    if len(letters) <= SINGLES:
+        return {c: (i,) for i, c in enumerate(letters, 2)}
+    trail, pair = range(2, SYMBOLS), range(2 + COMMON, 2 + COMMON + PAIRS)
+    triple = range(pair.stop, pair.stop + TRIPLES)
+    codes = chain(((i,) for i in range(2, 2 + COMMON)), product(pair, trail), product(triple, trail, trail))
+    return dict(zip(letters, codes, strict=False))
+
+
 def _symbols(text: str, code: np.ndarray) -> np.ndarray:
     """Codes of the text's letters, a 0 for each run of others."""
-    codes = code[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
+    codes = code[:, np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
     keep = codes != 0
-    keep[1:] |= codes[:-1] != 0
-    return codes[keep]
+    keep[0, 1:] |= codes[0, :-1] != 0
+    return codes.T[keep.T]
 
 
 def _automaton(symbols: list[int], table: np.ndarray, first: int) -> int:
@@ -112,19 +127,20 @@ class _Parser:
         for c in "".join(model.samples).lower():
             if c.isalpha():
                 seen[c] = seen.get(c, 0) + 1
-        common = sorted(seen, key=lambda c: (-seen[c], c))[: SYMBOLS - 2]
-        place = {c: i + 2 for i, c in enumerate(common)}  # 0: no letter, 1: a letter not in the samples
-        self.code = np.zeros(0x110000, np.uint8)
+        place = _codes(sorted(seen, key=lambda c: (-seen[c], c)))
+        # Row k has the k-th code of each letter, if it has so many.
+        self.code = np.zeros((max(map(len, place.values()), default=1), 0x110000), np.uint8)
         for c in map(chr, range(0x110000)):
             if c.isalpha():
-                self.code[ord(c)] = place.get(c.lower()[0], 1)
-        symbols = [_symbols(s, self.code) for s in model.samples]
+                own = place.get(c.lower()[0], (1,))
+                self.code[: len(own), ord(c)] = own
+        symbols = [_symbols(s, self.code)[:LEARN_CHARS] for s in model.samples]
         self.bits = np.log2([max(2, len(s)) for s in symbols])
         # One table for all; an automaton of n symbols has at most 2 n + 1 states. State 0 is nobody's, so that
         # no transition is 0; rows that are never written take no memory.
         room = [2 * len(s) + 2 for s in symbols]
         self.first = (1 + np.cumsum([0, *room[:-1]])).astype(np.int32)
-        self.width = len(common) + 2
+        self.width = min(len(place) + 2, SYMBOLS)
         table = np.zeros((1 + sum(room), self.width), np.int32)
         for s, first in zip(symbols, self.first.tolist()):
             _automaton(s.tolist(), table, first)
