@@ -1,11 +1,13 @@
 """Best-fit packing whose bins are certified by lower bounds.
 
 Documents are tokenized once; only (row, piece, length) is packed, never the ids. Pieces that
-fill a sequence stand alone. The others are dealt to partitions of bounded size by hash, and
+fill a sequence stand alone. The others are dealt to partitions of bounded size by their order, so that documents that come close to
+each other (as a mix has put them) meet in one, and
 each is packed best-fit decreasing. Dual feasible functions give a lower bound of the bins that
 a partition's pieces need. A partition that meets its bound is certified and done; those with
-a gap put the pieces of their unfilled bins together, deal them anew and pack them again, as
-long as that saves bins.
+a gap put the pieces of their unfilled bins together, deal them anew by hash and pack them again, as
+long as that saves bins. A sequence is numbered by the place of its first document in the order, so their numbers follow it. Pieces of equal length are
+packed in that order.
 
 A null text counts as empty and makes one piece, its end id. Rows that repeat, also with the
 same or a null doc_id, are packed each on their own. A document longer than a sequence is cut so
@@ -25,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sqltraffic.operators.numbering import numbered_ranges
+
 from .common import portions, settled, text_batches
 from .token_ids import encoder
 
@@ -101,6 +105,7 @@ PLACED = "uid long, length long, part long, bin long, offset long, settled boole
 
 
 def _pack_round(items: DataFrame, capacity: int, salt: int) -> DataFrame:
+    """One round over uid, length and place: the first deals by place, the others by hash."""
     n = items.count()
     parts = max(1, -(-n // PER_PARTITION))
 
@@ -113,7 +118,8 @@ def _pack_round(items: DataFrame, capacity: int, salt: int) -> DataFrame:
         filled = np.bincount(bins, lengths) == capacity
         return group.assign(bin=bins, offset=offsets, settled=filled[bins] | (gap == 0), gap=gap)[["uid", "length", "part", "bin", "offset", "settled", "gap"]]
 
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(salt)), F.lit(parts)).cast("long"))
+    part = F.pmod(F.xxhash64("uid", F.lit(salt)), F.lit(parts)) if salt else F.floor(F.col("place") * parts / n)
+    dealt = items.select("uid", "length", part.cast("long").alias("part"))
     return settled(dealt.groupBy("part").applyInPandas(pack, PLACED), "packed")
 
 
@@ -121,7 +127,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     all_pieces = settled(pieces(docs, tokenizer, capacity, end_id).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     whole = all_pieces.where(F.col("length") == capacity)
-    left = all_pieces.where(F.col("length") < capacity).select("uid", "length")
+    left = settled(all_pieces.where(F.col("length") < capacity).select("uid", "length", F.monotonically_increasing_id().alias("at")), "left")
+    left = numbered_ranges(left, [], "place")
 
     done: list[DataFrame] = []
     for turn in range(ROUNDS):
@@ -133,12 +140,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
             done.append(placed)
             break
         done.append(placed.where("settled"))
-        left = unsettled.select("uid", "length")
+        left = unsettled.select("uid", "length", F.lit(None).cast("long").alias("place"))
     bins = done[0]
     for more in done[1:]:
         bins = bins.unionByName(more)
-    # Numbers of sequences: round, partition and bin in one long; full pieces take the negative ones.
-    number = F.col("turn").cast("long") * (1 << 58) + F.col("part") * (1 << 24) + F.col("bin")
-    placed = bins.select("uid", number.alias("sequence_id"), "offset")
-    alone = whole.select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # A sequence has the number of its first piece, full ones too; bins are told apart by round and partition.
+    own = ["turn", "part", "bin"]
+    firsts = bins.groupBy(*own).agg(F.min("uid").alias("sequence_id"))
+    placed = bins.join(firsts, own).select("uid", "sequence_id", "offset")
+    alone = whole.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return all_pieces.where(F.col("length") < capacity).join(placed, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset").unionByName(alone)
