@@ -458,3 +458,51 @@ def test_crc_of_frames():
     head = struct.pack("<Q", 3)
     crc = zlib.crc32(head)
     assert binary_records.masked_crc(head) == ((((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF)
+
+
+def test_language_of_large_scripts(spark):
+    """Three scripts of some two thousand letters each, and Latin besides: all letters stay apart."""
+    rng = np.random.default_rng(1)
+    alphabets = {"ja": [chr(c) for c in [*range(0x3041, 0x3097), *range(0x4E00, 0x5200)]], "ko": [chr(c) for c in range(0xAC00, 0xB400)], "zh": [chr(c) for c in range(0x5200, 0x5C00)], "en": list("abcdefghijklmnopqrstuvwxyz")}
+    words = {k: ["".join(rng.choice(a, 2 + i % 3)) for i in range(400)] for k, a in alphabets.items()}
+    rows = [(1000 * n + i, " ".join(rng.choice(w, 60)), k) for n, (k, w) in enumerate(words.items()) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    judged = language_id.identify(df, language_id.learn(df, F.col("doc_id") % 2 == 0)).where("row.doc_id % 2 = 1").collect()
+    assert sum(r["lang_pred"] == r["row"]["lang"] for r in judged) >= 0.98 * len(judged)
+    codes = language_id._codes([c for a in alphabets.values() for c in a])
+    assert len(set(codes.values())) == len(codes) == sum(map(len, alphabets.values()))
+    starts = {c[0] for c in codes.values()}
+    assert not any(a != b and b[: len(a)] == a for a in codes.values() for b in [codes[k] for k in "ab"]) and 0 not in starts and 1 not in starts
+
+
+def test_labelled_sample_is_bounded(spark):
+    """Ten ids a label, though one id stands on three thousand rows."""
+    docs = spark.range(3000).selectExpr("CASE WHEN id % 2 = 0 THEN 0 ELSE id END AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(i, i % 4 == 0) for i in range(0, 3000)], "doc_id long, quality boolean").selectExpr("doc_id", "cast(quality AS int) AS quality")
+    texts, y, _ = quality_classifier.labelled_sample(docs, labels, "quality", F.lit(True), 10, 100)
+    assert len(texts) == len(y) <= 20
+
+
+def test_tables_of_other_threads_stay(spark):
+    """What another thread settles while tables pass is not deleted, and the session's setting comes back."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from sqltraffic.llm import common
+
+    before = spark.conf.get(common.CLEANUP)
+    with ThreadPoolExecutor(2) as pool, common.passing_tables(spark):
+        others = list(pool.map(lambda n: common.settled(spark.range(n), "theirs"), [3, 4, 5]))
+        mine = common.settled(spark.range(2), "mine")
+        assert mine.count() == 2
+    assert [t.count() for t in others] == [3, 4, 5]
+    with pytest.raises(Exception):
+        mine.count()
+    assert spark.conf.get(common.CLEANUP) == before
+
+
+def test_sequences_follow_the_order(spark, tmp_path):
+    """Documents of one length come out packed in the order in which they came in; all ids are those of an encoding of the whole."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('again ', 40) AS text").coalesce(1)
+    got = packing.pack(docs, vocabulary(), 128).orderBy("sequence_id", "offset").collect()
+    assert [r["doc_id"] for r in got] == sorted(r["doc_id"] for r in got)
+    assert len({r["sequence_id"] for r in got}) < 400
