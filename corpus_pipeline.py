@@ -20,28 +20,31 @@ from sqltraffic.llm.queries import SEQUENCE, vocabulary
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; those without any letter go."""
+    """Documents in which a language can be told, with that as their `lang`; those without any letter go. Null and empty texts have none."""
     judged = identify(docs, learn(docs, crc_mod(F.col("doc_id"), 3) != 1))
-    return judged.where(F.col("lang_pred") != UNDETERMINED).select("row.*")
+    told = judged.where(F.col("lang_pred") != UNDETERMINED)
+    return told.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are equal but for blanks, the longest."""
+    """Of documents that are equal but for blanks, the longest, then the one of the smallest id; one of rows that are equal in both."""
     return exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar five-word shingles, the one of the smallest id."""
+    """Of documents linked by similar five-word shingles, the one of the smallest id. Rows that share an id are judged together; those of a null id or
+    without words stay."""
     return near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks for."""
+    """Documents as often as their source's target asks for, in the schedule's order, which packing keeps. A null source is one of its own, and those without
+    words are not taken."""
     return mix_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in their places in sequences."""
+    """Pieces of documents in their places in sequences, numbered in the mix's order. Null texts are empty; texts longer than a sequence are cut."""
     return pack(docs, vocabulary(), SEQUENCE)
 
 
