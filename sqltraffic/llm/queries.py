@@ -110,15 +110,26 @@ def _license_sql() -> str:
     """One subquery for each rule, since what a rule matched is gone for the next."""
     text = lambda x: "'" + x.replace("'", "''") + "'"
     mapped = lambda table: "map {" + ", ".join(f"{text(k)}: {text(v)}" for k, v in table.items()) + "}"
-    known, tags = mapped(license_scan.SENTENCES), mapped(license_scan.TAGS)
+    known, followers = mapped(license_scan.SENTENCES), mapped({f"{a} {b}": i for (a, b), i in license_scan.FOLLOWERS.items()})
+    whole = mapped(license_scan.SENTENCES | {b: i for (_, b), i in license_scan.FOLLOWERS.items()})
+    tags = mapped({k.replace(" or later", " later"): v for k, v in license_scan.TAGS.items()})
     clean = "x"
     for sign in (license_scan.SIGNS, license_scan.DOTS_BEFORE, license_scan.DOTS_AFTER):
         clean = f"regexp_replace({clean}, {text(sign)}, ' ', 'g')"
+
+    def slotted(x: str) -> str:
+        for begins, found, put in license_scan.SLOTS:
+            x = f"(CASE WHEN starts_with({x}, {text(begins)}) THEN regexp_replace({x}, {text(found)}, {text(put)}) ELSE {x} END)" if begins else f"regexp_replace({x}, {text(found)}, {text(put)})"
+        return x
+
     lines = f"list_filter(list_transform(string_split(p, chr(10)), lambda x: trim({clean})), lambda x: x <> '')"
+    parts = f"regexp_split_to_array(replace(regexp_replace(x, {text(license_scan.EXCEPTION)}, '', 'g'), ' or later', ' later'), {text(license_scan.JOINS)})"
     sql = f"""
       SELECT doc_id, ids, list_aggregate(list_transform(ids, lambda x: coalesce('<' || x || '>', '.')), 'string_agg', '') AS rest, []::VARCHAR[] AS found
-      FROM (SELECT doc_id, list_transform(seq, lambda x, i: coalesce({known}[x], CASE WHEN i > 1 AND seq[i - 1] = {text(license_scan.TAG_NAME)} THEN {tags}[x] END)) AS ids
-            FROM (SELECT doc_id, flatten(list_transform(own, lambda l: CASE WHEN len(l) > 1 AND {known}[array_to_string(l, ' ')] IS NOT NULL THEN [array_to_string(l, ' ')] ELSE l END)) AS seq
+      FROM (SELECT doc_id, flatten(list_transform(seq, lambda x, i: CASE WHEN i > 1 AND {known}[seq[i - 1]] = {text(license_scan.TAG_NAME)} THEN list_transform({parts}, lambda y: {tags}[y])
+                                                                   ELSE [coalesce({known}[x], CASE WHEN i > 1 THEN {followers}[{known}[seq[i - 1]] || ' ' || x] END)] END)) AS ids
+            FROM (SELECT doc_id, flatten(list_transform(own, lambda l: CASE WHEN len(l) > 1 AND {whole}[{slotted("array_to_string(l, ' ')")}] IS NOT NULL
+                                                                            THEN [{slotted("array_to_string(l, ' ')")}] ELSE list_transform(l, lambda x: {slotted("x")}) END)) AS seq
                   FROM (SELECT doc_id, list_transform(regexp_split_to_array(lower(coalesce(text, '')), {text(license_scan.SENTENCE_END)}), lambda p: {lines}) AS own FROM documents)))"""
     for name, needs in license_scan.RULES:
         rule = text(license_scan.pattern(needs))
