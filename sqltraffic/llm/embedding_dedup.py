@@ -3,8 +3,8 @@
 Equal vectors of a label are one class. A first neighbour graph comes from ORDERS sorted orders by
 random-hyperplane signatures: vectors that are close tend to stand side by side. Then it is
 refined: around each vector, its neighbours and those that have it as theirs are compared with
-each other, and pairs better than the worst in either list are put in; rounds go on until few lists change. All
-pairs of cosine THRESHOLD or more that were met on the way are kept, also those that no list has room for; they make components.
+each other, and pairs better than the worst in either list are put in; rounds go on until few lists change. What the
+pairs of cosine THRESHOLD or more that were met on the way join stays joined, also by those that no list has room for: it makes components.
 
 Links are counted in the whole component: its members are compared in pairs of blocks. An audit compares some
 vectors of each label (every AUDIT_STEP-th, or AUDIT_LEAST at the least) with all of it, in blocks. Labels of whose links less than RECALL were found are
@@ -118,8 +118,21 @@ def best_lists(edges: DataFrame, rooms: DataFrame) -> DataFrame:
     return kept.groupBy("a", "room").agg(F.collect_list(F.struct("sim", "b")).alias("near"), full.alias("worst"))
 
 
+def _stars(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each member of a block that is not the first of its component there: the first one, and itself."""
+    root = np.full(len(linked), -1)
+    for i in range(len(linked)):
+        front = np.array([i] if root[i] < 0 else [], np.int64)
+        while len(front):
+            root[front] = i
+            front = np.flatnonzero(linked[front].any(axis=0) & (root < 0))
+    at = np.flatnonzero(root != np.arange(len(root)))
+    return root[at], at
+
+
 def refine(groups: DataFrame, lists: DataFrame) -> DataFrame:
-    """New edges (a, b, sim) among the neighbours of each vector that improve one of their lists, or are links."""
+    """New edges (a, b, sim) among the neighbours of each vector that improve one of their lists. Links that do not are as many as join what
+    they join: one for each vector but the first of a block's component. Those have no cosine of their own, which keeps them out of the lists."""
     edges = lists.select("a", F.explode("near").alias("x")).select("a", F.col("x.b").alias("b"))
     around = edges.select(F.col("a").alias("center"), F.col("b").alias("member")).union(edges.select("b", "a")).union(lists.select("a", F.col("a"))).distinct()
     sizes = around.groupBy("center").agg(F.ceil(F.count("*") / AROUND).cast("int").alias("parts"))
@@ -130,8 +143,10 @@ def refine(groups: DataFrame, lists: DataFrame) -> DataFrame:
         table = pa.Table.from_batches(list(tables))
         name, worst, x = table.column("member").to_numpy(), table.column("worst").to_numpy(), _matrix(table.column("vector"))
         sims = x @ x.T
-        i, j = np.nonzero(np.triu((sims > worst[:, None]) | (sims > worst[None]) | (sims >= THRESHOLD), 1))
+        i, j = np.nonzero(np.triu((sims > worst[:, None]) | (sims > worst[None]), 1))
         yield pa.RecordBatch.from_arrays([pa.array(name[i]), pa.array(name[j]), pa.array(sims[i, j])], names=["a", "b", "sim"])
+        i, j = _stars(sims >= THRESHOLD)
+        yield pa.RecordBatch.from_arrays([pa.array(name[i]), pa.array(name[j]), pa.nulls(len(i), pa.float64())], names=["a", "b", "sim"])
 
     return dealt.select("center", "part", "member", "worst", "vector").groupBy("center", "part").applyInArrow(compare, EDGES)
 
@@ -145,12 +160,13 @@ def descend(groups: DataFrame, rooms: DataFrame, turn: int = 0) -> tuple[DataFra
         old = lists.select("a", F.explode("near").alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.sim").alias("sim"))
         new = settled(refine(groups, lists), "new-edges")
         found = found.unionByName(new)
-        better = settled(best_lists(old.unionByName(new), rooms), "lists")
+        better = settled(best_lists(old.unionByName(new.where("sim is not null")), rooms), "lists")
         changed = better.select("a", "worst").join(lists.select("a", F.col("worst").alias("before")), "a").where("worst > before + 1e-12").count()
         lists = better
         if changed < FEW * n:
             break
-    return found.where(F.col("sim") >= THRESHOLD).select("a", "b"), lists
+    # Lists get better round by round, and many pairs are met again and again.
+    return settled(found.where(F.coalesce(F.col("sim") >= THRESHOLD, F.lit(True))).select("a", "b").distinct(), "links-met"), lists
 
 
 def enlarged(rooms: DataFrame, lists: DataFrame) -> DataFrame:
@@ -170,14 +186,8 @@ def label_edges(groups: DataFrame) -> DataFrame:
     def compare(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(tables))
         name, x = table.column("class").to_numpy(), _matrix(table.column("vector"))
-        linked, root = x @ x.T >= THRESHOLD, np.full(len(x), -1)
-        for i in range(len(x)):
-            front = np.array([i] if root[i] < 0 else [], np.int64)
-            while len(front):
-                root[front] = i
-                front = np.flatnonzero(linked[front].any(axis=0) & (root < 0))
-        at = np.flatnonzero(root != np.arange(len(x)))
-        yield pa.RecordBatch.from_arrays([pa.array(name[root[at]]), pa.array(name[at])], names=["a", "b"])
+        i, j = _stars(x @ x.T >= THRESHOLD)
+        yield pa.RecordBatch.from_arrays([pa.array(name[i]), pa.array(name[j])], names=["a", "b"])
 
     return dealt.select("label", "size", "i", "j", "class", "vector").groupBy("label", "size", "i", "j").applyInArrow(compare, "a long, b long")
 
