@@ -117,15 +117,15 @@ _IP = "(TRY_CAST(split_part(host, '.', 1) AS BIGINT) * 16777216 + TRY_CAST(split
 _CIDR = f"(host = '' OR ({_IP} BETWEEN 167772160 AND 167903231 AND NOT {_IP} BETWEEN 167772416 AND 167772543))"
 
 SQL = {
-    "s1_read_query_log": f"WITH {_LOG} SELECT ts AS timestamp, session_id, source_ip, \"user\", \"database\", query_type, query, response_time_ms, 0::BIGINT AS rows_affected, 0::BIGINT AS rows_returned, error FROM q",
+    "s1_read_query_log": f"WITH {_LOG} SELECT ts AS timestamp, session_id, source_ip, \"user\", \"database\", query_type, query, event_id || ',x' AS args, response_time_ms, 0::BIGINT AS rows_affected, 0::BIGINT AS rows_returned, error FROM q",
     "s2_log_quality": "SELECT count(*) + 1 AS lines, count(*) AS good, 1::BIGINT AS malformed, 0::BIGINT AS too_long FROM events",
     "s3_pending_files": "SELECT 'queries-' || strftime(d, '%Y-%m-%d') || '.jsonl' AS file_name FROM (SELECT DISTINCT ts::DATE AS d FROM events) WHERE day(d) % 2 = 0",
     "s3_advance_manifest": "SELECT 'queries-' || strftime(ts::DATE, '%Y-%m-%d') || '.jsonl' AS file_name, 'completed' AS status, count(*) AS lines FROM events GROUP BY 1",
     "s4_stream_query_log": f"WITH {_LOG} SELECT session_id, count(*) AS n FROM q GROUP BY session_id",
-    "s5_write_diff_report": f"WITH {_COMPARED} SELECT query, session_id, match, nullif(type, '') AS type, CASE type WHEN 'error' THEN original_error WHEN 'affected_rows' THEN original_affected::VARCHAR END AS original FROM c WHERE NOT match AND NOT ignored",
+    "s5_write_diff_report": f"WITH {_COMPARED} SELECT query, session_id, match, CASE type WHEN 'error' THEN 'error|' || original_error || '|' || replay_error WHEN 'affected_rows' THEN 'affected_rows|' || original_affected || '|' || replay_affected END AS differences FROM c WHERE NOT match AND NOT ignored",
     "s6_write_digest_summary": f"WITH {_DIGESTS} SELECT digest, count, diff_count, overhead_avg_ms FROM z",
     "s7_retain_log": f"WITH {_LOG} SELECT session_id, seq, query FROM q WHERE ts::DATE > (SELECT max(ts::DATE) FROM events) - 7",
-    "s8_export_query_log": f"WITH {_LOG} SELECT ts AS timestamp, session_id, \"user\", \"database\", query, floor(response_time_ms * 1000.0::DOUBLE) / 1000.0::DOUBLE AS response_time_ms, error, '<redacted>' AS first_arg FROM q",
+    "s8_export_query_log": f"WITH {_LOG} SELECT ts AS timestamp, session_id, \"user\", \"database\", query, floor(response_time_ms * 1000.0::DOUBLE) / 1000.0::DOUBLE AS response_time_ms, error, '<redacted>,<redacted>' AS args FROM q",
     "p1_digest_catalog": f"WITH {_LOG} SELECT digest, arg_min(query, (ts, session_id, seq)) AS sample_query, count(*) AS count, min(ts) AS first_seen, max(ts) AS last_seen FROM q GROUP BY digest",
     "p1_deep_digests": "SELECT 'select ? from t where id in (?) and kind = ?' AS digest, count(*) AS count FROM events WHERE event_id % 10 = 0 HAVING count(*) > 0",
     "p2_statement_mix": f"WITH {_LOG} SELECT category, \"user\", \"database\", count(*) AS count FROM q GROUP BY ALL",

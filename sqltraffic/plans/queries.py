@@ -94,7 +94,7 @@ def drained(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFra
 # --- sources and sinks -----------------------------------------------------------------------
 @query
 def s1_read_query_log(spark, sf_dir):
-    return logs.read_query_log(spark, written_log(spark, sf_dir)).drop("args", "date")
+    return logs.read_query_log(spark, written_log(spark, sf_dir)).drop("date").withColumn("args", F.array_join("args", ","))
 
 
 @query
@@ -135,9 +135,9 @@ def s4_stream_query_log(spark, sf_dir):
 def s5_write_diff_report(spark, sf_dir):
     path = scratch_dir(spark, "report")
     reports.write_diff_report(compared(spark, sf_dir), path)
-    d = F.get("differences", F.lit(0))
-    schema = "query string, session_id long, match boolean, differences array<struct<type:string,original:string>>"
-    return spark.read.schema(schema).json(path).select("query", "session_id", "match", d["type"].alias("type"), d["original"].alias("original"))
+    schema = "query string, session_id long, match boolean, differences array<struct<type:string,original:string,replay:string>>"
+    listed = F.array_join(F.transform("differences", lambda d: F.concat_ws("|", d["type"], d["original"], d["replay"])), ";")
+    return spark.read.schema(schema).json(path).select("query", "session_id", "match", listed.alias("differences"))
 
 
 @query
@@ -158,7 +158,7 @@ def s7_retain_log(spark, sf_dir):
 
 @query
 def s8_export_query_log(spark, sf_dir):
-    return logs.export_query_log(log_entries(spark, sf_dir), redact_args=True).select("timestamp", "session_id", "user", "database", "query", "response_time_ms", "error", F.get("args", F.lit(0)).alias("first_arg"))
+    return logs.export_query_log(log_entries(spark, sf_dir), redact_args=True).select("timestamp", "session_id", "user", "database", "query", "response_time_ms", "error", F.array_join("args", ",").alias("args"))
 
 
 # --- projections and filters -----------------------------------------------------------------
