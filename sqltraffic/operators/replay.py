@@ -12,7 +12,6 @@ from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sqltraffic.scratch import scratch_dir
 
@@ -88,8 +87,7 @@ def replay_compare(
     of = {(i, side): run for (i, _, side), run in zip(jobs, runs, strict=True)}
     meta = spark.createDataFrame([(i, q, of[i, "original"].columns, of[i, "replay"].columns, 0, 0, of[i, "original"].error, of[i, "replay"].error) for i, q in enumerate(distinct)], _META)
     paths = [run.path for run in runs if run.path]
-    schema = T._parse_datatype_string(_ROWS)
-    rows = spark.read.schema(schema).option("basePath", folder).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    rows = spark.read.schema(_ROWS).option("basePath", folder).parquet(*paths) if paths else spark.createDataFrame([], _ROWS)
     counts = rows.groupBy("pair").agg(*[F.count_if(F.col("side") == s).alias(f"n_{s}") for s in sides])
     meta = meta.join(F.broadcast(counts), "pair", "left")  # a row a read
     names = F.broadcast(meta.select("pair", F.col("original_columns").alias("names")))
