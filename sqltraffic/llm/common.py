@@ -144,6 +144,11 @@ def kept(name: str, make: Callable[[], object]) -> object:
     return _kept[name]
 
 
+def forget() -> None:
+    """Lets go of what a worker has kept. Operators that keep nothing call it where their work on texts begins, since workers live on from stage to stage."""
+    _kept.clear()
+
+
 def portions(batches: Iterator[pa.RecordBatch], text: Callable[[pa.RecordBatch], pa.Array], stride: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `stride` bytes of text, or of one row."""
     for batch in batches:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import may_repeat
-from .common import passing_tables, portions, settled, text_batches, width, with_groups
+from .common import forget, passing_tables, portions, settled, text_batches, width, with_groups
 from .components import components
 from .shingles import fingerprints, shingle_sets
 
@@ -67,6 +67,7 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
     part = CELLS // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         cells = np.zeros(CELLS, np.int32)
         for batch in portions(batches, lambda b: b.column(0)):
             sets = shingle_sets(batch.column(0))
@@ -94,6 +95,7 @@ def shingled(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     order = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in portions(batches, lambda b: b.column("text")):
             prefixes, marks, maps = [], [], []
             sets = shingle_sets(batch.column("text"))
