@@ -5,12 +5,13 @@ by DECAY for every place it spans in either (REACH places at most), and is norme
 lengths. A string's edge counts as a letter. So an insult keeps most of its likeness with letters inserted, and signs between letters
 are not counted at all; letters that stand alone, spaced out, are read as one string.
 
-Landmarks (words that set toxic training documents apart, and common clean ones) give the kernel a
-Nyström map, in which a linear machine with hinge loss is trained: on words of toxic documents that
-hardly occur elsewhere against words of clean ones, with the worst mistakes added in each round. Since
-its decision is linear in the kernel, it folds into one weight for each subsequence: a word's
-value is a sum over those it holds. A sentence is as toxic as its worst word; a logistic fit turns the WORST
-largest values of a whole document into a probability.
+A sentence is as toxic as its worst string, and ends at a stop before a blank or at a line's end. Landmarks (strings that
+set toxic training documents apart, and common clean ones) give the kernel a Nyström map, in which a linear machine with squared
+hinge loss is trained on labelled sentences, each through the kernel values of its worst string. Sentences of clean documents are clean;
+of a toxic document those are toxic that hold a string beyond chance in toxic documents, and in later rounds those that the machine
+holds for it. In each round worst strings and toxic sentences are found anew, and the worst mistakes among clean sentences added. Since its
+decision is linear in the kernel, it folds into one weight for each subsequence: a string's value is a sum over those it holds. A
+logistic fit turns the WORST largest values of a whole document into a probability.
 
 The training sample is bounded and repeatable: TRAIN_DOCS of each label, texts cut at TRAIN_CHARS.
 Scored texts are never cut. A null or empty text, or one whose strings all are shorter than two letters, gets the score of
@@ -20,8 +21,8 @@ equal scores; other columns are carried along.
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -39,9 +40,11 @@ SEQUENCES = LETTERS**4
 #: Letters of a string at most; longer ones are read in pieces of that many, overlapping by half.
 LONGEST = 24
 LANDMARKS, NEGATIVES, ROUNDS, WORST = 192, 5000, 5, 3
-#: Disguised forms of each mark in training, and what each counts against the mark itself.
+#: Disguised forms of each toxic string in training, and what each counts against the string itself.
 DISGUISES, DISGUISE_WEIGHT = 3, 0.1
-#: How far from chance (as a G statistic, halved) a word's share of toxic documents has to be.
+#: What all clean strings count in training against all toxic ones.
+CLEAN_WEIGHT = 4.0
+#: How far from chance (as a G statistic, halved) a landmark's share of toxic documents has to be.
 EVIDENCE = 10.0
 FIELDS = T.StructType([T.StructField("score", T.DoubleType())])
 #: Where the second, third and fourth letter of a subsequence stand after the first.
@@ -51,6 +54,8 @@ LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "
 #: Letters of their own, not marked forms of others: fixed values.
 OWN_LETTERS = "ñçß"
 BLANK = 255
+#: Where a sentence ends.
+SENTENCE_END = re.compile(r"[.!?。！？]+(?=\s)|[\n\r\u2028\u2029]")
 #: Characters that are worked on together.
 AT_ONCE = 1 << 18
 
@@ -85,6 +90,15 @@ def _norms() -> np.ndarray:
     return np.sqrt(np.maximum(sum(np.maximum(n - f, 0) * DECAY ** (2 * f) for *_, f in STEPS), DECAY**6))
 
 
+def _coded(text: str | None) -> np.ndarray:
+    return _codes()[np.frombuffer((text or "").encode("utf-32-le", "replace"), "<u4")]
+
+
+def _begins(runs: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, runs[1:] != runs[:-1])) if len(runs) else np.empty(0, np.int64)
+
+
 def _strings(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The strings in a text's codes: places of their letters, and each letter's string by number."""
     codes = np.concatenate([[BLANK, BLANK], codes, [BLANK, BLANK]]).astype(np.uint8)
@@ -96,7 +110,7 @@ def _strings(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     place, unit = np.flatnonzero(letter) - 2, np.cumsum(blank & ~joins)[letter]
     if not len(unit):
         return place, unit
-    first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+    first = _begins(unit)
     sizes = np.diff(np.append(first, len(unit)))
     number = np.repeat(np.arange(len(sizes)), sizes)
     if sizes.max() <= LONGEST:
@@ -114,7 +128,7 @@ def _strings(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _edged(letters: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The strings with their edges, a 0 before and after each."""
-    first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])) if len(unit) else np.empty(0, np.int64)
+    first = _begins(unit)
     ends = np.append(first[1:], len(unit)) if len(first) else first
     at = np.concatenate([first, ends])
     numbers = np.concatenate([unit[first], unit[ends - 1]]) if len(first) else np.empty(0, np.int64)
@@ -142,16 +156,13 @@ def values(machine: KernelMachine, letters: np.ndarray, unit: np.ndarray) -> tup
     at_letter = np.zeros(len(letters))
     for at, index, weight in _sequences(letters, unit):
         at_letter[at] += weight * machine.sequences[index]
-    first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+    first = _begins(unit)
     size = np.diff(np.append(first, len(unit)))
     return np.add.reduceat(at_letter, first) / _norms()[np.minimum(size, LONGEST + 2)] + machine.offset, unit[first]
 
 
-def _word_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    codes = _codes()
-    own = [codes[np.frombuffer(w.encode("utf-32-le", "replace"), "<u4")] for w in words]
-    own = [c[(c > 0) & (c != BLANK)][:LONGEST] for c in own]
-    return _edged(np.concatenate([*own, np.empty(0, np.uint8)]), np.repeat(np.arange(len(own)), [len(c) for c in own]))
+def _joined(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([*strings, np.empty(0, np.uint8)]), np.repeat(np.arange(len(strings)), [len(c) for c in strings])
 
 
 @dataclass
@@ -162,27 +173,27 @@ class _Landmarks:
     share: np.ndarray  # subsequence by landmark, normed
 
     @classmethod
-    def of(cls, words: list[str]) -> _Landmarks:
-        letters, unit = _word_codes(words)
+    def of(cls, strings: list[np.ndarray]) -> _Landmarks:
+        letters, unit = _edged(*_joined(strings))
         steps = _sequences(letters, unit)
         held = np.unique(np.concatenate([index for _, index, _ in steps]))
         place = np.full(SEQUENCES, len(held), np.int32)
         place[held] = np.arange(len(held))
-        share = np.zeros((len(held) + 1, len(words)), np.float32)
+        share = np.zeros((len(held) + 1, len(strings)), np.float32)
         for at, index, weight in steps:
             np.add.at(share, (place[index], unit[at]), np.float32(weight))
-        return cls(place, share / _norms()[np.minimum(np.bincount(unit, minlength=len(words)), LONGEST + 2)].astype(np.float32))
+        return cls(place, share / _norms()[np.minimum(np.bincount(unit, minlength=len(strings)), LONGEST + 2)].astype(np.float32))
 
-    def kernel(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), self.share.shape[1]), np.float32)
-        for k in range(0, len(words), 1024):
-            letters, unit = _word_codes(words[k : k + 1024])
+    def kernel(self, strings: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(strings), self.share.shape[1]), np.float32)
+        for k in range(0, len(strings), 1024):
+            letters, unit = _edged(*_joined(strings[k : k + 1024]))
             at_letter = np.zeros((len(letters), out.shape[1]), np.float32)
             for at, index, weight in _sequences(letters, unit):
                 row = self.place[index]
                 some = row < len(self.share) - 1
                 at_letter[at[some]] += np.float32(weight) * self.share[row[some]]
-            first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            first = _begins(unit)
             size = np.diff(np.append(first, len(unit)))
             out[k + unit[first]] = np.add.reduceat(at_letter, first) / _norms()[np.minimum(size, LONGEST + 2)].astype(np.float32)[:, None]
         return out
@@ -216,61 +227,108 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
-def _evidence(n: int, others: int, share: float) -> float:
-    """How much likelier n of n + others are at their own share than at `share`, as a log; 0 if theirs is less."""
-    own = n / (n + others)
-    return 0.0 if own <= share else n * np.log(own / share) + (others * np.log((1 - own) / (1 - share)) if others else 0.0)
+class _Sentences:
+    """The sentences of the training texts. Distinct strings are kept once, and sentences are runs of their numbers."""
+
+    def __init__(self, texts: list[str], y: np.ndarray) -> None:
+        letters, names, sentences, docs = [], [], [], []
+        powers = np.cumprod(np.full(LONGEST, 0x9E3779B97F4A7C15, np.uint64))
+        last = 0
+        for doc, text in enumerate(texts):
+            codes = _coded(text)
+            place, unit = _strings(codes)
+            first = _begins(unit)
+            if not len(first):
+                continue
+            own = codes[place]
+            letters += np.split(own, first[1:])
+            names.append(np.add.reduceat(own * powers[np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))], first))
+            ends = np.array([m.start() for m in SENTENCE_END.finditer(text)], np.int64)
+            sentences.append(last + np.maximum.accumulate(np.searchsorted(ends, place[first])))
+            docs.append(np.full(len(first), doc))
+            last = sentences[-1][-1] + 1
+        _, one, self.string = np.unique(np.concatenate([*names, np.empty(0, np.uint64)]), return_index=True, return_inverse=True)
+        self.distinct = [letters[i] for i in one]
+        of_string, doc = np.concatenate([*sentences, np.empty(0, np.int64)]), np.concatenate([*docs, np.empty(0, np.int64)])
+        self.first = _begins(of_string)
+        self.sentence = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(of_string))))
+        self.doc = doc[self.first]
+        self.toxic = y[self.doc] == 1
+        self.in_toxic, self.in_clean = (self._held(doc[y[doc] == label], y[doc] == label) for label in (1, 0))
+        clean = ~self.toxic[self.sentence]
+        self.clean = self._held(self.sentence[clean], clean)
+
+    def _held(self, by: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """In how many documents or sentences each distinct string is."""
+        pairs = np.unique(self.string[at].astype(np.int64) << 32 | by)
+        return np.bincount(pairs >> 32, minlength=len(self.distinct))
+
+    def evidence(self, share: float) -> np.ndarray:
+        """How far beyond EVIDENCE each distinct string's share of toxic documents is above chance; below 0 for all others."""
+        n, others, long = self.in_toxic, self.in_clean, np.array([len(s) >= 3 for s in self.distinct], bool)
+        own = n / np.maximum(1, n + others)
+        evidence = n * np.log(np.maximum(own, 1e-12) / share) + others * np.log(np.maximum(1 - own, 1e-12) / (1 - share))
+        return np.where(long & (n >= 3) & (own > share) & (evidence > EVIDENCE), evidence, -1.0 - others)
+
+    def worst(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each sentence the worst string and its value, by the values of the distinct strings."""
+        own = value[self.string]
+        top = np.maximum.reduceat(own, self.first)
+        at = np.flatnonzero(own == top[self.sentence])
+        return self.string[at[_begins(self.sentence[at])]], top
 
 
 def train(texts: list[str], y: np.ndarray, weights: np.ndarray) -> KernelMachine:
     nothing = KernelMachine(np.zeros(SEQUENCES), 0.0, np.zeros(WORST), -500.0)
     if len(set(y.tolist())) < 2:
         return nothing if not len(y) or y[0] == 0 else KernelMachine(np.zeros(SEQUENCES), 0.0, np.zeros(WORST), 500.0)
-    words = [{w for w in t.lower().split() if sum(c.isalpha() for c in w) >= 3} for t in texts]
-    words = [{"".join(c for c in w if c.isalpha() or c in LOOKALIKES) for w in ws} for ws in words]
-    toxic, clean = Counter(), Counter()
-    for ws, label in zip(words, y, strict=True):
-        (toxic if label else clean).update(ws)
-    n1, n0 = int(y.sum()), int((1 - y).sum())
-    marks = sorted((w for w, n in toxic.items() if n >= 3 and _evidence(n, clean[w], n1 / (n0 + n1)) > EVIDENCE), key=lambda w: (-toxic[w], w))[: 4 * LANDMARKS]
-    usual = sorted(clean, key=lambda w: (-clean[w], w))
-    if not marks or not usual:
+    sentences = _Sentences(texts, y)
+    of_string = sentences.evidence(float((y == 1).mean()))
+    marks = np.flatnonzero(of_string > 0)
+    marks = marks[np.argsort(-sentences.in_toxic[marks], kind="stable")]
+    usual = np.flatnonzero(sentences.clean)
+    usual = usual[np.argsort(-sentences.clean[usual], kind="stable")]
+    if not len(marks) or not len(usual):
         return nothing
-    landmarks = [*marks[:LANDMARKS], *usual[:LANDMARKS]]
+    strings = lambda numbers: [sentences.distinct[i] for i in numbers]
+    landmarks = strings([*marks[:LANDMARKS], *usual[:LANDMARKS]])
     held = _Landmarks.of(landmarks)
     gram = held.kernel(landmarks).astype(np.float64)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     root = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
-    # Disguised forms, one letter doubled or put in, count a little in training.
-    rng = np.random.default_rng(11)
-    disguised = [m[:i] + chr(97 + int(rng.integers(26))) + m[i:] for m in marks for i in rng.integers(1, len(m), DISGUISES).tolist()]
-    common = np.array([*(toxic[m] for m in marks), *(DISGUISE_WEIGHT * toxic[m] for m in marks for _ in range(DISGUISES))], np.float64)
-    stride = max(1, len(usual) // NEGATIVES)
-    negatives = usual[::stride][:NEGATIVES]
-    letters, unit = _word_codes(usual)
-    letters, unit = letters[letters > 0], unit[letters > 0]
+    rng, every = np.random.default_rng(11), _joined(sentences.distinct)
+    negatives = np.union1d(usual[:LANDMARKS], usual[:: max(1, len(usual) // NEGATIVES)][:NEGATIVES])
     for _ in range(ROUNDS):
-        both = [*marks, *disguised, *negatives]
-        side = np.where(np.arange(len(both)) < len(common), 1.0, -1.0)
-        weight = np.append(common, [min(clean[w], 50) for w in negatives])
-        w, offset = _svm(held.kernel(both) @ root, side, weight)
+        worst, top = sentences.worst(of_string)
+        positives, often = np.unique(worst[sentences.toxic & (top > 0)], return_counts=True)
+        if not len(positives):
+            break
+        # Disguised forms, with one letter put in, count a little in training.
+        disguised = [np.insert(s, i, rng.integers(1, LETTERS - 1))[:LONGEST] for s in strings(positives) for i in rng.integers(1, max(2, len(s)), DISGUISES)]
+        mistaken = np.unique(worst[~sentences.toxic])
+        mistaken = mistaken[np.argsort(-of_string[mistaken], kind="stable")][: NEGATIVES // 6]
+        negatives = np.union1d(negatives, mistaken)
+        x = held.kernel([*strings(positives), *disguised, *strings(negatives)]) @ root
+        side = np.where(np.arange(len(x)) < len(positives) + len(disguised), 1.0, -1.0)
+        weight = np.concatenate([often, np.repeat(DISGUISE_WEIGHT * often, DISGUISES), np.minimum(sentences.clean[negatives], 50)])
+        for of in (side > 0, side < 0):
+            weight[of] *= (1.0 if side[of][0] > 0 else CLEAN_WEIGHT) / weight[of].sum()
+        w, offset = _svm(x, side, weight)
         machine = KernelMachine(held.fold(root @ w), offset, np.zeros(WORST), 0.0)
-        got, number = values(machine, letters, unit)
-        worst = number[np.argsort(-got, kind="stable")[: NEGATIVES // 6]]
-        negatives = list(dict.fromkeys([*negatives, *[usual[i] for i in worst]]))
+        of_string, _ = values(machine, *every)
     machine.slopes, machine.height = _logistic(_clipped(machine, texts), y, weights)
     return machine
 
 
 def worst_values(machine: KernelMachine, texts: list[str | None]) -> np.ndarray:
     """The WORST largest values of each text's strings, in order; the machine's offset where there are fewer."""
-    table, out = _codes(), np.full((len(texts), WORST), machine.offset)
+    out = np.full((len(texts), WORST), machine.offset)
     gap = np.full(2, BLANK, np.uint8)
     i = 0
     while i < len(texts):
         codes, sizes, begin = [], [], i
         while i < len(texts) and sum(sizes) < AT_ONCE:
-            own = table[np.frombuffer((texts[i] or "").encode("utf-32-le", "replace"), "<u4")]
+            own = _coded(texts[i])
             codes += [own, gap]
             sizes.append(len(own) + 2)
             i += 1
@@ -278,7 +336,7 @@ def worst_values(machine: KernelMachine, texts: list[str | None]) -> np.ndarray:
         place, unit = _strings(joined)
         if len(place):
             got, number = values(machine, joined[place], unit)
-            first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            first = _begins(unit)
             doc = np.repeat(np.arange(begin, i), sizes)[place[first]]
             order = np.lexsort((-got, doc))
             doc, got = doc[order], got[order]

@@ -92,3 +92,41 @@ def test_toxicity_is_a_kernel_over_all_subsequences(spark):
         top = np.clip([*worst, *[machine.offset] * toxicity.WORST][: toxicity.WORST], -1, 1)
         want.append(1 / (1 + np.exp(-(top @ machine.slopes + machine.height))))
     assert _scores(spark, texts, toxicity.toxicity, machine) == pytest.approx(want, abs=1e-6)
+
+
+def test_sentences_and_their_worst_strings():
+    texts = ["You fool! Go home. Plain words", "", "one line\nno stop.here a b c", "Plain? words; plain words", "..."]
+    y = np.array([1.0, 0, 1, 0, 0])
+    got = toxicity._Sentences(texts, y)
+    plain = [["you", "fool"], ["go", "home"], ["plain", "words"], ["one", "line"], ["no", "stophere", "abc"], ["plain"], ["words", "plain", "words"]]
+    letters = lambda word: [ord(c) - 96 for c in word]
+    ends = [*got.first[1:], len(got.string)]
+    assert [[got.distinct[i].tolist() for i in got.string[a:b]] for a, b in zip(got.first, ends, strict=True)] == [[letters(w) for w in s] for s in plain]
+    assert got.doc.tolist() == [0, 0, 0, 2, 2, 3, 3] and got.toxic.tolist() == [True] * 5 + [False] * 2
+    number = {tuple(s.tolist()): i for i, s in enumerate(got.distinct)}
+    of = lambda word: number[tuple(letters(word))]
+    assert [got.in_toxic[of("plain")], got.in_clean[of("plain")], got.clean[of("plain")], got.clean[of("words")], got.clean[of("fool")]] == [1, 1, 2, 1, 0]
+    value = np.array([len(s) for s in got.distinct], float)
+    worst, top = got.worst(value)
+    assert [got.distinct[i].tolist() for i in worst] == [letters(max(s, key=len)) for s in plain] and top.tolist() == [max(map(len, s)) for s in plain]
+
+
+def test_toxicity_is_learned_from_sentences():
+    pick = random.Random(9)
+    word = lambda: "".join(pick.choice("aeinorst") for _ in range(pick.choice([3, 5, 7])))
+    sentence = lambda *more: " ".join(pick.sample([*[word() for _ in range(8)], *more], 8 + len(more))) + "."
+    bad = ["gulbwick", "fezzpug"]
+    texts = [" ".join(sentence(*([pick.choice(bad), pick.choice(bad)] if toxic and k < 2 else [])) for k in range(5)) for toxic in (1, 0) for _ in range(80)]
+    y = np.repeat([1.0, 0.0], 80)
+    machine = toxicity.train(texts, y, np.ones(len(texts)))
+    score = lambda t: float((toxicity._clipped(machine, [t]) @ machine.slopes + machine.height)[0])
+    clean = sentence() + " " + sentence()
+    for form in ("gulbwick", "gulb-wick", "g u l b w i c k", "gulbxwick", "GULBWICK", "fezzpugg"):
+        assert score(f"{clean} {form} {form}. {form}") > 0 > score(clean)
+
+
+def test_toxicity_with_nothing_to_learn():
+    for texts, y in ([], []), (["", ""], [1, 0]), (["a", ""], [1, 0]), (["same words here"] * 4, [1, 1, 0, 0]):
+        machine = toxicity.train(list(texts), np.array(y, float), np.ones(len(y)))
+        z = toxicity._clipped(machine, ["", "same words here"]) @ machine.slopes + machine.height
+        assert np.isfinite(z).all()
