@@ -7,9 +7,10 @@
    then by hash. Two sets of similarity s share a shingle among the first n - ceil(s n) + 1 of
    each, so classes meet in runs, one for each shingle that two or more have among those. Passages
    that very many documents share come last in the order and make no runs.
-3. HUB_ROUNDS times, each class is compared with the class that comes first most often among those of its
+3. HUB_ROUNDS times, each class is compared with the class that comes first most often among those of about its
    size in its runs and is not of its component yet: one pair for a class, whatever the size of a group of near
-   copies. Pairs whose signatures allow it are verified on whole sets, and links make components.
+   copies. In the first round that is the class with the fewest rarer shingles, so copies meet the text that they
+   are made from; later rounds draw it, and bound sizes elsewhere. Pairs whose signatures allow it are verified on whole sets, and links make components.
 4. What is left are pairs of different components in a run. A tree over the run's classes has at
    its nodes the OR of their token bitmaps and their range of sizes; two nodes are gone through
    together only if a pair below them may overlap enough, and if they are not of one component. A pair is let through in
@@ -128,15 +129,17 @@ def classes(known: DataFrame) -> tuple[DataFrame, DataFrame]:
     return settled(of.unionByName(known.where("name is null").select("doc_id", "n", F.lit(None).cast("long").alias("class"))), "class-of"), settled(reps, "classes")
 
 
-def _size_step(n: np.ndarray) -> np.ndarray:
-    """Sizes that differ by less than a quarter are of one step or of two that follow each other."""
-    return np.floor(np.log(n) / np.log(OF / NEED)).astype(np.int64)
+def _size_step(n: np.ndarray, turn: int) -> np.ndarray:
+    """Sizes that differ by less than a quarter are of one step or of two that follow each other; each turn's steps begin in the middle of the last one's."""
+    return np.floor(np.log(n) / np.log(OF / NEED) + turn / 2).astype(np.int64)
 
 
 def _with_hubs(rows: DataFrame, turn: int) -> DataFrame:
     """Rows of runs of two or more with `hub`: the first class of the run and size, if that is of another component.
 
-    `rows`: h, n, class, pos and, after the first turn, component. Which class is first changes with the turn.
+    `rows`: h, n, class, pos and, after the first turn, component. In the first turn that class is first which has the fewest shingles
+    rarer than the run's: of a group of near copies the one that most of the others are made from, which links with more of them than any other.
+    Later it is one drawn by a hash, which changes with the turn.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +154,7 @@ def _with_hubs(rows: DataFrame, turn: int) -> DataFrame:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
                 cols = [np.append(x, c) for x, c in zip(held, cols, strict=True)]
-            h, step = cols[0], _size_step(cols[1])
+            h, step = cols[0], _size_step(cols[1], turn)
             same = np.append(False, h[1:] == h[:-1])
             opens = ~same | np.append(True, step[1:] != step[:-1])
             at = np.maximum.accumulate(np.where(opens, np.arange(len(h)), 0))
@@ -166,9 +169,9 @@ def _with_hubs(rows: DataFrame, turn: int) -> DataFrame:
         if held is not None and held_has:
             yield out(held, np.array([held_hub]), np.array([held_of]) == held[4], np.array([True]))
 
-    step = F.floor(F.log("n") / float(np.log(OF / NEED)))
+    step = F.floor(F.log("n") / float(np.log(OF / NEED)) + turn / 2)
     of = F.col("component") if "component" in rows.columns else F.col("class").alias("component")
-    ordered = rows.repartition(width(rows.sparkSession), "h").sortWithinPartitions("h", step, F.xxhash64("class", F.lit(turn)))
+    ordered = rows.repartition(width(rows.sparkSession), "h").sortWithinPartitions("h", step, *([] if turn else ["pos"]), F.xxhash64("class", F.lit(turn)))
     return ordered.select("h", "n", "class", "pos", of).mapInArrow(find, "h long, n int, class long, pos int, hub long")
 
 

@@ -171,6 +171,32 @@ def test_ngram_jaccard(docs, none):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
+def _edited(rng, words, n):
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"x{rng.getrandbits(40)}"
+    return words
+
+
+def test_ngram_pairs_stay_few_in_groups_of_near_copies(spark, monkeypatch):
+    """Copies of one text, more or less edited, and copies of another whose sizes lie on both sides of a step's bound: about as many pairs as copies are compared."""
+    rng = random.Random(8)
+    one, other = ([f"{g}{rng.randrange(900)}" for _ in range(n)] for g, n in (("a", 150), ("b", 174)))
+    texts = [" ".join(one), *[" ".join(_edited(rng, one, rng.randint(1, 9))) for _ in range(300)]]
+    texts += [" ".join(_edited(rng, other[: rng.randint(168, 174)], 1)) for _ in range(300)]
+    compared, possible = [], ngram_join.possible
+
+    def counted(pairs, marks):
+        compared.append(pairs.count())
+        return possible(pairs, marks)
+
+    monkeypatch.setattr(ngram_join, "possible", counted)
+    got = ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(_near(list(enumerate(texts))))
+    assert len({r["component_id"] for r in got}) < 200
+    assert sum(compared) < 3 * len(texts)
+
+
 def test_passing_tables_go(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "shared_dir", lambda _, name: f"{tmp_path}/{name}")
     before = spark.conf.get(common.CLEANUP)
