@@ -94,7 +94,10 @@ def stream_report(rows: DataFrame, checkpoint: str, out: str) -> StreamingQuery:
 
 # --- late rows -------------------------------------------------------------------------------
 class LateRows(StreamingQueryListener):
-    """Counts the rows that stateful operators drop because the watermark has passed them, as metric rows."""
+    """Counts the rows that stateful operators drop because the watermark has passed them, as metric rows.
+
+    That is the watermark of the batch before: a row that only the newest one has passed still counts, and is not dropped.
+    """
 
     def __init__(self, named: Callable[[str], str] | None = None):
         self.named, self.rows, self.running = named or (lambda name: name), [], set()

@@ -2,11 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from sqltraffic.operators import metrics, sketches, stats
-from sqltraffic.plans.queries import LATE, drained, in_batches
+from sqltraffic.plans.queries import LATE, drained, in_batches, oracle_sql, queries
 from sqltraffic.streaming import kept, stateful
 
 ROW = "ts timestamp, digest string, session_id long, seq long, ignored boolean, match boolean, original_time_ms double, replay_time_ms double"
@@ -83,3 +84,16 @@ def test_summaries_read_their_table_once(spark, tmp_path, results):
     read = spark.read.parquet(str(tmp_path / "results"))
     plan = stats.digest_summary(read)._jdf.queryExecution().optimizedPlan().toString()
     assert str(tmp_path) not in plan and plan.count("Relation") > 0
+
+
+@pytest.mark.parametrize("seconds", [[0, 60, 9_000, 9_900, 20_000, 30_000], [0, 1, 2, 4, 6], [0], []], ids=["end of the third", "short", "one row", "empty"])
+def test_all_late_rows_are_counted(spark, tmp_path, seconds):
+    """Those too that lie within the gate's hour before the end of the first third; a log shorter than that hour; and none."""
+    rows = [(97 * i, s, 1 + i % 2) for i, s in enumerate(seconds)] + [(97 * i + 1, s, 3) for i, s in enumerate(seconds[1:])]
+    events = spark.createDataFrame(rows, "event_id long, s long, user_id long").select("event_id", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"), "user_id", F.lit("view").alias("event_type"), F.lit(1.0).alias("value"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    found = con.execute(f"SELECT name, kind, value FROM ({oracle_sql()['x11_late_rows']})").fetchall()
+    assert list(map(tuple, queries()["x11_late_rows"](spark, str(tmp_path)).select("name", "kind", "value").collect())) == found
