@@ -1,5 +1,6 @@
 """The pipeline stage by stage on a small table, against what each stage has to keep."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -64,3 +65,29 @@ def test_table_without_labels(spark, tmp_path):
     """With no language to learn, none can be told; the stage keeps nothing."""
     docs = spark.createDataFrame([(1, "some words", None, "s", 10)], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.keep_languages(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_near_copies_are_dropped_by_few_pairs(spark, monkeypatch):
+    """The stage's join compares a large group of near copies in about as many pairs as it has copies; all that stay are unlike."""
+    from sqltraffic.llm import ngram_join
+
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(900)}" for _ in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(400):
+        words = list(base)
+        for i in rng.sample(range(150), rng.randint(1, 6)):
+            words[i] = f"x{rng.getrandbits(40)}"
+        texts.append(" ".join(words))
+    compared, possible = [], ngram_join.possible
+
+    def counted(pairs, marks):
+        compared.append(pairs.count())
+        return possible(pairs, marks)
+
+    monkeypatch.setattr(ngram_join, "possible", counted)
+    left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").collect()
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (r["text"].split() for r in left)]
+    assert 0 in {r["doc_id"] for r in left} and len(left) < 250
+    assert not any(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert sum(compared) < 3 * len(texts)
