@@ -65,22 +65,26 @@ def written_log(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def in_batches(spark: SparkSession, df: DataFrame, by: str, files: int = 3, close: int | None = None, last: dict[str, object] | None = None, late: Column | None = None) -> tuple[DataFrame, str]:
+def in_batches(spark: SparkSession, df: DataFrame, by: str, files: int = 3, close: int | None = None, last: dict[str, object] | None = None, late: Column | None = None, end: int | None = None) -> tuple[DataFrame, str]:
     """A table as a stream that arrives in files, in order of a time column; and a folder for checkpoints.
 
     The files are written one after another, since a stream takes them by their age. With `close`, a last file has
     one row so many seconds after the end, of nulls but for what `last` gives, which takes the watermark past all others.
+    A join drops rows of a null key on its inner side before the watermark sees them, so `last` must give those keys there.
+    With `end` (microseconds), the stream is open until then even if its own rows end before, or if it has none: of two
+    streams the slower one holds the watermark.
     Rows that are `late` come in a file of their own after that, and another closing one between: a batch's late rows are
     told by the watermark of the batch before it, which is that of the rows one batch further back.
     """
     path = scratch_dir(spark, "stream")
     ends = df.agg(F.unix_micros(F.min(by)).alias("low"), F.unix_micros(F.max(by)).alias("high")).first()
-    low, high = (ends["low"] or 0, ends["high"] or 0)  # no times: files without rows
+    closes = [t for t in (ends["high"], end) if t is not None]
+    low, high = (ends["low"] or 0, max(closes, default=0))  # no times: files without rows
     span = (high - low) // files + 1
     held = F.lit(False) if late is None else F.coalesce(late, F.lit(False))
     for i in range(files):
         df.where((F.floor((F.unix_micros(by) - low) / span) == i) & ~held).coalesce(1).write.mode("append").parquet(path)
-    if close is not None and ends["high"] is not None:
+    if close is not None and closes:
         values = {c: F.lit(v) for c, v in (last or {}).items()} | {by: F.timestamp_micros(F.lit(high + close * 1_000_000))}
         for _ in range(1 if late is None else 2):
             spark.range(1).select(*[values.get(c, F.lit(None)).cast(df.schema[c].dataType).alias(c) for c in df.columns]).coalesce(1).write.mode("append").parquet(path)
@@ -623,11 +627,17 @@ def x4_stream_session_gate(spark, sf_dir):
     return drained(jobs.stream_session_gate(stream), checkpoint)
 
 
+def _replies_stream(spark, sf_dir):
+    """Replies a second after their statements, as a stream that ends with the log, whichever statements of the end have one."""
+    replies = _replies(spark, sf_dir).select(*KEYS, "replay_ms", (F.col("ts") + F.expr("interval 1 second")).alias("replay_ts"))
+    end = fixtures.table(spark, sf_dir, "events").agg(F.unix_micros(F.max("ts")).alias("end")).first()["end"]
+    return in_batches(spark, replies, "replay_ts", close=DAY, last={"session_id": -1, "seq": -1}, end=end)[0]
+
+
 def stream_paired(spark, sf_dir):
     """All statements with their replays, those of the end too; the closing rows are taken out."""
     primary, checkpoint = in_batches(spark, fixtures.query_log(spark, sf_dir), "ts", close=DAY)
-    replies = _replies(spark, sf_dir).select(*KEYS, "replay_ms", (F.col("ts") + F.expr("interval 1 second")).alias("replay_ts"))
-    other, _ = in_batches(spark, replies, "replay_ts", close=DAY)
+    other = _replies_stream(spark, sf_dir)
     paired = drained(jobs.stream_pair(primary.select(*KEYS, "event_id", "ts"), other), checkpoint)
     return paired.where("event_id is not null").drop("event_id")
 
