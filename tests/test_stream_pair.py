@@ -46,3 +46,11 @@ def test_statements_of_the_end_without_a_reply_come_out(spark, tmp_path, events)
     """Statements whose number is a multiple of 19 have no reply: alone, they wait for the watermark."""
     assert write_events(spark, tmp_path, events) == len(events)
     assert given(spark, tmp_path, "x5_stream_pair") == by_sql(tmp_path, "x5_stream_pair")
+
+
+@pytest.mark.parametrize("events", [[(1, 0), (2, 3600), (19, 3660), (38, 3661), (3, 3700)], [(19, 0), (38, 60), (76, 61)]], ids=["last minutes", "no replies"])
+def test_gated_statements_of_the_end_without_a_reply_come_out(spark, tmp_path, events):
+    assert write_events(spark, tmp_path, events) == len(events)
+    found = by_sql(tmp_path, "x12_stream_replayed")
+    assert any("None" in r for r in found)
+    assert given(spark, tmp_path, "x12_stream_replayed") == found
